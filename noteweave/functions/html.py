@@ -8,6 +8,8 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteweave.functions.sqltext import literal
+
 # --- tokens -------------------------------------------------------------------
 # A comment, a whole script/style/title element, a tag, a bogus comment, a run of
 # text, or a stray '<'.  Possessive quantifiers keep matching linear and off the
@@ -21,6 +23,7 @@ TOKEN = (
 )
 RAW_START = r"(?i)^<(?:script|style|title)[\s/>]"
 TAG_START = r"^</?[a-zA-Z]"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
 
 
 def tokens(html: Column) -> Column:
@@ -47,7 +50,7 @@ def token_kind(token: Column) -> Column:
 
 
 def tag_name(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    return F.lower(F.regexp_extract(token, TAG_NAME, 1))
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -74,36 +77,46 @@ _NAMES = _known_names()
 _NAME_CHOICE = "|".join(sorted(_NAMES, key=len, reverse=True))
 _NUMERIC = r"#[0-9]+;?|#[xX][0-9a-fA-F]+;?"
 _ENTITY_OR_TEXT = rf"&(?:{_NUMERIC}|{_NAME_CHOICE})|[^&]+|&"
+_INVALID = "\ufffd"
 
 
-def _hex_value(digits: Column) -> Column:
-    """Value of hex digits, null beyond eight significant ones."""
-    significant = F.concat(F.lit("0"), F.ltrim(digits, F.lit("0")))
-    return F.when(F.length(significant) <= 9, F.conv(significant, 16, 10).cast("bigint"))
-
-
-def _char(code: Column) -> Column:
+def _char(code: str) -> str:
     """Character of a numeric reference under the HTML rules."""
-    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    windows = F.decode(F.unhex(F.hex(code)), "windows-1252")
-    invalid = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.when(invalid, F.lit("�")).when(code.between(0x80, 0x9F), windows).otherwise(wide)
+    return f"""CASE
+        WHEN {code} IS NULL OR {code} = 0 OR {code} > {0x10FFFF} OR {code} BETWEEN {0xD800} AND {0xDFFF}
+            THEN {literal(_INVALID)}
+        WHEN {code} BETWEEN {0x80} AND {0x9F} THEN decode(unhex(hex({code})), 'windows-1252')
+        ELSE decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') END"""
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(x: str) -> str:
     """Replace named and numeric character references."""
-    names = F.from_json(F.lit(json.dumps(_NAMES, ensure_ascii=False)), "map<string,string>")
-
-    def decode(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, "^&#([0-9]+)", 1)
-        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+)", 1)
-        return (
-            F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece)
-            .when(decimal != "", _char(decimal.try_cast("bigint")))
-            .when(hexadecimal != "", _char(_hex_value(hexadecimal)))
-            .otherwise(F.try_element_at(names, F.substring(piece, 2, 64)))
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(_ENTITY_OR_TEXT), F.lit(0))
-    decoded = F.array_join(F.transform(pieces, decode), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    decimal = f"regexp_extract(piece, {literal('^&#([0-9]+)')}, 1)"
+    significant = f"concat('0', ltrim('0', regexp_extract(piece, {literal('^&#[xX]([0-9a-fA-F]+)')}, 1)))"
+    hexadecimal = f"if(length({significant}) <= 9, cast(conv({significant}, 16, 10) AS bigint), NULL)"
+    names = f"from_json({literal(json.dumps(_NAMES, ensure_ascii=False))}, 'map<string,string>')"
+    pieces = f"regexp_extract_all({x}, {literal(_ENTITY_OR_TEXT)}, 0)"
+    return f"""CASE WHEN contains({x}, '&') THEN array_join(transform({pieces}, piece -> CASE
+        WHEN NOT startswith(piece, '&') OR piece = '&' THEN piece
+        WHEN regexp_like(piece, '^&#[0-9]') THEN {_char(f"try_cast({decimal} AS bigint)")}
+        WHEN startswith(piece, '&#') THEN {_char(hexadecimal)}
+        ELSE try_element_at({names}, substring(piece, 2)) END), '') ELSE {x} END"""
+
+
+# Tags a browser puts on their own line when it renders text.
+LINE_TAGS = [
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav",
+    "ol", "option", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+]
+_LINE_TAG = rf"(?i)^</?(?:{'|'.join(LINE_TAGS)})[\s/>]"
+
+
+def token_texts(page_html: str, rendered: bool = False) -> str:
+    """Array aligned with the tokens: decoded text, an empty string for the rest.
+
+    For rendered pages a line tag gives a newline, as visible text would.
+    """
+    other = f"if(regexp_like(t, {literal(_LINE_TAG)}), '\\n', '')" if rendered else "''"
+    return f"""transform(regexp_extract_all({page_html}, {literal(TOKEN)}, 0),
+        t -> if(NOT startswith(t, '<') OR t = '<', {decode_entities('t')}, {other}))"""

@@ -1,14 +1,12 @@
-"""String, time and paragraph expressions (Column in, Column out, no UDF)."""
+"""String and time expressions (Column in, Column out, no UDF)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noteweave.functions import fixed
+from noteweave.functions.sqltext import SPACE
 
-# The whitespace set of JavaScript strings; Java's \s alone is ASCII only.
-SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 # Largest absolute epoch second a JavaScript date can hold.
 MAX_EPOCH = 8_640_000_000_000
 # Characters XML 1.0 does not allow.
@@ -34,15 +32,6 @@ def present(text: Column) -> Column:
     return F.coalesce(text != "", F.lit(False))
 
 
-def utf16_len(text: Column) -> Column:
-    """Length in UTF-16 units (``length`` counts code points)."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-
-
-def collapse_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE + "+", " ")
-
-
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -91,44 +80,3 @@ def split_tags(tags: Column) -> Column:
 
 def has_illegal_xml(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(XML_ILLEGAL)), F.lit(False))
-
-
-def text_lines(text: Column) -> Column:
-    """Sentences of a text, trimmed, short ones dropped."""
-    sentences = F.split(collapse_space(text), fixed.SENTENCE_END)
-    # After the collapse a plain space is the only whitespace left.
-    trimmed = F.transform(sentences, lambda sentence: F.trim(sentence))
-    return F.filter(trimmed, lambda line: utf16_len(line) > fixed.MIN_LINE_CHARS)
-
-
-def pack_paragraphs(lines: Column) -> Column:
-    """Greedy packing of lines into paragraphs.
-
-    Each line gets its sentence end back and joins the open paragraph.  The
-    paragraph closes once it is long enough or the line holds a mark; what is
-    open at the end is kept too.  The reset makes this a fold, which no window
-    frame can express.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        grown = F.concat(acc["open"], line, F.lit(fixed.SENTENCE_END))
-        marked = F.lit(False)
-        for mark in fixed.PARAGRAPH_MARKS:
-            marked = marked | F.contains(line, F.lit(mark))
-        closes = (utf16_len(grown) > fixed.PARAGRAPH_CHARS) | marked
-        return F.struct(
-            F.when(closes, F.array_append(acc["done"], grown)).otherwise(acc["done"]).alias("done"),
-            F.when(closes, F.lit("")).otherwise(grown).alias("open"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-
-    return F.aggregate(lines, start, step, finish)
-
-
-def paragraphs_to_markup(paragraphs: Column) -> Column:
-    """``<p>…</p>`` line per paragraph; an empty string for no paragraphs."""
-    wrapped = F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), escape_markup(p), F.lit("</p>\n")))
-    return F.array_join(wrapped, "")

@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
+from noteweave.functions.sqltext import escape_markup as escape_sql
+from noteweave.functions.sqltext import fill as fill_sql
+from noteweave.functions.sqltext import literal, literals
 from noteweave.functions.text import escape_markup, fill, js_trim
 
 # Lenient: Java's URI parser rejects characters that browsers' parsers accept.
 PATH = r"^\s*[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)"
+EXTENSION = r"\.([a-z0-9]+)\z"
 
 
 def url_path(url: Column) -> Column:
@@ -17,43 +21,44 @@ def url_path(url: Column) -> Column:
     return F.when(F.regexp_like(url, F.lit(PATH)), F.regexp_extract(url, PATH, 1))
 
 
-def path_extension(path: Column) -> Column:
-    """Lower-case extension at the end of a path, ``''`` when there is none."""
-    return F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)\z", 1)
+def file_name(path: Column) -> Column:
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(F.nullif(last, F.lit("")), F.lit("file"))
 
 
-def file_class(url: Column) -> Column:
-    """Class of a URL that names a file, null for everything else."""
-    extension = path_extension(url_path(url))
-    result = F.lit(None).cast("string")
-    for name, extensions in fixed.FILE_CLASSES.items():
-        result = F.when(extension.isin(extensions), F.lit(name)).otherwise(result)
-    return result
+def _extension(url: str) -> str:
+    """SQL: lower-case extension at the end of the path, empty when there is none."""
+    path = f"lower(regexp_extract({url}, {literal(PATH)}, 1))"
+    return f"regexp_extract({path}, {literal(EXTENSION)}, 1)"
 
 
-def is_binary_url(url: Column) -> Column:
-    extensions = [ext for group in fixed.FILE_CLASSES.values() for ext in group]
-    return F.coalesce(path_extension(url_path(url)).isin(extensions), F.lit(False))
+def file_class(url: str = "url") -> Column:
+    """Class of a URL column that names a file, null for everything else."""
+    cases = " ".join(
+        f"WHEN {_extension(url)} IN ({literals(extensions)}) THEN {literal(name)}"
+        for name, extensions in fixed.FILE_CLASSES.items()
+    )
+    return F.expr(f"CASE {cases} END")
 
 
-def file_name(path: Column) -> Column:
-    last = F.element_at(F.split(path, "/"), -1)
-    return F.coalesce(F.nullif(last, F.lit("")), F.lit("file"))
+def is_binary_url(url: str = "url") -> Column:
+    extensions = [ext for group in fixed.FILE_CLASSES.values() for ext in group]
+    return F.expr(f"coalesce({_extension(url)} IN ({literals(extensions)}), false)")
 
 
-def file_stub(url: Column) -> Column:
-    """Body for a URL that names a file; null for other URLs."""
-    path = F.lower(url_path(url))
-    kind = file_class(url)
+def file_stub(url: str = "url") -> Column:
+    """Body for a URL column that names a file; null for other URLs."""
+    path = f"lower(regexp_extract({url}, {literal(PATH)}, 1))"
     places = {
-        "url": escape_markup(url),
-        "file": file_name(path),
-        "ext": F.upper(path_extension(path)),
+        "url": escape_sql(url),
+        "file": f"coalesce(nullif(element_at(split({path}, '/'), -1), ''), 'file')",
+        "ext": f"upper({_extension(url)})",
     }
-    result = F.lit(None).cast("string")
-    for name, template in fixed.FILE_STUBS.items():
-        result = F.when(kind == name, fill(template, **places)).otherwise(result)
-    return result
+    cases = " ".join(
+        f"WHEN {_extension(url)} IN ({literals(extensions)}) THEN {fill_sql(fixed.FILE_STUBS[name], **places)}"
+        for name, extensions in fixed.FILE_CLASSES.items()
+    )
+    return F.expr(f"CASE {cases} END")
 
 
 def is_text_type(content_type: Column) -> Column:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteweave.functions import fixed, html
-from noteweave.functions.html import decode_entities, is_text, tag_name
-from noteweave.functions.text import (
+from noteweave.functions import fixed
+from noteweave.functions.html import token_texts
+from noteweave.functions.sqltext import (
     collapse_space,
     fill,
     js_trim,
+    literal,
     pack_paragraphs,
     paragraphs_to_markup,
     text_lines,
@@ -18,60 +19,28 @@ from noteweave.functions.text import (
 )
 from noteweave.operators.elements import BODY_RANK, page_marks
 
-# Tags a browser puts on their own line when it renders text.
-LINE_TAGS = [
-    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption",
-    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav",
-    "ol", "option", "p", "pre", "section", "table", "td", "th", "tr", "ul",
-]
 
+def _gaps(holes: str, first: str, last: str) -> str:
+    """SQL: ranges of ``first..last`` left over by sorted, possibly nested, holes."""
+    return f"""aggregate({holes},
+        named_struct('at', cast({first} AS int), 'gaps', cast(array() AS array<struct<first:int,last:int>>)),
+        (acc, hole) -> named_struct(
+            'at', greatest(acc.at, hole.end_pos + 1),
+            'gaps', if(hole.start_pos > acc.at,
+                array_append(acc.gaps, named_struct('first', acc.at, 'last', hole.start_pos - 1)), acc.gaps)),
+        acc -> if(acc.at <= {last},
+            array_append(acc.gaps, named_struct('first', acc.at, 'last', cast({last} AS int))), acc.gaps))"""
 
-def token_texts(page_html: Column, rendered: bool = False) -> Column:
-    """Array aligned with the tokens: decoded text, ``''`` for anything else.
 
-    For rendered pages a line tag gives a newline, as visible text would.
-    """
-    other = F.lit("")
-
-    def text_of(token: Column) -> Column:
-        if rendered:
-            blank = F.when(tag_name(token).isin(LINE_TAGS), F.lit("\n")).otherwise(other)
-        else:
-            blank = other
-        return F.when(is_text(token), decode_entities(token)).otherwise(blank)
-
-    return F.transform(html.tokens(page_html), text_of)
-
-
-def _gaps(holes: Column, first: Column, last: Column) -> Column:
-    """Ranges of ``first..last`` left over by sorted, possibly nested, holes."""
-    gap_type = "array<struct<first:int,last:int>>"
-    start = F.struct(first.cast("int").alias("at"), F.array().cast(gap_type).alias("gaps"))
-
-    def step(acc: Column, hole: Column) -> Column:
-        gap = F.struct(acc["at"].alias("first"), (hole["start_pos"] - 1).cast("int").alias("last"))
-        return F.struct(
-            F.greatest(acc["at"], hole["end_pos"] + 1).cast("int").alias("at"),
-            F.when(hole["start_pos"] > acc["at"], F.array_append(acc["gaps"], gap))
-            .otherwise(acc["gaps"])
-            .alias("gaps"),
-        )
+def _text_between(holes: str, first: str, last: str) -> str:
+    """SQL: text of the tokens ``first..last`` outside the holes.
 
-    def finish(acc: Column) -> Column:
-        gap = F.struct(acc["at"].alias("first"), last.cast("int").alias("last"))
-        return F.when(acc["at"] <= last, F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"])
-
-    return F.aggregate(holes, start, step, finish)
-
-
-def _text_between(texts: Column, holes: Column, first: Column, last: Column) -> Column:
-    """Text of the tokens ``first..last`` outside the holes."""
-    inside = F.filter(holes, lambda h: (h["start_pos"] >= first) & (h["start_pos"] <= last))
-    pieces = F.transform(
-        _gaps(inside, first, last),
-        lambda gap: F.array_join(F.slice(texts, gap["first"] + 1, gap["last"] - gap["first"] + 1), ""),
-    )
-    return F.array_join(pieces, "")
+    Works on slices of the token array, so the cost follows the text length and
+    not text length times holes.
+    """
+    inside = f"filter({holes}, h -> h.start_pos BETWEEN {first} AND {last})"
+    return f"""array_join(transform({_gaps(inside, first, last)},
+        gap -> array_join(slice(texts, gap.first + 1, gap.last - gap.first + 1), '')), '')"""
 
 
 def page_texts(
@@ -85,35 +54,28 @@ def page_texts(
     """Join each page's token texts with its structural marks.
 
     Both sides hash by ``key``; the text side carries decoded text only, which
-    is a fraction of the markup, and the columns named in ``keep``.
+    is a fraction of the markup, and the columns named in ``keep``.  A parser
+    gives every document a body, so one is added where the tag is missing.
     """
     also = tuple(fixed.LONGEST_BLOCK_TAGS) if blocks else ()
     marks = page_marks(pages, key, html_col, also)
-    texts = pages.select(key, *keep, token_texts(F.col(html_col), rendered).alias("texts"))
-    spans = "array<struct<start_pos:int,end_pos:int>>"
-    candidates = "array<struct<start_pos:int,end_pos:int,ranks:array<int>>>"
-    joined = texts.join(marks, key, "left").select(
+    texts = pages.selectExpr(key, *keep, f"{token_texts(html_col, rendered)} AS texts")
+    spans = "cast(array() AS array<struct<start_pos:int,end_pos:int>>)"
+    candidates = "cast(array() AS array<struct<start_pos:int,end_pos:int,ranks:array<int>>>)"
+    body = f"named_struct('start_pos', -1, 'end_pos', size(texts) - 1, 'ranks', array({BODY_RANK}))"
+    return texts.join(marks, key, "left").selectExpr(
         key,
         *keep,
         "texts",
-        (F.size("texts") - 1).alias("last_pos"),
-        *[F.coalesce(name, F.array().cast(spans)).alias(name) for name in ("drops", "inners", "blocks")],
-        F.coalesce("candidates", F.array().cast(candidates)).alias("candidates"),
-        F.coalesce("has_body", F.lit(False)).alias("has_body"),
-    )
-    # A parser gives every document a body, also when the tag is missing.
-    body = F.struct(
-        F.lit(-1).alias("start_pos"), F.col("last_pos").alias("end_pos"), F.array(F.lit(BODY_RANK)).alias("ranks")
+        "size(texts) - 1 AS last_pos",
+        *[f"coalesce({name}, {spans}) AS {name}" for name in ("drops", "inners", "blocks")],
+        f"if(has_body, candidates, array_prepend(coalesce(candidates, {candidates}), {body})) AS candidates",
     )
-    with_body = F.when(F.col("has_body"), F.col("candidates")).otherwise(F.array_prepend("candidates", body))
-    return joined.withColumn("candidates", with_body)
 
 
 def stripped_text(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
     """Text of each page after the page-level removals."""
-    texts = page_texts(pages, key, html_col)
-    text = _text_between(F.col("texts"), F.col("drops"), F.lit(0), F.col("last_pos"))
-    return texts.select(key, text.alias("text"))
+    return page_texts(pages, key, html_col).selectExpr(key, f"{_text_between('drops', '0', 'last_pos')} AS text")
 
 
 def pick_content(texts: DataFrame, rendered: bool = False) -> DataFrame:
@@ -122,43 +84,19 @@ def pick_content(texts: DataFrame, rendered: bool = False) -> DataFrame:
     Per rank the length test takes the text of all matches (only of the first
     one for rendered pages); the element kept is the first match.
     """
-    ranks = F.array_sort(F.array_distinct(F.flatten(F.transform("candidates", lambda c: c["ranks"]))))
-
-    def measured(rank: Column) -> Column:
-        matches = F.filter("candidates", lambda c: F.array_contains(c["ranks"], rank))
-        tested = F.slice(matches, 1, 1) if rendered else matches
-        text = F.array_join(
-            F.transform(
-                tested,
-                lambda c: _text_between(
-                    F.col("texts"), F.col("drops"), F.greatest(c["start_pos"], F.lit(0)), c["end_pos"]
-                ),
-            ),
-            "",
-        )
-        if rendered:
-            text = collapse_space(text)
-        first = F.element_at(matches, 1)
-        return F.struct(
-            rank.alias("rank"),
-            first["start_pos"].alias("start_pos"),
-            first["end_pos"].alias("end_pos"),
-            utf16_len(js_trim(text)).alias("chars"),
-        )
-
-    qualified = F.filter(
-        F.transform(ranks, measured), lambda m: m["chars"] > fixed.MIN_CANDIDATE_CHARS
-    )
+    ranks = "array_sort(array_distinct(flatten(transform(candidates, c -> c.ranks))))"
+    matches = "filter(candidates, c -> array_contains(c.ranks, rank))"
+    tested = f"slice({matches}, 1, 1)" if rendered else matches
+    text = f"array_join(transform({tested}, m -> {_text_between('drops', 'greatest(m.start_pos, 0)', 'm.end_pos')}), '')"
+    chars = utf16_len(js_trim(collapse_space(text) if rendered else text))
+    measured = f"""transform({ranks}, rank -> named_struct('rank', rank,
+        'start_pos', {matches}[0].start_pos, 'end_pos', {matches}[0].end_pos, 'chars', {chars}))"""
+    pick = f"try_element_at(filter({measured}, m -> m.chars > {fixed.MIN_CANDIDATE_CHARS}), 1)"
     if rendered:
         # Rendered pages fall back to the body text, whatever its length.
-        fallback = F.struct(
-            F.lit(BODY_RANK).alias("rank"),
-            F.lit(0).alias("start_pos"),
-            F.col("last_pos").alias("end_pos"),
-            F.lit(0).alias("chars"),
-        )
-        return texts.withColumn("pick", F.coalesce(F.try_element_at(qualified, F.lit(1)), fallback))
-    return texts.withColumn("pick", F.try_element_at(qualified, F.lit(1)))
+        whole = f"named_struct('rank', {BODY_RANK}, 'start_pos', 0, 'end_pos', last_pos, 'chars', 0)"
+        pick = f"coalesce({pick}, {whole})"
+    return texts.selectExpr("*", f"{pick} AS pick")
 
 
 def longest_block(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
@@ -168,23 +106,12 @@ def longest_block(pages: DataFrame, key: str, html_col: str = "html") -> DataFra
     can never find what ``body`` did not, because no block is longer than the
     body around it, so the extraction job does not run it.
     """
-    texts = page_texts(pages, key, html_col, blocks=True)
-    measured = F.transform(
-        "blocks",
-        lambda b: F.struct(
-            utf16_len(
-                js_trim(_text_between(F.col("texts"), F.col("drops"), b["start_pos"], b["end_pos"]))
-            ).alias("chars"),
-            (-b["start_pos"]).alias("order"),
-            b["end_pos"].alias("end_pos"),
-        ),
-    )
-    best = texts.select(key, F.array_max(measured).alias("best"))
-    return best.where(F.col("best.chars") > fixed.MIN_CANDIDATE_CHARS).select(
-        key,
-        (-F.col("best.order")).alias("start_pos"),
-        F.col("best.end_pos").alias("end_pos"),
-        F.col("best.chars").alias("chars"),
+    chars = utf16_len(js_trim(_text_between("drops", "b.start_pos", "b.end_pos")))
+    measured = f"""transform(blocks, b ->
+        named_struct('chars', {chars}, 'order', -b.start_pos, 'end_pos', b.end_pos))"""
+    best = page_texts(pages, key, html_col, blocks=True).selectExpr(key, f"array_max({measured}) AS best")
+    return best.where(f"best.chars > {fixed.MIN_CANDIDATE_CHARS}").selectExpr(
+        key, "-best.order AS start_pos", "best.end_pos AS end_pos", "best.chars AS chars"
     )
 
 
@@ -193,21 +120,12 @@ def article_text(
 ) -> DataFrame:
     """``key, rank, text, chars``: raw text of the chosen element after inner clean-up."""
     picked = pick_content(page_texts(pages, key, html_col, rendered, keep=keep), rendered)
-    first = F.greatest(F.col("pick.start_pos"), F.lit(0))
-    if rendered:
-        holes = F.col("drops")
-    else:
-        below = F.filter(
-            "inners",
-            lambda h: (h["start_pos"] > F.col("pick.start_pos")) & (h["start_pos"] <= F.col("pick.end_pos")),
-        )
-        holes = F.array_sort(F.concat("drops", below))
-    text = F.when(
-        F.col("pick").isNotNull(), _text_between(F.col("texts"), holes, first, F.col("pick.end_pos"))
-    )
-    return picked.select(key, *keep, F.col("pick.rank").alias("rank"), text.alias("text")).withColumn(
-        "chars", utf16_len(js_trim(F.col("text")))
-    )
+    # Inner rules take descendants of the chosen element, never the element itself.
+    below = "filter(inners, h -> h.start_pos > pick.start_pos AND h.start_pos <= pick.end_pos)"
+    holes = "drops" if rendered else f"array_sort(concat(drops, {below}))"
+    text = _text_between(holes, "greatest(pick.start_pos, 0)", "pick.end_pos")
+    chosen = picked.selectExpr(key, *keep, "pick.rank AS rank", f"if(pick IS NULL, NULL, {text}) AS text")
+    return chosen.selectExpr(key, *keep, "rank", "text", f"{utf16_len(js_trim('text'))} AS chars")
 
 
 def extract(
@@ -224,21 +142,20 @@ def extract(
     ``too_short`` or ``none_found``.
     """
     keep = ((url_col,) if key != url_col else ()) + keep
-    texts = article_text(pages, key, html_col, rendered, keep)
-    suffix = F.lit(fixed.RENDERED_SUFFIX if rendered else "")
-    places = {"url": F.col(url_col), "suffix": suffix}
-    enough = F.coalesce(F.col("chars") >= fixed.MIN_CONTENT_CHARS, F.lit(False))
-    markup = F.when(enough, paragraphs_to_markup(pack_paragraphs(text_lines(F.col("text")))))
-    status = (
-        F.when(F.col("rank").isNull(), F.lit("none_found"))
-        .when(F.col("markup").isNull(), F.lit("too_short"))
-        .when(F.col("markup") == "", F.lit("ok_empty"))
-        .otherwise(F.lit("ok"))
+    places = {"url": url_col, "suffix": literal(fixed.RENDERED_SUFFIX if rendered else "")}
+    markup = paragraphs_to_markup(pack_paragraphs(text_lines("text")))
+    marked = article_text(pages, key, html_col, rendered, keep).selectExpr(
+        key, *keep, "rank", f"if(chars >= {fixed.MIN_CONTENT_CHARS}, {markup}, NULL) AS markup"
     )
-    content = (
-        F.when(F.col("markup").isNull(), fill(fixed.TEXT_NOT_EXTRACTED, **places))
-        .when(F.col("markup") == "", fill(fixed.TEXT_NO_LINES, **places))
-        .otherwise(F.col("markup"))
+    return marked.select(
+        key,
+        *keep,
+        F.expr(
+            f"""CASE WHEN markup IS NULL THEN {fill(fixed.TEXT_NOT_EXTRACTED, **places)}
+                WHEN markup = '' THEN {fill(fixed.TEXT_NO_LINES, **places)} ELSE markup END AS content"""
+        ),
+        F.expr(
+            """CASE WHEN rank IS NULL THEN 'none_found' WHEN markup IS NULL THEN 'too_short'
+                WHEN markup = '' THEN 'ok_empty' ELSE 'ok' END AS status"""
+        ),
     )
-    out = texts.withColumn("markup", markup)
-    return out.select(key, *keep, content.alias("content"), status.alias("status"))

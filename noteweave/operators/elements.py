@@ -8,11 +8,12 @@ itself is never exploded or sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed, html
-from noteweave.functions.html import attribute, class_names, is_tag, tag_name, token_kind
+from noteweave.functions.html import TAG_NAME, attribute, class_names, is_tag, tag_name, token_kind
+from noteweave.functions.sqltext import literal, literals
 
 BODY_RANK = len(fixed.CONTENT_SELECTORS)
 # Tags that matter by name alone.
@@ -40,26 +41,31 @@ def _split_selector(selector: str) -> tuple[bool, str]:
     return bool(scope), simple
 
 
-def _matches(simple: str) -> Column:
-    """Condition for one simple selector over the tag event columns."""
+def _matches(simple: str) -> str:
+    """SQL condition for one simple selector over the tag event columns."""
     if simple.startswith("."):
-        return F.array_contains("classes", simple[1:])
+        return f"array_contains(classes, {literal(simple[1:])})"
     if simple.startswith("#"):
-        return F.col("id") == simple[1:]
+        return f"id = {literal(simple[1:])}"
     if simple.startswith("["):
         name, _, value = simple.strip("[]").partition("=")
-        return F.col(name) == value.strip('"')
-    return F.col("tag") == simple
+        return f"{name} = {literal(value.strip(chr(34)))}"
+    return f"tag = {literal(simple)}"
 
 
-def _ranks(scoped: bool) -> Column:
-    """Ranks of the selectors an element matches (article-scoped ones or the rest)."""
-    hits = [
-        F.when(_matches(simple), F.lit(rank))
+def _ranks(scoped: bool) -> str:
+    """SQL: ranks of the selectors an element matches (article-scoped ones or the rest)."""
+    hits = ", ".join(
+        f"if({_matches(simple)}, {rank}, NULL)"
         for rank, (needs_article, simple) in enumerate(map(_split_selector, fixed.CONTENT_SELECTORS), 1)
         if needs_article == scoped
-    ]
-    return F.array_compact(F.array(*hits))
+    )
+    return f"if(opens, array_compact(array({hits})), cast(array() AS array<int>))"
+
+
+def _rule(tags: list[str], classes: list[str]) -> str:
+    """SQL: start tag that matches a removal rule."""
+    return f"opens AND (tag IN ({literals(tags)}) OR arrays_overlap(classes, array({literals(classes)})))"
 
 
 def _attribute_hint() -> str:
@@ -80,42 +86,39 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     name carries a possibly matching attribute somewhere on the page (their end
     tags and same-named neighbours are needed for pairing).
     """
-    hinted = F.array_distinct(
-        F.transform(
-            F.filter("tokens", lambda t: F.regexp_like(t, F.lit(_attribute_hint()))),
-            tag_name,
-        )
-    )
-    per_page = pages.select(key, html.tokens(F.col(html_col)).alias("tokens")).select(
-        key, "tokens", hinted.alias("hinted"), (F.size("tokens") - 1).alias("last_pos")
+    hinted = f"""array_distinct(transform(filter(tokens, t -> regexp_like(t, {literal(_attribute_hint())})),
+        t -> lower(regexp_extract(t, {literal(TAG_NAME)}, 1))))"""
+    per_page = pages.select(key, html.tokens(F.col(html_col)).alias("tokens")).selectExpr(
+        key, "tokens", f"{hinted} AS hinted", "size(tokens) - 1 AS last_pos"
     )
+    named = literals([*NAMED_TAGS, *also])
     events = (
         per_page.select(key, "hinted", "last_pos", F.posexplode_outer("tokens").alias("pos", "token"))
         .where(is_tag(F.col("token")))
-        .withColumn("tag", tag_name(F.col("token")))
-        .where(F.col("tag").isin([*NAMED_TAGS, *also]) | F.array_contains("hinted", F.col("tag")))
-        .withColumn("opens", ~F.startswith("token", F.lit("</")))
-        .withColumn("classes", F.when(F.col("opens"), class_names(F.col("token"))).otherwise(F.array().cast("array<string>")))
-        .withColumn("id", F.when(F.col("opens"), attribute(F.col("token"), "id")))
-        .withColumn("role", F.when(F.col("opens"), attribute(F.col("token"), "role")))
+        .select("*", tag_name(F.col("token")).alias("tag"), (~F.startswith("token", F.lit("</"))).alias("opens"))
+        .where(f"tag IN ({named}) OR array_contains(hinted, tag)")
     )
-
-    def any_class(names: list[str]) -> Column:
-        return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
-
-    none = F.array().cast("array<int>")
-    flagged = events.select(
+    with_attributes = events.select(
         key,
         "pos",
         "last_pos",
         "tag",
         "opens",
-        (F.col("opens") & (F.col("tag").isin(fixed.DROP_TAGS) | any_class(fixed.DROP_CLASSES))).alias("dropped"),
-        (F.col("opens") & (F.col("tag").isin(fixed.INNER_DROP_TAGS) | any_class(fixed.INNER_DROP_CLASSES))).alias("inner"),
-        F.when(F.col("opens"), _ranks(scoped=False)).otherwise(none).alias("ranks"),
-        F.when(F.col("opens"), _ranks(scoped=True)).otherwise(none).alias("scoped_ranks"),
+        F.when(F.col("opens"), class_names(F.col("token"))).alias("classes"),
+        F.when(F.col("opens"), attribute(F.col("token"), "id")).alias("id"),
+        F.when(F.col("opens"), attribute(F.col("token"), "role")).alias("role"),
     )
-    return flagged.repartition(key)
+    return with_attributes.selectExpr(
+        key,
+        "pos",
+        "last_pos",
+        "tag",
+        "opens",
+        f"{_rule(fixed.DROP_TAGS, fixed.DROP_CLASSES)} AS dropped",
+        f"{_rule(fixed.INNER_DROP_TAGS, fixed.INNER_DROP_CLASSES)} AS inner_drop",
+        f"{_ranks(scoped=False)} AS ranks",
+        f"{_ranks(scoped=True)} AS scoped_ranks",
+    ).repartition(key)
 
 
 def element_spans(events: DataFrame, key: str) -> DataFrame:
@@ -127,26 +130,23 @@ def element_spans(events: DataFrame, key: str) -> DataFrame:
     (text after ``</body>`` still belongs to it).  A ``p`` cannot hold another
     ``p``, so it also ends before the next one.
     """
-    by_tag = Window.partitionBy(key, "tag").orderBy("pos")
-    by_level = Window.partitionBy(key, "tag", "level").orderBy("pos")
-    depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(by_tag.rowsBetween(Window.unboundedPreceding, 0))
-    leveled = (
-        events.withColumn("depth", depth)
-        .withColumn("level", F.when(F.col("opens"), F.col("depth")).otherwise(F.col("depth") + 1))
-        .withColumn("next_pos", F.lead("pos").over(by_tag))
-        .withColumn("next_opens", F.lead("opens").over(by_tag))
-        .withColumn("close_pos", F.lead("pos").over(by_level))
+    leveled = events.selectExpr(
+        "*",
+        f"sum(if(opens, 1, -1)) OVER (PARTITION BY {key}, tag ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+        " + if(opens, 0, 1) AS level",
+        f"lead(pos) OVER (PARTITION BY {key}, tag ORDER BY pos) AS next_pos",
+        f"lead(opens) OVER (PARTITION BY {key}, tag ORDER BY pos) AS next_opens",
+    )
+    paired = leveled.selectExpr(
+        "*", f"lead(pos) OVER (PARTITION BY {key}, tag, level ORDER BY pos) AS close_pos"
     )
-    paragraph_end = F.when(F.col("next_opens"), F.col("next_pos") - 1).otherwise(F.col("next_pos"))
-    end = (
-        F.when(F.col("tag") == "body", F.col("last_pos"))
-        .when(F.col("tag") == "p", F.coalesce(paragraph_end, "last_pos"))
-        .otherwise(F.coalesce("close_pos", "last_pos"))
+    end = """CASE WHEN tag = 'body' THEN last_pos
+        WHEN tag = 'p' AND next_opens THEN next_pos - 1
+        WHEN tag = 'p' THEN coalesce(next_pos, last_pos)
+        ELSE coalesce(close_pos, last_pos) END AS end_pos"""
+    return paired.where("opens").selectExpr(
+        key, "tag", "pos AS start_pos", end, "dropped", "inner_drop", "ranks", "scoped_ranks"
     )
-    return leveled.where("opens").select(
-        key, "tag", F.col("pos").alias("start_pos"), end.alias("end_pos"),
-        "dropped", "inner", "ranks", "scoped_ranks",
-    )
 
 
 def visible_spans(spans: DataFrame, key: str) -> DataFrame:
@@ -155,14 +155,21 @@ def visible_spans(spans: DataFrame, key: str) -> DataFrame:
     Spans are intervals of one tree, so "some earlier dropped span still open"
     is a running maximum over the start order; the same holds for articles.
     """
-    earlier = Window.partitionBy(key).orderBy("start_pos").rowsBetween(Window.unboundedPreceding, -1)
-    cover = F.max(F.when(F.col("dropped"), F.col("end_pos"))).over(earlier)
-    article = F.max(F.when(F.col("tag") == "article", F.col("end_pos"))).over(earlier)
-    return (
-        spans.withColumn("hidden", F.coalesce(cover >= F.col("start_pos"), F.lit(False)))
-        .withColumn("in_article", F.coalesce(article >= F.col("start_pos"), F.lit(False)))
-        .withColumn("ranks", F.when(F.col("in_article"), F.concat("scoped_ranks", "ranks")).otherwise(F.col("ranks")))
-        .drop("scoped_ranks")
+    earlier = f"OVER (PARTITION BY {key} ORDER BY start_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    covered = spans.selectExpr(
+        "*",
+        f"max(if(dropped, end_pos, NULL)) {earlier} AS cover",
+        f"max(if(tag = 'article', end_pos, NULL)) {earlier} AS article",
+    )
+    return covered.selectExpr(
+        key,
+        "tag",
+        "start_pos",
+        "end_pos",
+        "dropped",
+        "inner_drop",
+        "coalesce(cover >= start_pos, false) AS hidden",
+        "if(article >= start_pos, concat(scoped_ranks, ranks), ranks) AS ranks",
     )
 
 
@@ -174,16 +181,17 @@ def page_marks(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     the elements named in ``also``; all without what lies in a removed element.
     """
     spans = visible_spans(element_spans(tag_events(pages, key, html_col, also), key), key)
-    live = ~F.col("hidden") & ~F.col("dropped")
-    span = F.struct("start_pos", "end_pos")
+    span = "struct(start_pos, end_pos)"
+    live = "NOT hidden AND NOT dropped"
+    in_blocks = f"{live} AND tag IN ({literals(also)})" if also else "false"
 
-    def spans_where(condition: Column, value: Column = span) -> Column:
-        return F.array_sort(F.collect_list(F.when(condition, value)))
+    def spans_where(condition: str, name: str, value: str = span):
+        return F.expr(f"array_sort(collect_list(if({condition}, {value}, NULL))) AS {name}")
 
     return spans.groupBy(key).agg(
-        spans_where(F.col("dropped") & ~F.col("hidden")).alias("drops"),
-        spans_where(F.col("inner") & live).alias("inners"),
-        spans_where(live & (F.size("ranks") > 0), F.struct("start_pos", "end_pos", "ranks")).alias("candidates"),
-        spans_where(live & F.col("tag").isin(list(also)) if also else F.lit(False)).alias("blocks"),
-        F.max(F.col("tag") == "body").alias("has_body"),
+        spans_where("dropped AND NOT hidden", "drops"),
+        spans_where(f"inner_drop AND {live}", "inners"),
+        spans_where(f"{live} AND size(ranks) > 0", "candidates", "struct(start_pos, end_pos, ranks)"),
+        spans_where(in_blocks, "blocks"),
+        F.expr("max(tag = 'body') AS has_body"),
     )

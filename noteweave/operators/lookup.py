@@ -112,7 +112,7 @@ def add_page_content(
     second stage reads.  Every bookmark is kept.
     """
     spark = bookmarks.sparkSession
-    urls = bookmarks.where(present(F.col("url")) & file_class(F.col("url")).isNull()).select("url").distinct()
+    urls = bookmarks.where(present(F.col("url")) & file_class("url").isNull()).select("url").distinct()
     results = first_results(urls, pages, order)
     if rendered is not None:
         path = work_dir or shared_dir(spark, "first-results")
@@ -121,7 +121,7 @@ def add_page_content(
     results = results.withColumnsRenamed(
         {"content": "_found", "status": "_status", "error": "_error", "method": "_method"}
     )
-    joined = left_lookup(bookmarks, results, "url", "row_idx").withColumn("_stub", file_stub(F.col("url")))
+    joined = left_lookup(bookmarks, results, "url", "row_idx").withColumn("_stub", file_stub("url"))
 
     no_url = fill(
         fixed.TEXT_FETCH_FAILED, url=F.coalesce("url", F.lit("")), suffix=F.lit(""), error=F.lit("Invalid URL")

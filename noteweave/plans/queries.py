@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.functions import charset, fixed, text, urls
+from noteweave.functions import charset, fixed, sqltext, text, urls
 from noteweave.functions.notes import add_method_label
 from noteweave.operators import content, elements, enex, ledger, lookup, notes, order
 from noteweave.session import configure, shared_dir
@@ -122,14 +122,13 @@ def document_notes(spark, sf):
 
 # --- URL and body routing -----------------------------------------------------------
 def url_file_class(spark, sf):
-    url = F.col("url")
     return _bookmarks(spark, sf).select(
         "row_idx",
         "url",
-        urls.is_binary_url(url).alias("is_file"),
-        urls.file_class(url).alias("file_class"),
-        urls.file_name(F.lower(urls.url_path(url))).alias("file_name"),
-        urls.file_stub(url).alias("stub"),
+        urls.is_binary_url("url").alias("is_file"),
+        urls.file_class("url").alias("file_class"),
+        urls.file_name(F.lower(urls.url_path(F.col("url")))).alias("file_name"),
+        urls.file_stub("url").alias("stub"),
     )
 
 
@@ -179,9 +178,9 @@ def html_tokens(spark, sf):
 def element_spans(spark, sf):
     events = elements.tag_events(_varied_pages(spark, sf), "page_id")
     spans = elements.visible_spans(elements.element_spans(events, "page_id"), "page_id")
-    relevant = F.col("dropped") | F.col("inner") | (F.size("ranks") > 0)
+    relevant = F.col("dropped") | F.col("inner_drop") | (F.size("ranks") > 0)
     return spans.where(relevant).select(
-        "page_id", "tag", "start_pos", "end_pos", "dropped", "inner", "hidden",
+        "page_id", "tag", "start_pos", "end_pos", "dropped", F.col("inner_drop").alias("inner"), "hidden",
         F.array_join(F.array_sort("ranks"), ",").alias("ranks"),
     )
 
@@ -205,8 +204,9 @@ def article_text(spark, sf):
 
 def document_paragraphs(spark, sf):
     sentences = F.replace("text", F.lit(". "), F.lit(fixed.SENTENCE_END))
-    packed = text.pack_paragraphs(text.text_lines(sentences))
-    return _documents(spark, sf).select("doc_id", F.posexplode(packed).alias("para_no", "paragraph"))
+    packed = F.expr(sqltext.pack_paragraphs(sqltext.text_lines("sentences")))
+    documents = _documents(spark, sf).select("doc_id", sentences.alias("sentences"))
+    return documents.select("doc_id", F.posexplode_outer(packed).alias("para_no", "paragraph")).where("para_no IS NOT NULL")
 
 
 def page_enml(spark, sf):
