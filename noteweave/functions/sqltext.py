@@ -10,12 +10,19 @@ from __future__ import annotations
 from noteweave.functions import fixed
 
 # The whitespace set of JavaScript strings; Java's \s alone is ASCII only.
-SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_WIDE = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+SPACES = " \t\n\x0b\f\r" + "".join(map(chr, _WIDE))
+_SET = r"[\t-\r " + "".join(rf"\x{{{code:x}}}" for code in _WIDE) + "]"
+# The intersections answer for plain letters after one range test.
+SPACE = rf"[\t-\r \x{{a0}}-\x{{feff}}&&{_SET}]"
+# Runs that a collapse to one space would change; single plain spaces are not matched.
+SPACE_RUN = rf"[\t-\r\x{{a0}}-\x{{feff}}&&{_SET}]{SPACE}*+| {SPACE}++"
 
 
 def literal(text: str) -> str:
-    """SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    """SQL string literal; what is not printable ASCII or a letter goes in as an escape."""
+    plain = text.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + "".join(c if c.isprintable() else f"\\u{ord(c):04x}" for c in plain) + "'"
 
 
 def literals(values) -> str:
@@ -42,11 +49,12 @@ def utf16_len(x: str) -> str:
 
 
 def js_trim(x: str) -> str:
-    return f"regexp_replace({x}, {literal(f'^{SPACE}+|{SPACE}+' + chr(92) + 'z')}, '')"
+    return f"btrim({x}, {literal(SPACES)})"
 
 
 def collapse_space(x: str) -> str:
-    return f"regexp_replace({x}, {literal(SPACE + '+')}, ' ')"
+    """Every run of whitespace becomes one space."""
+    return f"regexp_replace({x}, {literal(SPACE_RUN)}, ' ')"
 
 
 def escape_markup(x: str) -> str:

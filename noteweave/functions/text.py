@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noteweave.functions.sqltext import SPACE
+from noteweave.functions.sqltext import SPACE, SPACES
 
 # Largest absolute epoch second a JavaScript date can hold.
 MAX_EPOCH = 8_640_000_000_000
@@ -33,7 +33,7 @@ def present(text: Column) -> Column:
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_control(text: Column) -> Column:

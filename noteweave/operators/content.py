@@ -88,15 +88,26 @@ def pick_content(texts: DataFrame, rendered: bool = False) -> DataFrame:
     matches = "filter(candidates, c -> array_contains(c.ranks, rank))"
     tested = f"slice({matches}, 1, 1)" if rendered else matches
     text = f"array_join(transform({tested}, m -> {_text_between('drops', 'greatest(m.start_pos, 0)', 'm.end_pos')}), '')"
-    chars = utf16_len(js_trim(collapse_space(text) if rendered else text))
-    measured = f"""transform({ranks}, rank -> named_struct('rank', rank,
-        'start_pos', {matches}[0].start_pos, 'end_pos', {matches}[0].end_pos, 'chars', {chars}))"""
-    pick = f"try_element_at(filter({measured}, m -> m.chars > {fixed.MIN_CANDIDATE_CHARS}), 1)"
+    chars = utf16_len(js_trim(collapse_space("acc.text") if rendered else "acc.text"))
+    # A fold, so that texts of later ranks are not built once a rank qualifies: the
+    # text of a rank enters in one step and is measured in the next.
+    state = "struct<rank:int,start_pos:int,end_pos:int,matches:int,text:string,chars:int>"
+    found = f"acc.chars > {fixed.MIN_CANDIDATE_CHARS}"
+    measure = f"""named_struct('rank', acc.rank, 'start_pos', acc.start_pos, 'end_pos', acc.end_pos,
+        'matches', acc.matches, 'text', acc.text, 'chars', {chars})"""
+    enter = f"""named_struct('rank', rank, 'start_pos', {matches}[0].start_pos, 'end_pos', {matches}[0].end_pos,
+        'matches', size({tested}), 'text', {text}, 'chars', -1)"""
+    steps = f"flatten(transform({ranks}, r -> array(r, 0)))"
+    fold = f"""aggregate({steps}, cast(NULL AS {state}),
+        (acc, rank) -> CASE WHEN {found} THEN acc WHEN rank = 0 THEN {measure} ELSE {enter} END)"""
+    folded = texts.selectExpr("*", f"{fold} AS _last")
+    pick = f"if(_last.chars > {fixed.MIN_CANDIDATE_CHARS}, _last, NULL)"
     if rendered:
         # Rendered pages fall back to the body text, whatever its length.
-        whole = f"named_struct('rank', {BODY_RANK}, 'start_pos', 0, 'end_pos', last_pos, 'chars', 0)"
+        whole = f"""named_struct('rank', {BODY_RANK}, 'start_pos', 0, 'end_pos', last_pos, 'matches', 1,
+            'text', {_text_between("drops", "0", "last_pos")}, 'chars', 0)"""
         pick = f"coalesce({pick}, {whole})"
-    return texts.selectExpr("*", f"{pick} AS pick")
+    return folded.selectExpr("*", f"{pick} AS pick").drop("_last")
 
 
 def longest_block(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
@@ -124,6 +135,9 @@ def article_text(
     below = "filter(inners, h -> h.start_pos > pick.start_pos AND h.start_pos <= pick.end_pos)"
     holes = "drops" if rendered else f"array_sort(concat(drops, {below}))"
     text = _text_between(holes, "greatest(pick.start_pos, 0)", "pick.end_pos")
+    # The measured text is the wanted one when there was one match and nothing to clean.
+    same = "pick.matches = 1" + ("" if rendered else f" AND size({below}) = 0")
+    text = f"if({same}, pick.text, {text})"
     chosen = picked.selectExpr(key, *keep, "pick.rank AS rank", f"if(pick IS NULL, NULL, {text}) AS text")
     return chosen.selectExpr(key, *keep, "rank", "text", f"{utf16_len(js_trim('text'))} AS chars")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed, html
-from noteweave.functions.html import TAG_NAME, attribute, class_names, is_tag, tag_name, token_kind
+from noteweave.functions.html import TAG_NAME, attribute, class_names, tag_name, token_kind
 from noteweave.functions.sqltext import literal, literals
 
 BODY_RANK = len(fixed.CONTENT_SELECTORS)
@@ -68,11 +68,13 @@ def _rule(tags: list[str], classes: list[str]) -> str:
     return f"opens AND (tag IN ({literals(tags)}) OR arrays_overlap(classes, array({literals(classes)})))"
 
 
-def _attribute_hint() -> str:
-    """Loose pattern for start tags whose class, id or role could match a rule."""
+def _hinted(token: str) -> str:
+    """SQL: cheap superset test for start tags whose class, id or role could match a rule."""
     words = {simple.strip(".#") for _, simple in map(_split_selector, fixed.CONTENT_SELECTORS) if simple[0] in ".#"}
     words |= {"main"} | set(fixed.DROP_CLASSES) | set(fixed.INNER_DROP_CLASSES)
-    return r"^<[a-zA-Z][^\s>]*[\s/][\s\S]*(?:" + "|".join(sorted(words)) + ")"
+    has_attribute = r"(?i)^<(?!script|style|title)[a-z][^\s/>]*[\s/][\s\S]*?(?:class|id|role)\s*="
+    has_word = r"[\s\"'=](?:" + "|".join(sorted(words)) + r")[\s\"'/>]"
+    return f"regexp_like({token}, {literal(has_attribute)}) AND regexp_like({token}, {literal(has_word)})"
 
 
 def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
@@ -86,17 +88,20 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     name carries a possibly matching attribute somewhere on the page (their end
     tags and same-named neighbours are needed for pairing).
     """
-    hinted = f"""array_distinct(transform(filter(tokens, t -> regexp_like(t, {literal(_attribute_hint())})),
+    hinted = f"""array_distinct(transform(filter(tokens, t -> startswith(t, '<') AND {_hinted("t")}),
         t -> lower(regexp_extract(t, {literal(TAG_NAME)}, 1))))"""
     per_page = pages.select(key, html.tokens(F.col(html_col)).alias("tokens")).selectExpr(
         key, "tokens", f"{hinted} AS hinted", "size(tokens) - 1 AS last_pos"
     )
-    named = literals([*NAMED_TAGS, *also])
+    named = rf"(?i)^</?(?:{'|'.join([*NAMED_TAGS, *also])})[\s/>]"
+    name = f"lower(regexp_extract(token, {literal(TAG_NAME)}, 1))"
     events = (
         per_page.select(key, "hinted", "last_pos", F.posexplode_outer("tokens").alias("pos", "token"))
-        .where(is_tag(F.col("token")))
-        .select("*", tag_name(F.col("token")).alias("tag"), (~F.startswith("token", F.lit("</"))).alias("opens"))
-        .where(f"tag IN ({named}) OR array_contains(hinted, tag)")
+        .where(
+            f"""startswith(token, '<') AND (regexp_like(token, {literal(named)})
+                OR (size(hinted) > 0 AND array_contains(hinted, {name})))"""
+        )
+        .selectExpr("*", f"{name} AS tag", "NOT startswith(token, '</') AS opens")
     )
     with_attributes = events.select(
         key,
