@@ -46,10 +46,10 @@ def _matches(simple: str) -> str:
     if simple.startswith("."):
         return f"array_contains(classes, {literal(simple[1:])})"
     if simple.startswith("#"):
-        return f"id = {literal(simple[1:])}"
+        return f"_id = {literal(simple[1:])}"
     if simple.startswith("["):
         name, _, value = simple.strip("[]").partition("=")
-        return f"{name} = {literal(value.strip(chr(34)))}"
+        return f"_{name} = {literal(value.strip(chr(34)))}"
     return f"tag = {literal(simple)}"
 
 
@@ -110,8 +110,8 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
         "tag",
         "opens",
         F.when(F.col("opens"), class_names(F.col("token"))).alias("classes"),
-        F.when(F.col("opens"), attribute(F.col("token"), "id")).alias("id"),
-        F.when(F.col("opens"), attribute(F.col("token"), "role")).alias("role"),
+        F.when(F.col("opens"), attribute(F.col("token"), "id")).alias("_id"),
+        F.when(F.col("opens"), attribute(F.col("token"), "role")).alias("_role"),
     )
     return with_attributes.selectExpr(
         key,

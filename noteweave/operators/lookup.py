@@ -145,3 +145,15 @@ def add_page_content(
         .withColumn("page_error", F.when(~is_stub, F.coalesce("_error", F.when(F.col("_status").isNull(), "Invalid URL"))))
         .drop("_stub", "_found", "_status", "_method", "_error")
     )
+
+
+def without_pages(bookmarks: DataFrame) -> DataFrame:
+    """The result columns for a run that looks no pages up."""
+    return bookmarks.select(
+        "*",
+        F.lit("ok").alias("page_status"),
+        F.lit(True).alias("success"),
+        F.lit("none").alias("method"),
+        F.lit("none").alias("route"),
+        F.lit(None).cast("string").alias("page_error"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
 from noteweave.operators import enex, ledger, notes, order
-from noteweave.operators.lookup import add_page_content
+from noteweave.operators.lookup import add_page_content, without_pages
 from noteweave.session import configure
 from noteweave.sources.bookmarks import read_bookmarks
 from noteweave.sources.enex import read_enex, read_enex_header, write_parts
@@ -38,25 +38,17 @@ def convert(
     """
     configure(spark)
     notes_path, ledger_path = f"{out}/notes", f"{out}/ledger"
-    done = read_ledger(spark, ledger_path if resume else f"{out}/none")
-    batch_id = (done.agg(F.max("batch_id")).first()[0] or 0) + 1 if resume else 0
+    done = read_ledger(spark, ledger_path) if resume else None
+    batch_id = 0 if done is None else (done.agg(F.max("batch_id")).first()[0] or 0) + 1
 
     # The limit counts rows of the table, not of what is left to do.
     rows = order.first_rows(read_bookmarks(spark, bookmarks_csv, multi_line, f"{out}/work/splits-{batch_id}"), limit)
-    if resume:
+    if done is not None:
         rows = ledger.not_processed(rows, done)
     if pages is not None:
         rows = add_page_content(rows, pages, rendered, work_dir=f"{out}/work/first-{batch_id}")
     else:
-        rows = rows.withColumns(
-            {
-                "success": F.lit(True),
-                "method": F.lit("none"),
-                "page_status": F.lit("ok"),
-                "page_error": F.lit(None).cast("string"),
-                "route": F.lit("none"),
-            }
-        )
+        rows = without_pages(rows)
     rows = rows.withColumns({"raw_url": F.col("url"), "batch_id": F.lit(batch_id).cast("bigint")})
     new_notes = notes.make_notes(rows, day, author)
     writer = new_notes.write.mode("overwrite").partitionBy("batch_id")
@@ -64,10 +56,8 @@ def convert(
 
     stored = spark.read.parquet(notes_path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
     latest = stored.where(F.col("batch_id") == batch_id)
-    entries = ledger.to_ledger(latest.drop("url").withColumnRenamed("raw_url", "url"), batch_id)
-    if not resume:
-        append_ledger(entries.limit(0), f"{out}/none")
-    append_ledger(entries, ledger_path)
+    entries = ledger.to_ledger(latest.withColumnRenamed("raw_url", "url"), batch_id)
+    append_ledger(entries, ledger_path, replace=not resume)
 
     all_notes = ledger.merge_runs(stored.where(F.col("batch_id") < batch_id), latest) if resume else latest
     good, bad = notes.quarantine(all_notes)

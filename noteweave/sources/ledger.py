@@ -19,9 +19,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Write the rows of whole batches; writing a batch again replaces it."""
+def append_ledger(rows: DataFrame, path: str, replace: bool = False) -> None:
+    """Write the rows of whole batches; writing a batch again replaces it.
+
+    ``replace`` starts a new ledger.
+    """
     columns = [rows[name] for name in LEDGER.fieldNames()]
-    rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "batch_id"
-    ).parquet(path)
+    writer = rows.select(*columns).write.mode("overwrite").partitionBy("batch_id")
+    writer.option("partitionOverwriteMode", "static" if replace else "dynamic").parquet(path)

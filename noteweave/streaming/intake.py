@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noteweave.operators.lookup import add_page_content
+from noteweave.operators.lookup import add_page_content, without_pages
 from noteweave.operators.notes import DEFAULT_AUTHOR, make_notes
 from noteweave.sources.bookmarks import csv_reader
 from noteweave.sources.ledger import append_ledger
@@ -49,15 +49,7 @@ def start_intake(
             work = f"{out}/work/batch-{batch_id}"
             rows = add_page_content(batch, pages, rendered, work_dir=work)
         else:
-            rows = batch.withColumns(
-                {
-                    "success": F.lit(True),
-                    "method": F.lit("none"),
-                    "page_status": F.lit("ok"),
-                    "page_error": F.lit(None).cast("string"),
-                    "route": F.lit("none"),
-                }
-            )
+            rows = without_pages(batch)
         rows = rows.withColumns({"raw_url": F.col("url"), "batch_id": F.lit(batch_id).cast("bigint")})
         notes = make_notes(rows, day, author)
         notes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
