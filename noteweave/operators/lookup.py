@@ -17,33 +17,35 @@ from noteweave.session import shared_dir
 MISSING_PAGE = "page not in snapshot"
 
 
-def _snapshot(pages: DataFrame, urls: DataFrame, order: str) -> DataFrame:
-    """Latest page per wanted url: ``url, content_type, error, html``.
+def _snapshot(urls: DataFrame, pages: DataFrame, order: str) -> DataFrame:
+    """Every url with its latest page: ``url, content_type, error, html, found``.
 
-    Pages nobody asked for go first, before copies are reduced and before any
-    text is looked at.
+    Copies are reduced per task before the shuffle, so one url with a large share
+    of the snapshot reaches its reducer as one row per task.  The left join comes
+    after that and finds both sides hashed by url.  (A semi join would be moved
+    below the aggregate and bring all copies of a url together first.)
     """
-    wanted = pages.join(urls.select("url"), "url", "left_semi")
-    if order in pages.columns:
-        wanted = latest_by(wanted, "url", order)
+    if order not in pages.columns:
+        order = "html" if "html" in pages.columns else "body"
     defaults = {"content_type": F.lit(fixed.TEXT_CONTENT_TYPES[0]), "error": F.lit(None).cast("string")}
-    for name, value in defaults.items():
-        if name not in wanted.columns:
-            wanted = wanted.withColumn(name, value)
-    if "html" not in wanted.columns:
-        wanted = wanted.withColumn("html", decode_body(F.col("body")))
-    return wanted.select("url", "content_type", "error", "html")
+    missing = [value.alias(name) for name, value in defaults.items() if name not in pages.columns]
+    body = "html" if "html" in pages.columns else "body"
+    columns = ["url", order, body, *[name for name in defaults if name in pages.columns]]
+    latest = latest_by(pages.select(*dict.fromkeys(columns)), "url", order)
+    text = F.col("html") if body == "html" else decode_body(F.col("body"))
+    latest = latest.select("*", *missing).select(
+        "url", "content_type", "error", text.alias("html"), F.lit(True).alias("found")
+    )
+    return urls.select("url").join(latest, "url", "left")
 
 
 def first_results(urls: DataFrame, pages: DataFrame, order: str = "page_id") -> DataFrame:
     """``url, content, status, error, method`` of every distinct url, by page lookup."""
-    snapshot = _snapshot(pages, urls, order)
-    readable = F.col("error").isNull() & is_text_type(F.col("content_type"))
-    snapshot = snapshot.withColumn("readable", readable).withColumn(
-        "html", F.when(F.col("readable"), F.col("html")).otherwise(F.lit(""))
+    readable = F.when(F.col("found"), F.col("error").isNull() & is_text_type(F.col("content_type")))
+    snapshot = _snapshot(urls, pages, order).select(
+        "url", "content_type", "error", readable.alias("readable"), F.when(readable, F.col("html")).alias("html")
     )
-    found = extract(snapshot, "url", keep=("content_type", "error", "readable"))
-    results = urls.select("url").join(found, "url", "left")
+    results = extract(snapshot, "url", keep=("content_type", "error", "readable"))
     problem = (
         F.when(F.col("readable").isNull(), F.lit(MISSING_PAGE))
         .when(F.col("error").isNotNull(), F.col("error"))
@@ -77,7 +79,7 @@ def with_fallback(results: DataFrame, rendered: DataFrame, order: str = "page_id
     """
     failing = results.where(~succeeded()).select("url")
     columns = ["url", "html"] + [c for c in (order,) if c in rendered.columns]
-    snapshot = _snapshot(rendered.select(*columns), failing, order).select("url", "html")
+    snapshot = _snapshot(failing, rendered.select(*columns), order).where("found").select("url", "html")
     found = extract(snapshot, "url", rendered=True).select(
         "url", F.col("content").alias("_content"), F.col("status").alias("_status")
     )
