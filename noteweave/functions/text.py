@@ -9,8 +9,8 @@ from noteweave.functions.sqltext import SPACE, SPACES
 
 # Largest absolute epoch second a JavaScript date can hold.
 MAX_EPOCH = 8_640_000_000_000
-# Characters XML 1.0 does not allow.
-XML_ILLEGAL = r"[^\x09\x0a\x0d\x20-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]"
+# Characters XML 1.0 does not allow (a string cannot hold lone surrogates).
+XML_ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]"
 
 
 def fill(template: str, **columns: Column) -> Column:

@@ -25,10 +25,12 @@ def left_lookup(
 
     Rows of a hot key spread over ``spread`` salts by their own id (the same salt
     when a task is run again) and its single lookup row is repeated per salt.
-    Everything else keeps salt 0 and is not repeated.
+    Rows without a key match nothing and spread the same way.  Everything else
+    keeps salt 0 and is not repeated.
     """
     hot = F.broadcast(hot_keys(rows, key, share).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(spread))).otherwise(F.lit(0).cast("bigint"))
+    spreads = F.col("_hot") | F.col(key).isNull()
+    salt = F.when(spreads, F.pmod(F.xxhash64(row_id), F.lit(spread))).otherwise(F.lit(0).cast("bigint"))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))
     salts = F.coalesce(salts, F.array(F.lit(0).cast("bigint")))
     left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")

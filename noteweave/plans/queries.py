@@ -5,6 +5,8 @@ Each function takes a session and a table folder and returns flat columns.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -376,8 +378,20 @@ def stream_metrics(spark, sf):
     return ledger.batch_metrics(read_ledger(spark, f"{out}/ledger"))
 
 
+def _wide(query):
+    """The query with its int columns as bigint, the integer type of the tables."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        table = query(spark, sf)
+        narrow = {name: F.col(name).cast("bigint") for name, kind in table.dtypes if kind == "int"}
+        return table.withColumns(narrow) if narrow else table
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _wide(f)
     for f in (
         bookmark_rows, limit_rows, notes_plain, note_tags, document_notes,
         url_file_class, content_type_route, page_charset, page_decode,
