@@ -106,7 +106,7 @@ def dedup_lines(
     )
     seen = lines.groupBy("hash", "words").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
     repeated = seen.where("first <> last")
-    shared = stored(lines.join(repeated, ["hash", "words"]).select("k", "at", "hash", "words", "first", "n").distinct())
+    shared = stored(lines.join(repeated, ["hash", "words"]).select("k", "at", "hash", "words", "first", "n"))
 
     # Lines in few places pair all their documents, others only each document with the first.
     few = shared.where(F.col("n") <= rare).groupBy("hash", "words").agg(F.array_sort(F.collect_set("k")).alias("ks"))
@@ -115,7 +115,7 @@ def dedup_lines(
     rest = shared.where((F.col("n") > rare) & (F.col("k") != F.col("first"))).select(F.col("k").alias("later"), F.col("first").alias("earlier"))
     pairs = among.union(rest).distinct()
 
-    lists = shared.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "words"))).alias("lines"))
+    lists = shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "hash", "words"))).alias("lines"))
     left = pairs.join(lists.select(F.col("k").alias("later"), F.col("lines").alias("later_lines")), "later")
     both = left.join(lists.select(F.col("k").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
 

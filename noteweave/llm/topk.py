@@ -30,7 +30,7 @@ def pack_bits(flags: np.ndarray) -> np.ndarray:
     pad = -flags.shape[-1] % 64
     if pad:
         flags = np.concatenate([flags, np.zeros((*flags.shape[:-1], pad), bool)], axis=-1)
-    return np.packbits(flags, axis=-1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(flags, axis=-1, bitorder="little")).view("<u8")
 
 
 def add_into(total: list[np.ndarray], at: int, part: list[np.ndarray]) -> None:
