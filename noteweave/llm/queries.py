@@ -10,6 +10,7 @@ from noteweave.llm.binary import materialise, read_slots
 from noteweave.llm.langid import fit, identify
 from noteweave.llm.linedup import dedup_lines
 from noteweave.llm.mixing import Weights, mix
+from noteweave.llm.oracles import TOP_K, URL_FILTERS, mix_sql
 from noteweave.llm.packing import pack
 from noteweave.llm.simhash import near_duplicates
 from noteweave.llm.sketch import containment, fingerprint_text, fingerprints_with_edits, resemblance
@@ -111,4 +112,9 @@ LLM_QUERIES = {
     )
 }
 
-LLM_ORACLES: dict[str, str] = {}
+#: SimHash, tokenizers, sketches and learnt models have no SQL; those queries are tested against plain Python.
+LLM_ORACLES = {
+    "op2_mix_sources": mix_sql(DOMAIN, MIX_SHARE, MIX_WEIGHTS, 4, 7),
+    "op3_top_k_bitsliced": TOP_K,
+    "op9_url_filters": URL_FILTERS,
+}
