@@ -16,7 +16,7 @@ WORDS = 5
 #: One of 2**BITS hashes is retained.
 BITS = 2
 #: Rows of one bucket of the document order, and most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 3000, 20_000
+BUCKET_ROWS, MOST_BUCKETS = 500, 20_000
 #: Step of the coarse level of the bucket search.
 STRIDE = 128
 
