@@ -129,7 +129,6 @@ EXPORT_CLOSE = "</en-export>"
 PART_NAME = "%s_part%03d.enex"
 
 # --- defaults of the job options -------------------------------------------------------
-DEFAULT_LIMIT = 999999
 DEFAULT_BATCH_SIZE = 10
 DEFAULT_CHECKPOINT_INTERVAL = 100
 DEFAULT_NOTES_PER_PART = 1000

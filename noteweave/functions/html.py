@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +12,15 @@ from noteweave.functions.sqltext import literal
 
 # --- tokens -------------------------------------------------------------------
 # A comment, a whole script/style/title element, a tag, a bogus comment, a run of
-# text, or a stray '<'.  Possessive quantifiers keep matching linear and off the
-# Java call stack.
+# text, or a stray '<'.  What is left open, a quote included, ends with the page, so no
+# character is scanned for an end twice.  Possessive quantifiers keep matching
+# linear and off the Java call stack.
 _RAW = r"<{0}(?:[\s/][^>]*)?>[\s\S]*?(?:</{0}[\s/]*>|\z)"
 TOKEN = (
     r"(?i)<!--(?:-?>|[\s\S]*?(?:--!?>|\z))"
     + "".join("|" + _RAW.format(name) for name in ("script", "style", "title"))
-    + r"""|</?[a-z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
-    + r"|<[!?/][^>]*>|[^<]+|<"
+    + r"""|</?[a-z](?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+)*+(?:>|\z)"""
+    + r"|<[!?/][^>]*+(?:>|\z)|[^<]+|<"
 )
 RAW_START = r"(?i)^<(?:script|style|title)[\s/>]"
 TAG_START = r"^</?[a-zA-Z]"
@@ -54,10 +55,15 @@ def tag_name(token: Column) -> Column:
 
 
 def attribute(token: Column, name: str) -> Column:
-    """Value of an attribute of a start tag, ``''`` when absent."""
-    head = rf"(?i)[\s\"'/]{name}\s*=\s*"
-    forms = [r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)"]
-    return F.concat(*[F.regexp_extract(token, head + form, 1) for form in forms])
+    """Value of an attribute of a start tag, ``''`` when absent.
+
+    The attributes before it are walked in order, so a value that looks like one is not taken for it.
+    """
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    before = rf"""(?:[\s/]*+(?!{name}\s*=)[^\s"'<>/=]++(?:\s*+=\s*+{value})?+)*+"""
+    wanted = rf"""[\s/]*+{name}\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    pattern = rf"(?i)^<[a-z][^\s/>]*+(?=[\s/]){before}{wanted}"
+    return F.concat(*[F.coalesce(F.regexp_extract(token, pattern, group), F.lit("")) for group in (1, 2, 3)])
 
 
 def class_names(token: Column) -> Column:
@@ -65,18 +71,11 @@ def class_names(token: Column) -> Column:
 
 
 # --- entities --------------------------------------------------------------------
-def _known_names() -> dict[str, str]:
-    """HTML 4 names plus ``apos``, in every spelling HTML 5 allows for them."""
-    base = set(name2codepoint) | {"apos", "AMP", "LT", "GT", "QUOT", "COPY", "REG"}
-    known = {name: text for name, text in html5.items() if name.rstrip(";") in base}
-    frequent = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"]
-    return {name: known[name] for name in frequent + [n for n in known if n not in frequent]}
-
-
-_NAMES = _known_names()
-_NAME_CHOICE = "|".join(sorted(_NAMES, key=len, reverse=True))
+#: Names of the HTML standard; those without a semicolon are also read as the beginning of a longer word.
+_NAMES = json.dumps(html5, ensure_ascii=False)
+_OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
 _NUMERIC = r"#[0-9]+;?|#[xX][0-9a-fA-F]+;?"
-_ENTITY_OR_TEXT = rf"&(?:{_NUMERIC}|{_NAME_CHOICE})|[^&]+|&"
+_ENTITY_OR_TEXT = rf"&(?:{_NUMERIC}|[a-zA-Z][a-zA-Z0-9]*+;?)|[^&]+|&"
 _INVALID = "\ufffd"
 
 
@@ -94,13 +93,15 @@ def decode_entities(x: str) -> str:
     decimal = f"regexp_extract(piece, {literal('^&#([0-9]+)')}, 1)"
     significant = f"concat('0', ltrim('0', regexp_extract(piece, {literal('^&#[xX]([0-9a-fA-F]+)')}, 1)))"
     hexadecimal = f"if(length({significant}) <= 9, cast(conv({significant}, 16, 10) AS bigint), NULL)"
-    names = f"from_json({literal(json.dumps(_NAMES, ensure_ascii=False))}, 'map<string,string>')"
+    names = f"from_json({literal(_NAMES)}, 'map<string,string>')"
+    start = f"regexp_extract(piece, {literal(f'^&({_OPEN_NAMES})')}, 1)"
+    opened = f"concat(coalesce(try_element_at({names}, {start}), '&'), substring(piece, 2 + length({start})))"
     pieces = f"regexp_extract_all({x}, {literal(_ENTITY_OR_TEXT)}, 0)"
     return f"""CASE WHEN contains({x}, '&') THEN array_join(transform({pieces}, piece -> CASE
         WHEN NOT startswith(piece, '&') OR piece = '&' THEN piece
         WHEN regexp_like(piece, '^&#[0-9]') THEN {_char(f"try_cast({decimal} AS bigint)")}
         WHEN startswith(piece, '&#') THEN {_char(hexadecimal)}
-        ELSE try_element_at({names}, substring(piece, 2)) END), '') ELSE {x} END"""
+        ELSE coalesce(try_element_at({names}, substring(piece, 2)), {opened}) END), '') ELSE {x} END"""
 
 
 # Tags a browser puts on their own line when it renders text.

@@ -139,7 +139,8 @@ def article_text(
     same = "pick.matches = 1" + ("" if rendered else f" AND size({below}) = 0")
     text = f"if({same}, pick.text, {text})"
     chosen = picked.selectExpr(key, *keep, "pick.rank AS rank", f"if(pick IS NULL, NULL, {text}) AS text")
-    return chosen.selectExpr(key, *keep, "rank", "text", f"{utf16_len(js_trim('text'))} AS chars")
+    seen = collapse_space("text") if rendered else "text"  # visible text shows white space once
+    return chosen.selectExpr(key, *keep, "rank", "text", f"{utf16_len(js_trim(seen))} AS chars")
 
 
 def extract(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noteweave.functions import fixed
 from noteweave.functions.text import compact_time, escape_html, fill
@@ -94,6 +95,26 @@ def document_lines(
     )
 
 
+def block_lines(blocks: DataFrame, base: str, header: str, footer: str, notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART) -> DataFrame:
+    """``part_no, file_name, note_idx, line`` of notes as they stand (``note_idx`` is dense).
+
+    Joined by newlines the lines of a part are the header, its blocks and the footer.
+    """
+    last = blocks.agg(F.max("note_idx").alias("last")).scalar()
+    index = F.col("note_idx")
+    part = part_number(notes_per_part, "note_idx")
+    opens = index % notes_per_part == 0
+    closes = (index % notes_per_part == notes_per_part - 1) | (index == last)
+    line = F.concat(F.when(opens, F.lit(header)).otherwise(F.lit("")), "block", F.when(closes, F.lit(footer)).otherwise(F.lit("")))
+    return blocks.select(part.alias("part_no"), part_name(base, part).alias("file_name"), index.alias("note_idx"), line.alias("line"))
+
+
+def check_blocks(blocks: DataFrame) -> DataFrame:
+    """Adds ``reason``: empty, or why a note is no well-formed XML."""
+    parsed = F.from_xml("block", T.StructType([T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"})
+    return blocks.withColumn("reason", F.when(parsed["_corrupt_record"].isNotNull(), F.lit("malformed")).otherwise(F.lit("")))
+
+
 def manifest(
     notes: DataFrame, base: str, notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART, index: str = "note_idx"
 ) -> DataFrame:

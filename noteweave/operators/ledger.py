@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
-from noteweave.operators.order import running_totals
+from noteweave.operators.order import renumber, running_totals
 
 
 def to_ledger(results: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -22,9 +22,19 @@ def to_ledger(results: DataFrame, batch_id: int = 0) -> DataFrame:
     )
 
 
-def run_stats(ledger: DataFrame, total: int | None = None, interval: int = fixed.DEFAULT_CHECKPOINT_INTERVAL) -> DataFrame:
-    """One row of counters and rates; rates are null when nothing was processed."""
-    seconds = F.unix_micros(F.max("processed_at")) / 1e6 - F.unix_micros(F.min("processed_at")) / 1e6
+def run_stats(
+    ledger: DataFrame,
+    total: int | None = None,
+    interval: int = fixed.DEFAULT_CHECKPOINT_INTERVAL,
+    seconds: float | None = None,
+) -> DataFrame:
+    """One row of counters and rates; rates are null when nothing was processed.
+
+    ``seconds`` is the measured time of the run.  Without it the time between the first and the last row counts, which
+    is zero for a run of a single batch.
+    """
+    between = F.unix_micros(F.max("processed_at")) / 1e6 - F.unix_micros(F.min("processed_at")) / 1e6
+    seconds = between if seconds is None else F.lit(float(seconds))
     counts = ledger.agg(
         F.count("*").alias("processed"),
         F.count_if(~F.col("success")).alias("failed"),
@@ -59,17 +69,16 @@ def first_failures(ledger: DataFrame, shown: int = fixed.FAILURES_SHOWN) -> Data
 
 
 def checkpoint_marks(ledger: DataFrame, interval: int = fixed.DEFAULT_CHECKPOINT_INTERVAL) -> DataFrame:
-    """Counters as of every completed interval.
+    """Counters as of every ``interval`` processed rows, in row order and whatever rows are missing.
 
-    The ledger is reduced to one row per interval before any order matters; the
-    running totals then go over interval numbers.
+    Rows of the narrow ledger are counted first; one row per interval is left before the running totals.
     """
-    blocks = ledger.groupBy(F.expr(f"row_idx div {int(interval)}").alias("interval_no")).agg(
+    counted = renumber(ledger.select("row_idx", "success"), "row_idx", "_nth")
+    blocks = counted.groupBy(F.expr(f"_nth div {int(interval)}").alias("interval_no")).agg(
         F.count("*").alias("_rows"), F.count_if(~F.col("success")).alias("_bad"), F.max("row_idx").alias("last_row_idx")
     )
     running = running_totals(blocks, "interval_no", processed=F.col("_rows"), failed=F.col("_bad"))
-    complete = (F.col("last_row_idx") + 1) % interval == 0
-    return running.where(complete).select(
+    return running.where(F.col("_rows") == interval).select(
         (F.col("interval_no") + 1).alias("mark_no"), "last_row_idx", "processed", "failed"
     )
 

@@ -88,9 +88,9 @@ def renumber(table: DataFrame, order: str = "row_idx", name: str = "note_idx") -
     return counted.withColumn(name, F.col("_n") - 1).drop("_n")
 
 
-def first_rows(table: DataFrame, limit: int = fixed.DEFAULT_LIMIT, index: str = "row_idx") -> DataFrame:
-    """The first ``limit`` rows of the table in row order."""
-    return table.where(F.col(index) < limit)
+def first_rows(table: DataFrame, limit: int | None = None, index: str = "row_idx") -> DataFrame:
+    """The first ``limit`` rows of the table in row order; all rows without a limit."""
+    return table if limit is None else table.where(F.col(index) < limit)
 
 
 def slice_rows(table: DataFrame, start: int, stop: int, index: str = "row_idx") -> DataFrame:

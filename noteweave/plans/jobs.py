@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from noteweave.operators import enex, ledger, notes, order
 from noteweave.operators.lookup import add_page_content, without_pages
 from noteweave.session import configure
 from noteweave.sources.bookmarks import read_bookmarks
-from noteweave.sources.enex import read_enex, read_enex_header, write_parts
+from noteweave.sources.enex import note_blocks, read_enclosure, write_parts
 from noteweave.sources.ledger import append_ledger, read_ledger
 
 
@@ -23,7 +25,7 @@ def convert(
     base: str = "bookmarks",
     pages: DataFrame | None = None,
     rendered: DataFrame | None = None,
-    limit: int = fixed.DEFAULT_LIMIT,
+    limit: int | None = None,
     resume: bool = False,
     notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART,
     author: str = notes.DEFAULT_AUTHOR,
@@ -31,18 +33,21 @@ def convert(
 ) -> DataFrame:
     """Bookmark CSV to numbered ENEX parts; returns the run statistics.
 
-    Leaves ``notes``, ``ledger``, ``quarantine`` and ``parts`` below ``out``.
+    Leaves ``notes``, ``ledger``, ``quarantine``, ``failures`` and ``parts`` below ``out``.
+    The statistics count all rows of the ledger; the time is that of this run.
     With ``resume`` rows the ledger holds are skipped and all notes, old and
     new, are written once each.  Notes are stored before anything reads them
     twice.
     """
     configure(spark)
     notes_path, ledger_path = f"{out}/notes", f"{out}/ledger"
-    done = read_ledger(spark, ledger_path) if resume else None
+    began = time.monotonic()
+    done = read_ledger(spark, ledger_path, tolerant=True) if resume else None
     batch_id = 0 if done is None else (done.agg(F.max("batch_id")).first()[0] or 0) + 1
 
     # The limit counts rows of the table, not of what is left to do.
     rows = order.first_rows(read_bookmarks(spark, bookmarks_csv, multi_line, f"{out}/work/splits-{batch_id}"), limit)
+    total = rows.count()
     if done is not None:
         rows = ledger.not_processed(rows, done)
     if pages is not None:
@@ -65,7 +70,9 @@ def convert(
     if good.isEmpty():
         raise ValueError("no valid notes to write")
     write_parts(enex.document_lines(good, base, export_date, notes_per_part), f"{out}/parts")
-    return ledger.run_stats(read_ledger(spark, ledger_path))
+    entries = read_ledger(spark, ledger_path)
+    ledger.first_failures(entries).write.mode("overwrite").parquet(f"{out}/failures")
+    return ledger.run_stats(entries, total, seconds=time.monotonic() - began)
 
 
 def split(
@@ -73,17 +80,24 @@ def split(
 ) -> DataFrame:
     """ENEX files to numbered parts below ``out``; returns the manifest.
 
-    Every part gets the root attributes of the input.
+    Notes, header and footer are copied as they stand.  A note that is no well-formed XML goes to
+    ``out/quarantine`` instead, and ``quarantined`` of the manifest counts those.  Blocks are checked and stored once.
     """
     configure(spark)
     if notes_per_part <= 0:
         raise ValueError("notes per part must be a positive number")
-    header = read_enex_header(spark, enex_path)
-    found = read_enex(spark, enex_path, f"{out}/work/splits")
-    first = found.first()
-    if first is None:
-        raise ValueError("no notes found")
-    base = first["base_name"]
-    lines = enex.document_lines(found, base, notes_per_part=notes_per_part, dense="row_idx", **header)
-    write_parts(lines, f"{out}/parts")
-    return enex.manifest(found, base, notes_per_part, "row_idx")
+    header, footer = read_enclosure(spark, enex_path)
+    stored = f"{out}/work/blocks"
+    checked = enex.check_blocks(note_blocks(spark, enex_path, f"{out}/work/splits"))
+    checked.write.mode("overwrite").parquet(stored)
+    blocks = spark.read.parquet(stored)
+    bad = blocks.where("reason <> ''")
+    bad.select("row_idx", "block", "reason").write.mode("overwrite").parquet(f"{out}/quarantine")
+    counts = blocks.agg(F.count_if(F.col("reason") == "").alias("good"), F.count_if(F.col("reason") != "").alias("bad"), F.min_by("base_name", "row_idx").alias("base")).first()
+    if not counts["good"]:
+        raise ValueError("no well-formed notes found")
+    # Positions close up over quarantined notes: numbered on the narrow index only.
+    narrow = order.renumber(blocks.where("reason = ''").select("row_idx"), "row_idx", "note_idx")
+    good = blocks.where("reason = ''").join(narrow, "row_idx")
+    write_parts(enex.block_lines(good, counts["base"], header, footer, notes_per_part), f"{out}/parts")
+    return enex.manifest(narrow, counts["base"], notes_per_part).withColumn("quarantined", F.lit(counts["bad"]).cast("bigint"))

@@ -15,7 +15,7 @@ from noteweave.functions.notes import add_method_label
 from noteweave.operators import content, elements, enex, ledger, lookup, notes, order
 from noteweave.session import configure, shared_dir
 from noteweave.sources.bookmarks import CSV_OPTIONS, bookmarks_from_pages
-from noteweave.sources.enex import read_enex, write_parts
+from noteweave.sources.enex import note_blocks, read_enclosure, read_enex, write_parts
 from noteweave.sources.ledger import read_ledger
 from noteweave.sources.tables import read_table, spread
 from noteweave.streaming.intake import start_intake
@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 def _events_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The event table read as a processing ledger."""
     return read_table(configure(spark), sf, "events").select(
-        F.col("event_id").alias("row_idx"),
+        F.expr("event_id * 2 + event_id div 9 * 1000").alias("row_idx"),  # with gaps
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("url"),
         (F.col("event_type") != "error").alias("success"),
         F.col("ts").cast("timestamp").alias("processed_at"),
@@ -112,7 +112,7 @@ def note_tags(spark, sf):
 def document_notes(spark, sf):
     rows = _documents(spark, sf).select(
         F.col("doc_id").alias("row_idx"),
-        F.substring("text", 1, 40).alias("title"),
+        F.element_at(F.split("text", "\n"), 1).alias("title"),  # the first line
         F.concat(F.lit("https://docs.example.org/"), F.col("source"), F.lit("?id="), F.col("doc_id").cast("string"), F.lit("&x='1'")).alias("url"),
         F.col("doc_id").cast("string").alias("time_added"),
         F.col("lang").alias("tags"),
@@ -161,9 +161,11 @@ def page_charset(spark, sf):
 
 def page_decode(spark, sf):
     form = F.element_at(F.array(*map(F.lit, CHARSET_FORMS)), (F.col("page_id") % 5 + 1).cast("int"))
-    ascii_html = F.regexp_replace(F.replace("html", F.lit('charset="utf-8"'), form), r"[^\x00-\x7f]", "")
-    page = F.concat(ascii_html, F.lit("\u65e5\u672c\u8a9e"), F.col("page_id").cast("string"))
     kind = F.col("page_id") % 5
+    marked = F.replace("html", F.lit('charset="utf-8"'), form)
+    # The Japanese charsets lack the letters of the pages' languages; they get one that they hold.
+    held = F.when(kind < 4, F.regexp_replace(marked, r"[^\x00-\x7f]", "\u8a9e")).otherwise(marked)
+    page = F.concat(held, F.lit("\u65e5\u672c\u8a9e"), F.col("page_id").cast("string"))
     body = (
         F.when(kind < 2, F.encode(page, "EUC-JP"))
         .when(kind < 4, F.encode(page, "Shift_JIS"))
@@ -304,15 +306,20 @@ def resume_union(spark, sf):
 
 
 # --- documents -----------------------------------------------------------------------------------------
+def _with_gaps(rows: DataFrame) -> DataFrame:
+    """All rows, with positions that leave gaps of several widths."""
+    return rows.withColumn("row_idx", F.expr("row_idx * 3 + row_idx div 7 * 100000"))
+
+
 def split_manifest(spark, sf):
     rows = read_table(configure(spark), sf, "documents").select(F.col("doc_id").alias("row_idx"))
-    kept = order.renumber(rows.where("row_idx % 10 <> 3"), "row_idx", "note_idx")
+    kept = order.renumber(_with_gaps(rows), "row_idx", "note_idx")
     return enex.manifest(kept, "documents", DOCUMENTS_PER_PART)
 
 
 def row_slices(spark, sf):
     rows = read_table(configure(spark), sf, "documents").select(F.col("doc_id").alias("row_idx"), "n_chars")
-    kept = order.renumber(rows.where("row_idx % 4 <> 1"), "row_idx", "note_idx")
+    kept = order.renumber(_with_gaps(rows), "row_idx", "note_idx")
     return order.slice_rows(kept, 100, 400, "note_idx")
 
 
@@ -328,6 +335,32 @@ def enex_roundtrip(spark, sf):
     return flat(read_enex(spark, path, shared_dir(spark, "splits")), "row_idx")
 
 
+FOREIGN_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<en-export\n  export-date="20240131T000000Z"\n  application="Other"\n  version="9">\n'
+FOREIGN_TAIL = "\n<!-- end -->\n</en-export>\n"
+FOREIGN_FILE, FOREIGN_PART = 450, 200
+
+
+def split_foreign(spark, sf):
+    """Notes of another program, with elements this one does not know, split as they stand."""
+    rows = read_table(configure(spark), sf, "documents")
+    body = F.format_string(
+        "<note>\n<title>%s</title><content><![CDATA[<en-note>%s</en-note>]]></content><created>20240101T000000Z</created>"
+        "<note-attributes><latitude>1.5</latitude><reminder-order>%d</reminder-order></note-attributes>"
+        '<resource><data encoding="base64">%s</data><mime>image/png</mime></resource></note>',
+        "source", text.escape_markup(F.col("text")), "doc_id", F.base64(F.col("lang").cast("binary")),
+    )
+    broken = F.format_string("<note><title>%d <b></title></note>", "doc_id")
+    numbered = order.renumber(rows.select("doc_id", F.when(F.col("doc_id") % 97 == 13, broken).otherwise(body).alias("block")), "doc_id", "note_idx")
+    path = shared_dir(spark, "foreign")
+    write_parts(enex.block_lines(numbered, "foreign", FOREIGN_HEAD, FOREIGN_TAIL.rstrip("\n"), FOREIGN_FILE), path)
+    header, footer = read_enclosure(spark, path)
+    checked = enex.check_blocks(note_blocks(spark, path, shared_dir(spark, "splits")))
+    good = order.renumber(checked.where("reason = ''").select("row_idx", "block"), "row_idx", "note_idx")
+    lines = enex.block_lines(good, "foreign", header, footer, FOREIGN_PART).select("part_no", "note_idx", "line", F.lit("").alias("reason"))
+    bad = checked.where("reason <> ''").select(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), "block", "reason")
+    return lines.union(bad)
+
+
 def _marked_documents(spark, sf) -> DataFrame:
     """Document notes, some with characters XML does not allow."""
     index = F.col("doc_id")
@@ -399,7 +432,7 @@ QUERIES = {
         document_paragraphs, page_enml,
         scrape_join, fallback_chain, method_breakdown, method_labels, notes_full,
         run_stats, failed_first10, checkpoint_marks, resume_remaining, resume_union,
-        split_manifest, row_slices, enex_parts, enex_roundtrip, note_quarantine,
+        split_manifest, row_slices, enex_parts, enex_roundtrip, split_foreign, note_quarantine,
         stream_notes, stream_metrics,
     )
 }

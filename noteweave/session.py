@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,14 +40,9 @@ def build_session(app: str = "noteweave", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, not yet existing folder name below ``spark.checkpoint.dir``.
+    """A new, not yet existing folder name below ``spark.checkpoint.dir``, else below the warehouse.
 
-    Executors on other machines must see the folder, so a machine-local default
-    is only accepted on a local master.
+    Both are folders that driver and executors share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="noteweave-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +44,54 @@ def read_enex(spark: SparkSession, path: str, work_dir: str | None = None) -> Da
     )
 
 
+NOTE_START = r"<note(?=[\s/>])"
+NOTE_END = "</note>"
+
+
+def note_blocks(spark: SparkSession, path: str, work_dir: str | None = None) -> DataFrame:
+    """``row_idx, base_name, block``: every note of ENEX files as it stands, in document order.
+
+    The scan cuts the text behind each end tag, so files are read in splits and no element
+    of a note is lost.  What follows the last note of a file is no block.
+    """
+    scan = spark.read.option("lineSep", NOTE_END).text(path)
+    found = scan.where(F.regexp_like("value", F.lit(NOTE_START)))
+    file_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    named = found.select(
+        "*", "_metadata", F.regexp_extract(file_name, r"^(.*?)(\.enex)?$", 1).alias("base_name"), F.regexp_instr("value", F.lit(NOTE_START)).alias("_at")
+    )
+    numbered = number_rows(named, "row_idx", work_dir)
+    return numbered.select(
+        "row_idx", "base_name", F.concat(F.substring("value", F.col("_at"), F.length("value")), F.lit(NOTE_END)).alias("block")
+    )
+
+
+def read_enclosure(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Text in front of the first note and behind the last one, of the first file in order of name.
+
+    Both are copied to every part as they are, whatever lines and attributes they hold.
+    """
+    scan = spark.read.option("lineSep", NOTE_END).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    has_note = F.regexp_like("value", F.lit(NOTE_START))
+    row = scan.agg(
+        F.min_by(F.when(has_note, F.substring("value", F.lit(1), F.regexp_instr("value", F.lit(NOTE_START)) - 1)), F.when(has_note, F.struct("file", "at", "n"))).alias("head"),
+        F.min(F.when(has_note, F.col("file"))).alias("file"),
+    ).first()
+    if row["file"] is None:
+        raise ValueError(f"no notes found in {path}")
+    last = scan.where(F.col("file") == row["file"]).agg(F.max_by(F.struct("value", has_note.alias("note")), F.struct("at", "n")).alias("tail")).first()["tail"]
+    return row["head"], "" if last["note"] else last["value"]
+
+
 def read_enex_header(spark: SparkSession, path: str) -> dict[str, str]:
-    """Root attributes of an export; a split copies them to every part."""
-    lines = spark.read.text(path).where(F.contains("value", F.lit("<en-export")))
+    """Root attributes of an export, wherever their lines break."""
+    head, _ = read_enclosure(spark, path)
     names = {"export_date": "export-date", "application": "application", "version": "version"}
-    found = lines.select(
-        *[F.regexp_extract("value", rf'<en-export\b[^>]*\b{attr}="([^"]*)"', 1).alias(n) for n, attr in names.items()]
-    ).first()
-    if found is None:
+    root = re.search(r"<en-export\b[^>]*>", head)
+    if root is None:
         raise ValueError(f"no <en-export> element in {path}")
-    return found.asDict()
+    found = {name: re.search(rf"""\s{attribute}\s*=\s*["']([^"']*)["']""", root[0]) for name, attribute in names.items()}
+    return {name: match[1] if match else "" for name, match in found.items()}
 
 
 def write_parts(lines: DataFrame, path: str) -> None:

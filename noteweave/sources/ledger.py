@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from noteweave.schemas import LEDGER
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger rows; an absent ledger is empty, unreadable files count as absent.
+def read_ledger(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """Ledger rows; an absent ledger is empty.
 
-    A row lost that way is only processed again, and runs keep one note per row.
+    Reports need all rows, so an unreadable file is an error.  ``tolerant`` is for the resume filter: unreadable files
+    count as absent, and a row lost that way is only processed again.
     """
     try:
-        return spark.read.schema(LEDGER).option("ignoreCorruptFiles", "true").parquet(path)
+        return spark.read.schema(LEDGER).option("ignoreCorruptFiles", str(tolerant).lower()).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], LEDGER)
 

@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from noteweave.plans.oracles import ORACLES
+from noteweave.plans.queries import QUERIES
 from tests.compare import difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -12,11 +14,11 @@ needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     assert difference(spark, FOLDER, name) is None
 
