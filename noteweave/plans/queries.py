@@ -14,7 +14,7 @@ from noteweave.functions import charset, fixed, sqltext, text, urls
 from noteweave.functions.notes import add_method_label
 from noteweave.operators import content, elements, enex, ledger, lookup, notes, order
 from noteweave.session import configure, shared_dir
-from noteweave.sources.bookmarks import CSV_OPTIONS, bookmarks_from_pages
+from noteweave.sources.bookmarks import CSV_OPTIONS, bookmarks_from_pages, read_bookmarks
 from noteweave.sources.enex import note_blocks, read_enclosure, read_enex, write_parts
 from noteweave.sources.ledger import read_ledger
 from noteweave.sources.tables import read_table, spread
@@ -74,10 +74,9 @@ def _varied_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.withColumn("html", varied_html(F.col("html"), F.col("page_id")))
 
 
-def flat(table: DataFrame, *keep: str) -> DataFrame:
+def flat_columns() -> list:
     """Note columns without nesting; tags joined by ``|``."""
-    return table.select(
-        *keep,
+    return [
         "title",
         "content",
         "created",
@@ -86,7 +85,11 @@ def flat(table: DataFrame, *keep: str) -> DataFrame:
         F.col("note_attributes.source").alias("source"),
         F.col("note_attributes.source_url").alias("source_url"),
         F.array_join("tag", "|").alias("tags"),
-    )
+    ]
+
+
+def flat(table: DataFrame, *keep: str) -> DataFrame:
+    return table.select(*keep, *flat_columns())
 
 
 # --- bookmarks and plain notes --------------------------------------------------
@@ -382,13 +385,11 @@ def _marked_documents(spark, sf) -> DataFrame:
 
 
 def note_quarantine(spark, sf):
-    good, bad = notes.quarantine(notes.make_notes(_marked_documents(spark, sf), DAY))
-    kept = good.select("row_idx", "title", F.lit("").alias("reason"))
-    return kept.unionByName(bad.select("row_idx", "title", "reason"))
+    return notes.checked(notes.make_notes(_marked_documents(spark, sf), DAY)).select("row_idx", "title", "reason")
 
 
 # --- streaming ----------------------------------------------------------------------------------------------
-def _run_stream(spark, sf) -> str:
+def _run_stream(spark, sf, pages: DataFrame | None = None) -> str:
     """Feed the bookmarks as CSV files to the stream, in two runs; output folder."""
     base = shared_dir(configure(spark), "stream")
     rows = _bookmarks(spark, sf)
@@ -396,11 +397,33 @@ def _run_stream(spark, sf) -> str:
     for run, part in enumerate((rows.where("row_idx % 3 = 0"), rows.where("row_idx % 3 <> 0"))):
         writer = part.select(*columns).write.mode("append")
         writer.options(**CSV_OPTIONS, ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(f"{base}/in")
-        query = start_intake(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", DAY)
+        query = start_intake(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", DAY, pages)
         query.awaitTermination()
     return f"{base}/out"
 
 
+def csv_bookmarks(spark, sf):
+    """Bookmarks written as CSV files, with quotes and line breaks in fields, and read back in file order."""
+    index = F.col("row_idx")
+    title = F.when(index % 4 == 1, F.concat("title", F.lit(', "quoted"\nsecond line'))).otherwise(F.col("title"))
+    rows = _bookmarks(spark, sf).withColumn("title", title)
+    path = shared_dir(spark, "csv")
+    columns = ["title", "url", "time_added", "tags", "status"]
+    ordered = rows.repartitionByRange(5, "row_idx").sortWithinPartitions("row_idx").select(*columns)
+    ordered.write.options(**CSV_OPTIONS, ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False).csv(path)
+    back = read_bookmarks(spark, path, multi_line=True, work_dir=shared_dir(spark, "splits"))
+    empty = {c: F.coalesce(c, F.lit("")) for c in columns}
+    return back.withColumns(empty).select("row_idx", *columns, F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def stream_enriched(spark, sf):
+    """Notes of a stream that looks pages up, with the failures of the pages that are missing."""
+    out = _run_stream(spark, sf, _http_pages(read_table(configure(spark), sf, "pages")))
+    stored = spark.read.parquet(f"{out}/notes").select("row_idx", *flat_columns())
+    entries = read_ledger(spark, f"{out}/ledger").select("row_idx", "method", "success", "error")
+    return stored.join(entries, "row_idx").drop("row_idx")
+
+
 def stream_notes(spark, sf):
     out = _run_stream(spark, sf)
     return flat(spark.read.parquet(f"{out}/notes"))
@@ -433,6 +456,6 @@ QUERIES = {
         scrape_join, fallback_chain, method_breakdown, method_labels, notes_full,
         run_stats, failed_first10, checkpoint_marks, resume_remaining, resume_union,
         split_manifest, row_slices, enex_parts, enex_roundtrip, split_foreign, note_quarantine,
-        stream_notes, stream_metrics,
+        csv_bookmarks, stream_notes, stream_enriched, stream_metrics,
     )
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from noteweave.operators.ledger import to_ledger
 from noteweave.operators.lookup import add_page_content, without_pages
 from noteweave.operators.notes import DEFAULT_AUTHOR, make_notes
 from noteweave.sources.bookmarks import csv_reader
@@ -15,12 +16,20 @@ from noteweave.sources.ledger import append_ledger
 def bookmark_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Bookmark files as a stream.
 
-    A stream has no global row position, so ``row_idx`` is a hash of the file
-    name and the row's fields.
+    A stream has no global row position, so ``row_idx`` is a hash of the file's
+    path and the row's fields; ``count_repeats`` tells equal rows of a file apart.
     """
     rows = csv_reader(spark.readStream).option("maxFilesPerTrigger", files_per_batch).csv(path)
     fields = ("title", "url", "time_added", "tags", "status")
-    return rows.withColumn("row_idx", F.xxhash64(F.col("_metadata.file_name"), *fields))
+    return rows.withColumn("row_idx", F.xxhash64(F.col("_metadata.file_path"), *fields))
+
+
+def count_repeats(batch: DataFrame) -> DataFrame:
+    """Rows equal in all fields get their own keys: the second, third, ... occurrence is hashed in."""
+    nth = F.row_number().over(Window.partitionBy("row_idx").orderBy("row_idx"))
+    numbered = batch.withColumn("_nth", nth)
+    key = F.when(F.col("_nth") == 1, F.col("row_idx")).otherwise(F.xxhash64("row_idx", "_nth"))
+    return numbered.withColumn("row_idx", key).drop("_nth")
 
 
 def start_intake(
@@ -45,6 +54,7 @@ def start_intake(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        batch = count_repeats(batch)
         if pages is not None:
             work = f"{out}/work/batch-{batch_id}"
             rows = add_page_content(batch, pages, rendered, work_dir=work)
@@ -56,18 +66,7 @@ def start_intake(
             notes_path
         )
         stored = session.read.parquet(notes_path).where(F.col("batch_id") == batch_id)
-        append_ledger(
-            stored.select(
-                "row_idx",
-                F.col("raw_url").alias("url"),
-                "method",
-                "success",
-                F.col("page_error").alias("error"),
-                F.col("batch_id").cast("bigint").alias("batch_id"),
-                F.current_timestamp().alias("processed_at"),
-            ),
-            ledger_path,
-        )
+        append_ledger(to_ledger(stored.withColumn("url", F.col("raw_url")), batch_id), ledger_path)
 
     return (
         bookmark_stream(spark, source, files_per_batch)
