@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from noteweave.llm.storage import stored
-from noteweave.llm.tokencount import SLICE_CHARACTERS, transducer
+from noteweave.llm.tokencount import SLICE_CHARACTERS, forget, transducer
 from noteweave.llm.tokens import slices, token_ids
 
 ROUNDS = 4  # even, so that both halves have their first width again
@@ -31,7 +31,7 @@ ROUNDS = 4  # even, so that both halves have their first width again
 WALK = 128
 SEPARATOR = "\n"
 #: Ids that a task gathers before it passes sequences on.
-FLUSH_IDS = 1_000_000
+FLUSH_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -116,6 +116,7 @@ def sequences(docs: DataFrame, tokenizer: str, ids: int, pad_id: int, end_id: in
     shipped = docs.sparkSession.sparkContext.broadcast(base)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # of the pass before
         coder = token_ids(tokenizer)
         buffer, index, expected, seen = array("H"), None, 0, 0
 

@@ -26,7 +26,7 @@ from noteweave.llm.bpe import NEVER, Vocabulary
 from noteweave.llm.tokens import slices
 
 CHUNK = 256
-SLICE_CHARACTERS = 4_000_000
+SLICE_CHARACTERS = 2_000_000
 #: The compiled tables start anew beyond so many states; only a repeated compilation is lost.
 MOST_STATES = 200_000
 
@@ -396,6 +396,11 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
+def forget() -> None:
+    """Give up this process's compiled machines, for a step that needs their memory."""
+    _compiled.clear()
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, n_bytes (UTF-8), n_tokens.
 
