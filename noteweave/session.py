@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,11 @@ def configure(spark: SparkSession) -> SparkSession:
     # every job of the session even when executors come and go.
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    # Python workers import the package from where the driver has it, whatever folder they start in.
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
     return spark
 
 
