@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from noteweave.llm.tokens import slices
 
 SIZE = 4
-SLICE_CHARACTERS = 2_000_000
+SLICE_CHARACTERS = 500_000
 #: Rows per language that the filter is fitted on, taken by hash of the row's key.
 SAMPLE_ROWS = 4000
 LEAST_RATE, LEAST_SHARE = 2e-6, 0.2
@@ -150,13 +150,16 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFr
     """
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(filters)
+    # A text that is carried along anyway is sent once.
+    carried = [n for n, f in enumerate(kept) if f.name == text and isinstance(f.dataType, StringType)]
+    place = carried[0] if carried else len(kept)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shipped.value.judge([t or "" for t in batch.column(len(kept)).to_pylist()])
+            names, scores = shipped.value.judge([t or "" for t in batch.column(place).to_pylist()])
             columns = [batch.column(n) for n in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], names=[*(f.name for f in kept), "lang_pred", "score"])
 
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("string").alias("text read"))
+    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), *([] if carried else [F.col(text).cast("string").alias("text read")]))
     return read.mapInArrow(predict, schema)
