@@ -396,11 +396,6 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
-def forget() -> None:
-    """Give up this process's compiled machines, for a step that needs their memory."""
-    _compiled.clear()
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, n_bytes (UTF-8), n_tokens.
 
