@@ -105,7 +105,8 @@ def dedup_lines(
         "k", "at", F.xxhash64("line").alias("hash"), F.expr("size(split(trim(line), '\\\\s+'))").alias("words")
     )
     seen = lines.groupBy("hash", "words").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
-    repeated = seen.where("first <> last")
+    # Stored, so that the join below has plain exchanges on both sides and Spark can split a hot line.
+    repeated = stored(seen.where("first <> last"))
     shared = stored(lines.join(repeated, ["hash", "words"]).select("k", "at", "hash", "words", "first", "n"))
 
     # Lines in few places pair all their documents, others only each document with the first.
