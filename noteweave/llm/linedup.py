@@ -116,7 +116,8 @@ def dedup_lines(
     rest = shared.where((F.col("n") > rare) & (F.col("k") != F.col("first"))).select(F.col("k").alias("later"), F.col("first").alias("earlier"))
     pairs = among.union(rest).distinct()
 
-    lists = shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "hash", "words"))).alias("lines"))
+    # Stored for the same reason: the first document of a frequent line meets very many later ones.
+    lists = stored(shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "hash", "words"))).alias("lines")))
     left = pairs.join(lists.select(F.col("k").alias("later"), F.col("lines").alias("later_lines")), "later")
     both = left.join(lists.select(F.col("k").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
 
