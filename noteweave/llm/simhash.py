@@ -12,13 +12,14 @@ hash, and every pair of blocks is its own task, so no fingerprint is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from noteweave.llm.components import connected
 from noteweave.llm.storage import stored
@@ -108,13 +109,21 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def closest_links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def bytes_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that differ."""
+    differs = a ^ b
+    for step in (4, 2, 1):
+        differs = differs | differs >> np.uint64(step)
+    return np.bitwise_count(differs & np.uint64(0x0101010101010101)).sum(axis=-1, dtype=np.int32)
+
+
+def closest_links(prints: np.ndarray, distance: int, between: Callable = bits_between) -> tuple[np.ndarray, np.ndarray]:
     """The links of a minimum spanning tree that are within ``distance``: index pairs.
 
     They connect whatever any chain of links within ``distance`` connects.
     """
     n = len(prints)
-    best, parent, out = bits_between(prints, prints[0]), np.zeros(n, np.int64), np.zeros(n, bool)
+    best, parent, out = between(prints, prints[0]), np.zeros(n, np.int64), np.zeros(n, bool)
     out[0] = True
     best[0] = 1 << 20
     ones, others = [], []
@@ -125,14 +134,17 @@ def closest_links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.nda
             others.append(at)
         out[at] = True
         best[at] = 1 << 20
-        near = bits_between(prints, prints[at])
+        near = between(prints, prints[at])
         closer = (near < best) & ~out
         best[closer], parent[closer] = near[closer], at
     return np.array(ones, np.int64), np.array(others, np.int64)
 
 
-def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row pairs) inside runs of equal keys; rows are sorted by key."""
+def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int, between: Callable = bits_between) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row pairs) inside runs of equal keys; rows are sorted by key.
+
+    Links by bits are reported by the first variant in common only, others by every key in common.
+    """
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(cuts, len(keys)))
     length = np.repeat(size, size)
@@ -143,14 +155,14 @@ def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        differs = prints[at] ^ prints[at + step]
-        link = np.bitwise_count(differs).sum(axis=1) <= distance
-        # Two fingerprints meet in many runs; the first common one reports them.
-        link[link] = first_common_variant(differs[link]) == keys[at[link]] >> 22
+        link = between(prints[at], prints[at + step]) <= distance
+        if between is bits_between:
+            # Two fingerprints meet in many runs; the first common one reports them.
+            link[link] = first_common_variant(prints[at[link]] ^ prints[at[link] + step]) == keys[at[link]] >> 22
         ones.append(at[link])
         others.append(at[link] + step)
     for begin, n in zip(cuts[size > SHORT].tolist(), size[size > SHORT].tolist()):
-        a, b = closest_links(prints[begin : begin + n], distance)
+        a, b = closest_links(prints[begin : begin + n], distance, between)
         ones.append(a + begin)
         others.append(b + begin)
     return np.concatenate(ones), np.concatenate(others)
@@ -166,15 +178,20 @@ def link_fingerprints(prints: DataFrame, words: int, distance: int) -> DataFrame
 
     ``node`` is a long and unique.  Long runs give the closest links only; these connect the same nodes.
     """
-    keyed = variants(prints, words)
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("key", IntegerType()), StructField("size", LongType())])
+    return link_runs(variants(prints, words), words, distance)
+
+
+def link_runs(keyed: DataFrame, words: int, distance: int, between: Callable = bits_between) -> DataFrame:
+    """The links of ``link_fingerprints`` from rows (key, node, p0, ...): nodes of equal key within ``distance``."""
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("key", keyed.schema["key"].dataType), StructField("size", LongType())])
+    key_type, key_numbers = (pa.int32(), np.int32) if isinstance(schema["key"].dataType, IntegerType) else (pa.int64(), np.int64)
 
     def found(a, b) -> pa.RecordBatch:
-        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())]
+        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), key_type), pa.nulls(len(a), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "size"])
 
     def named(keys, sizes) -> pa.RecordBatch:
-        columns = [pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.int32()), pa.array(sizes, pa.int64())]
+        columns = [pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(keys, key_type), pa.array(sizes, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "size"])
 
     def matrix(columns) -> np.ndarray:
@@ -182,7 +199,7 @@ def link_fingerprints(prints: DataFrame, words: int, distance: int) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of sorted rows; a run longer than a block is only named, with its length."""
-        keys, nodes, table = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+        keys, nodes, table = np.zeros(0, key_numbers), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
         long_key, long_size = None, 0
         for batch in _with_end(batches):
             if batch is not None:
@@ -213,7 +230,7 @@ def link_fingerprints(prints: DataFrame, words: int, distance: int) -> DataFrame
                     whole = np.repeat(size <= BLOCK, size)
                     now, now_nodes, now_table = now[whole], now_nodes[whole], now_table[whole]
             if len(now):
-                a, b = links_of_runs(now, now_table, distance)
+                a, b = links_of_runs(now, now_table, distance, between)
                 if len(a):
                     yield found(now_nodes[a], now_nodes[b])
 
@@ -233,7 +250,7 @@ def link_fingerprints(prints: DataFrame, words: int, distance: int) -> DataFrame
 
         def compare(part: pa.Table) -> pa.Table:
             nodes = part.column("node").to_numpy()
-            a, b = closest_links(matrix([part.column(v).to_numpy() for v in values]), distance)
+            a, b = closest_links(matrix([part.column(v).to_numpy() for v in values]), distance, between)
             return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
         links = links.union(dealt.groupBy("key", "i", "j").applyInArrow(compare, StructType(schema.fields[:2])))
@@ -266,24 +283,78 @@ def shingle_set(text: Column, words: int) -> str:
     return f"CASE WHEN size(hashed) > 0 THEN array_distinct(transform(sequence(0, greatest(size(hashed) - {words}, 0)), i -> hash({parts}))) ELSE array() END"
 
 
-#: Of the index of similar documents: fingerprints of distinct word pairs, two words wide, and the most bits between texts with
-#: a similarity of 0.8 (about 12 of 128 on average, with a deviation of 3.3).
-SIMILAR_WORDS, SIMILAR_SEEDS, SIMILAR_DISTANCE = 2, (42, 43), 28
+#: Minima in one key of the index of similar documents, and the largest chance that the index misses a pair at the asked similarity.
+MINIMA, MISSED = 3, 1e-7
+
+
+def index_size(similarity: float) -> tuple[int, int]:
+    """(keys, distance): so many keys of MINIMA minima that a pair at ``similarity`` shares none, or differs in more than
+    ``distance`` of all minima, with a chance below MISSED each, wherever the two texts differ.
+    """
+    keys = 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(similarity**MINIMA)))
+    total, more, distance = keys * MINIMA, 1.0, -1
+    while more > MISSED and distance < total:
+        distance += 1
+        more -= math.comb(total, distance) * (1 - similarity) ** distance * similarity ** (total - distance)
+    return keys, distance
+
+
+def minima(text: str, words: int, factors: np.ndarray) -> np.ndarray:
+    """For every factor the least product (modulo 2^64) with a shingle's hash: equal in two texts with a chance of the similarity of their shingle sets."""
+    import xxhash
+
+    parts = text.encode("utf-8", "surrogatepass").split()
+    shingles = {b" ".join(parts[n : n + words]) for n in range(max(1, len(parts) - words + 1))} if parts else ()
+    if not shingles:
+        return np.zeros(len(factors), np.uint64)
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s) for s in shingles]), np.uint64)
+    out = np.full(len(factors), ~np.uint64(0))
+    for n in range(0, len(hashes), 4096):  # a long text in slices
+        out = np.minimum(out, (factors[:, None] * hashes[n : n + 4096]).min(axis=1))
+    return out
+
+
+def with_minima(docs: DataFrame, keys: int, words: int, doc: str, text: str) -> tuple[DataFrame, int]:
+    """(doc, text_hash, keys, p0, p1, ...) of every row, and the number of the p: keys of the index and a byte of each minimum."""
+    factors = np.random.default_rng(42).integers(0, 1 << 64, keys * MINIMA, np.uint64) | np.uint64(1)
+    mixers = np.random.default_rng(43).integers(0, 1 << 64, (keys, MINIMA), np.uint64) | np.uint64(1)
+    width = -(-len(factors) // 8)
+    names = [f"p{n}" for n in range(width)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([minima(t.as_py(), words, factors) for t in batch.column(2)], np.uint64).reshape(-1, len(factors))
+            # The number of the key parts keys of equal minima.
+            key = (least.reshape(-1, keys, MINIMA) * mixers).sum(axis=2, dtype=np.uint64) + np.arange(keys, dtype=np.uint64)
+            table = np.zeros((len(least), width * 8), np.uint8)
+            table[:, : len(factors)] = least.astype(np.uint8)
+            table = table.view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * keys), pa.array(key.reshape(-1).view(np.int64)))
+            columns = [lists, *(pa.array(np.ascontiguousarray(table[:, n])) for n in range(width))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "text_hash", "keys", *names])
+
+    schema = StructType([StructField("doc", docs.schema[doc].dataType), StructField("text_hash", LongType()), StructField("keys", ArrayType(LongType())), *(StructField(n, LongType()) for n in names)])
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(doc).alias("doc"), F.xxhash64(whole).alias("text_hash"), F.lower(whole).alias("text")).mapInArrow(read, schema), width
 
 
 def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, text_hash, component (a number), component_id (smallest doc in it).
 
     Texts link when the Jaccard similarity of their sets of shingles of ``words`` words (lower-cased) is ``similarity`` or more.
-    Candidates come from the deletion-variant index over wider fingerprints of word pairs; each link is then verified exactly
-    on the whole texts' shingles.  The index finds a pair at 0.8 with a chance of about 0.95, closer ones more surely; in
-    dense groups the closest links are verified instead of all pairs.  Equal texts are one node.  Wordless and null
+    Candidates share a key of the index, three minima of the hashed shingles; each link is then verified exactly
+    on the whole texts' shingles.  A pair at ``similarity`` escapes the index with a chance below 2e-7, wherever the texts differ, closer ones
+    more rarely; in dense groups the closest links are verified instead of all pairs.  Equal texts are one node.  Wordless and null
     texts are alike.  A component whose docs are all null has a null id.  Other columns are not read.
     """
-    marked = stored(fingerprints(docs, words=SIMILAR_WORDS, seeds=SIMILAR_SEEDS, distinct=True, doc=doc, text=text))
-    nodes = marked.groupBy("text_hash").agg(F.min("doc").alias("least"), F.first("p0").alias("p0"), F.first("p1").alias("p1"))
-    nodes = nodes.withColumnRenamed("text_hash", "node")
-    links = link_fingerprints(nodes.select("node", "p0", "p1"), 2, SIMILAR_DISTANCE)
+    keys, distance = index_size(similarity)
+    read, width = with_minima(docs, keys, words, doc, text)
+    marked = stored(read)
+    values = [f"p{n}" for n in range(width)]
+    nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc").alias("least"), F.first("keys").alias("keys"), *(F.first(v).alias(v) for v in values))
+    nodes = stored(nodes)
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", *values)
+    links = link_runs(keyed, width, distance, bytes_between)
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
 
     # Shingles of the linked texts only.

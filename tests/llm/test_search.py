@@ -114,6 +114,19 @@ def test_similar_documents_find_what_brute_force_finds(spark):
     assert [r["component_id"] for r in similar_documents(near_table(spark, [(None, "a b"), (None, "a b")])).collect()] == [None, None]
 
 
+def test_similar_documents_find_tails_and_blocks(spark):
+    rnd = random.Random(6)
+    rows = []
+    for pair in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        new = [f"w{rnd.randrange(10**6)}" for _ in range(46)]
+        rows.append((2 * pair, " ".join(base)))
+        rows.append((2 * pair + 1, " ".join(base + new if pair % 2 else base[:90] + new[:16] + base[106:])))
+    want = plain.near_groups(dict(rows))
+    assert len(set(want.values())) == 60
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(near_table(spark, rows)).collect()} == want
+
+
 # -- line dedup ----------------------------------------------------------------------------------
 
 
