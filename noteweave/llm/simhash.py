@@ -168,6 +168,16 @@ def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int, between:
     return np.concatenate(ones), np.concatenate(others)
 
 
+def links_between_classes(prints: np.ndarray, classes: np.ndarray, distance: int, between: Callable, begin: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair within ``distance`` whose classes differ, as index pairs; the first of the two is below ``begin`` if that is given."""
+    for at in range(begin or len(prints) - 1):
+        low = max(begin, at + 1)
+        others = low + np.flatnonzero(classes[low:] != classes[at])
+        others = others[between(prints[others], prints[at]) <= distance]
+        if len(others):
+            yield np.full(len(others), at), others
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -257,6 +267,42 @@ def link_runs(keyed: DataFrame, words: int, distance: int, between: Callable = b
     return links
 
 
+def links_left(keyed: DataFrame, roots: DataFrame, words: int, distance: int, between: Callable) -> DataFrame:
+    """(a, b): every pair of rows (key, node, p0, ...) of equal key within ``distance`` whose nodes are of different classes.
+
+    ``roots`` has (node, root) of nodes that are not a class of their own.  Only keys with more than SHORT
+    nodes are read, as ``link_runs`` gives all the pairs of the others.  Long runs are cut into blocks, each pair of blocks is a task.
+    """
+    values = [f"p{n}" for n in range(words)]
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT))
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
+    long = stored(keyed.join(sizes, "key").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), *values))
+    mixed = long.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
+    dealt = (
+        long.join(mixed, "key")
+        .withColumn("blocks", blocks)
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "node", "root", *values, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        low, high = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        mine = part.column("mine").to_numpy()
+        order = np.argsort(mine, kind="stable")
+        nodes, classes = part.column("node").to_numpy()[order], part.column("root").to_numpy()[order]
+        table = np.stack([part.column(v).to_numpy().view(np.uint64)[order] for v in values], axis=1)
+        begin = 0 if low == high else int((mine == low).sum())
+        if low != high and begin in (0, len(nodes)):
+            return
+        for a, b in links_between_classes(table, classes, distance, between, begin):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, StructType([StructField("a", LongType()), StructField("b", LongType())]))
+
+
 def near_duplicates(docs: DataFrame, *, distance: int = 4, words: int = 4, seed: int = 42, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, fingerprint (16 hex digits), component_id (smallest doc reachable).
 
@@ -344,7 +390,7 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     Texts link when the Jaccard similarity of their sets of shingles of ``words`` words (lower-cased) is ``similarity`` or more.
     Candidates share a key of the index, three minima of the hashed shingles; each link is then verified exactly
     on the whole texts' shingles.  A pair at ``similarity`` escapes the index with a chance below 2e-7, wherever the texts differ, closer ones
-    more rarely; in dense groups the closest links are verified instead of all pairs.  Equal texts are one node.  Wordless and null
+    more rarely; in dense groups the closest links are verified first, then all pairs that these leave in different classes.  Equal texts are one node.  Wordless and null
     texts are alike.  A component whose docs are all null has a null id.  Other columns are not read.
     """
     keys, distance = index_size(similarity)
@@ -354,21 +400,29 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc").alias("least"), F.first("keys").alias("keys"), *(F.first(v).alias(v) for v in values))
     nodes = stored(nodes)
     keyed = nodes.select(F.explode("keys").alias("key"), "node", *values)
-    links = link_runs(keyed, width, distance, bytes_between)
-    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
 
-    # Shingles of the linked texts only.
-    wanted = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted  # the size is checked before a broadcast
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    linked = docs.select(F.xxhash64(whole).alias("node"), whole.alias("whole")).join(wanted, "node", "left_semi")
-    hashed = linked.withColumn("hashed", F.expr("transform(filter(split(lower(whole), '\\\\s+'), x -> x <> ''), x -> xxhash64(x))"))
-    sets = hashed.select("node", F.expr(shingle_set(F.col("whole"), words)).alias("shingles")).dropDuplicates(["node"])
-    pairs = links.join(sets.withColumnRenamed("shingles", "sa"), links.a == sets.node).drop("node")
-    pairs = pairs.join(sets.withColumnRenamed("shingles", "sb"), pairs.b == sets.node).drop("node")
-    both = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.withColumn("both", both).where((F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))))
-    roots = connected(verified.select("a", "b")).withColumnRenamed("node", "linked")
+    def verified(links: DataFrame) -> DataFrame:
+        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        # Shingles of the linked texts only.
+        wanted = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted  # the size is checked before a broadcast
+        whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        linked = docs.select(F.xxhash64(whole).alias("node"), whole.alias("whole")).join(wanted, "node", "left_semi")
+        hashed = linked.withColumn("hashed", F.expr("transform(filter(split(lower(whole), '\\\\s+'), x -> x <> ''), x -> xxhash64(x))"))
+        sets = hashed.select("node", F.expr(shingle_set(F.col("whole"), words)).alias("shingles")).dropDuplicates(["node"])
+        pairs = links.join(sets.withColumnRenamed("shingles", "sa"), links.a == sets.node).drop("node")
+        pairs = pairs.join(sets.withColumnRenamed("shingles", "sb"), pairs.b == sets.node).drop("node")
+        both = F.size(F.array_intersect("sa", "sb"))
+        alike = F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))
+        return stored(pairs.withColumn("both", both).where(alike).select("a", "b"))
+
+    # Trees can prefer pairs that fail: what they leave apart is compared whole.
+    tree = verified(link_runs(keyed, width, distance, bytes_between))
+    roots = stored(connected(tree))
+    left = stored(links_left(keyed, roots, width, distance, bytes_between))
+    if left.limit(1).count():
+        roots = connected(tree.union(verified(left)))
+    roots = roots.withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(smallest, "root").select("node", F.col("root").alias("component"), "component_id")

@@ -127,6 +127,22 @@ def test_similar_documents_find_tails_and_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in similar_documents(near_table(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_similar_documents_of_a_dense_group(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(7)
+    rows = []
+    for group in range(3):  # the copies are less alike than 0.8 but for the original and a few
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
+        for copy in range(100):
+            at, some = rnd.randrange(140), list(base)
+            size = 13 if copy else 0
+            some[at : at + size] = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+            rows.append((group * 1000 + copy, " ".join(some)))
+    want = plain.near_groups(dict(rows))
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(near_table(spark, rows)).collect()} == want
+
+
 # -- line dedup ----------------------------------------------------------------------------------
 
 
