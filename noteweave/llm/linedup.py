@@ -1,12 +1,12 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by shared windows of lines.
 
-Overlapping documents are found through shared line hashes.  A line that few documents hold pairs each of them with every
-earlier one; a line in more documents pairs each with the earliest only, so pairs grow with the lines and not
-with their square, and every repeated line still meets an earlier copy.  A pair's shared lines are aligned by patience diff: lines
-unique in both fix the alignment, the gaps between are aligned in turn.  Runs of aligned lines that
-follow one another in both documents are common blocks; long enough ones are deleted from the later document.
+A block is a run of lines that follow one another in two documents.  Every block of enough words is covered by windows: shortest
+runs of lines with so many words, counted from a first or from a last line.  A window is keyed by its content and by how
+many like it stand before it in its document; the first document that holds a key keeps it, and the lines of the window go
+from all others.  So every document meets an earlier copy of each whole block, however many documents hold its lines
+and in whatever order the blocks stand, and the work grows with the lines.
 
-Line lists hold positions and hashes only.  Texts move once, to meet their deletions.
+Windows hold positions and hashes only.  Texts move once, to meet their deletions.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from noteweave.llm.storage import stored
 
-#: Lines in at most so many documents pair each of these with every earlier one.
-RARE = 6
 #: Fewest words of a block that is deleted.
 MIN_WORDS = 8
 BLANK = " \t\n\x0b\f\r"
@@ -68,20 +67,23 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def common_blocks(later: list[tuple], earlier: list[tuple], min_words: int) -> list[int]:
-    """Line numbers of ``later`` in common blocks; lines are (number, hash, words) by number."""
-    out, block, size = [], [], 0
-    previous = None
-    for i, j in [*align([x[1:] for x in later], [x[1:] for x in earlier]), (None, None)]:
-        here = None if i is None else (later[i][0], earlier[j][0])
-        if previous is None or here is None or here != (previous[0] + 1, previous[1] + 1):
-            if size >= min_words:
-                out += block
-            block, size = [], 0
-        if here:
-            block.append(here[0])
-            size += later[i][2]
-        previous = here
+def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(begin, end, hash, words, number) of the windows: shortest runs of lines with ``min_words`` from their first or to their last line.
+
+    Which runs are windows depends on their lines only.  ``number`` counts the windows of equal lines before this one.
+    """
+    import xxhash
+
+    total, least = np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), max(min_words, 1)
+    ends = np.searchsorted(total, total[:-1] + least, "left")
+    begins = np.searchsorted(total, total[1:] - least, "right") - 1
+    spans = {(b, e) for b, e in enumerate(ends.tolist()) if e < len(total)} | {(b, e) for e, b in enumerate(begins.tolist(), 1) if b >= 0}
+    lines = np.ascontiguousarray(np.stack([hashes, words], axis=1).astype(np.int64)).tobytes()
+    before, out = Counter(), []
+    for b, e in sorted(spans):
+        content = xxhash.xxh64_intdigest(lines[16 * b : 16 * e]) - (1 << 63), int(total[e] - total[b])
+        out.append((b, e, *content, before[content]))
+        before[content] += 1
     return out
 
 
@@ -91,46 +93,38 @@ def line_key(doc: Column, text: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE, doc: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int | None = None, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` with text less its repeated blocks, and n_lines and n_deleted (non-blank lines).
 
     Columns n_lines and n_deleted are replaced, all others are carried along.  Earlier is the smaller doc (null last; equal docs by a hash
     of the text).  Rows equal in doc and text are one document: each keeps what it keeps.  A null text stays null with no lines; an
-    empty or blank one stays as it is.  Repeats inside one document are kept.  Lines are compared whole, by 64-bit hash and number of words.
+    empty or blank one stays as it is.  Repeats inside one document are kept: of a window that stands more often than in any earlier
+    document, the occurrences beyond that number.  Lines are compared whole, by 64-bit hash and number of words.  ``rare`` has
+    no effect: lines are treated alike however many documents hold them.
     """
     key = line_key(F.col(doc), F.col(text).cast("string"))
-    rows = docs.select(key.alias("k"), F.expr(f"filter(split(`{text}`, '\\n'), x -> x rlike '\\\\S')").alias("lines"))
-    lines = rows.select("k", F.posexplode("lines").alias("at", "line")).select(
-        "k", "at", F.xxhash64("line").alias("hash"), F.expr("size(split(trim(line), '\\\\s+'))").alias("words")
-    )
-    seen = lines.groupBy("hash", "words").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
-    # Stored, so that the join below has plain exchanges on both sides and Spark can split a hot line.
-    repeated = stored(seen.where("first <> last"))
-    shared = stored(lines.join(repeated, ["hash", "words"]).select("k", "at", "hash", "words", "first", "n"))
-
-    # Lines in few places pair all their documents, others only each document with the first.
-    few = shared.where(F.col("n") <= rare).groupBy("hash", "words").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    among = few.select(F.expr("flatten(transform(ks, (l, n) -> transform(slice(ks, 1, n), e -> struct(l as later, e as earlier))))").alias("pairs"))
-    among = among.select(F.inline("pairs"))
-    rest = shared.where((F.col("n") > rare) & (F.col("k") != F.col("first"))).select(F.col("k").alias("later"), F.col("first").alias("earlier"))
-    pairs = among.union(rest).distinct()
-
-    # Stored for the same reason: the first document of a frequent line meets very many later ones.
-    lists = stored(shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "hash", "words"))).alias("lines")))
-    left = pairs.join(lists.select(F.col("k").alias("later"), F.col("lines").alias("later_lines")), "later")
-    both = left.join(lists.select(F.col("k").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+    lines = F.expr(f"transform(filter(split(`{text}`, '\\n'), x -> x rlike '\\\\S'), x -> struct(xxhash64(x) AS hash, size(split(trim(x), '\\\\s+')) AS words))")
+    rows = docs.select(key.alias("k"), lines.alias("lines")).where("size(lines) > 0").select("k", F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
+    names = ["begin", "end", "hash", "words", "number"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for later, earlier in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found.append(common_blocks([tuple(x.values()) for x in later], [tuple(x.values()) for x in earlier], min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["k", "at"])
-
-    schema = StructType([StructField("k", rows.schema["k"].dataType), StructField("at", ArrayType(IntegerType()))])
-    deleted = both.select(F.col("later").alias("k"), "later_lines", "earlier_lines").mapInArrow(cut, schema)
-    deleted = deleted.select("k", F.explode("at").alias("at")).groupBy("k").agg(F.collect_set("at").alias("deleted at"))
+            found, of = [], []
+            for n, (hashes, words) in enumerate(zip(batch.column(1), batch.column(2))):
+                some = windows(hashes.values.to_numpy(), words.values.to_numpy(), min_words)
+                found += some
+                of += [n] * len(some)
+            columns = [pa.array(values, pa.int64()) for values in zip(*found)] if found else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=["k", *names])
+
+    schema = StructType([StructField("k", rows.schema["k"].dataType), *(StructField(n, LongType()) for n in names)])
+    found = rows.mapInArrow(cut, schema)
+    like = ["hash", "words", "number"]
+    # Stored, so that the join below has plain exchanges on both sides and Spark can split a hot window.
+    repeated = stored(found.groupBy(*like).agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").drop("last"))
+    later = found.join(repeated, like).where(F.col("k") != F.col("first"))
+    deleted = later.select("k", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at")).groupBy("k").agg(F.collect_set("at").alias("deleted at"))
 
     others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     met = docs.select(*(F.col(f"`{c}`") for c in others), key.alias("line key")).join(deleted.withColumnRenamed("k", "line key"), "line key", "left")

@@ -190,6 +190,14 @@ def test_line_dedup_of_odd_rows(spark):
     assert deduped(spark, []) == {}
 
 
+def test_a_frequent_passage_goes_when_its_lines_stood_singly(spark):
+    lines = [f"line {n} has just six words" for n in range(10)]
+    rows = [(n, f"own {n}\n{line}\nend {n}") for n, line in enumerate(lines)]
+    rows += [(100 + n, "\n".join([f"head {n}", *lines, f"tail {n}"])) for n in range(20)]
+    got = {d: gone for (d, _), (_, _, gone, _) in deduped(spark, rows).items()}
+    assert got == {d: 10 if d > 100 else 0 for d, _ in rows}
+
+
 # -- sketches ------------------------------------------------------------------------------------
 
 
