@@ -198,6 +198,19 @@ def test_a_frequent_passage_goes_when_its_lines_stood_singly(spark):
     assert got == {d: 10 if d > 100 else 0 for d, _ in rows}
 
 
+def test_repeated_and_crossing_passages_go(spark):
+    a, b = (" ".join(f"{name}{n}" for n in range(60)) for name in "ab")
+    twice = [(0, f"{a}\nv\n{a}"), (1000, "v\nend")]
+    twice += [(n, f"u {n}\n{a}\nw {n}") for n in range(1, 30)] + [(n + 100, f"u {n}\nmore\nw {n}") for n in range(1, 30)]
+    got = {d: gone for (d, _), (_, _, gone, _) in deduped(spark, twice).items()}
+    assert got == {d: int(0 < d < 30) for d, _ in twice}
+    # The later document repeats what stands once before: one copy goes, the other is a repeat inside one document.
+    again = [(1, f"r\n{a}\ns"), (2, f"s\n{a}\nq\n{a}\nr"), (3, "q\nend")]
+    assert [gone for (_, _, gone, _) in deduped(spark, again).values()].count(1) == 1
+    crossed = [(1, f"{a}\nx\n{b}"), (2, f"{b}\ny\n{a}")]
+    assert {d: t for (d, _), (t, *_) in deduped(spark, crossed).items()} == {1: crossed[0][1], 2: "y"}
+
+
 # -- sketches ------------------------------------------------------------------------------------
 
 
