@@ -223,3 +223,9 @@ def test_stages_take_odd_rows(spark, rows):
         if name == "simhash_near_dedup" and rows:
             ids = [r["doc_id"] for r in out.collect()]
             assert ids.count(3) == 1 and ids.count(None) == 0  # a copy of 3
+
+
+def test_unlabelled_documents_with_letters_stay(spark):
+    rows = [(1, "the cat", None, "s", 7), (2, None, None, "s", 0), (3, "123 !?", None, "s", 6), (4, "日本", None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()) == [1, 4]
