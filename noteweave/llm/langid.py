@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from noteweave.llm.columns import unused
 from noteweave.llm.tokens import slices
 
 SIZE = 4
@@ -161,5 +162,5 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], names=[*(f.name for f in kept), "lang_pred", "score"])
 
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), *([] if carried else [F.col(text).cast("string").alias("text read")]))
+    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), *([] if carried else [F.col(text).cast("string").alias(unused(docs.columns, "text read"))]))
     return read.mapInArrow(predict, schema)
