@@ -97,3 +97,82 @@ taken AS (SELECT *, CAST(greatest(0, least(n_tokens, need - before)) AS BIGINT)
 SELECT doc_id, d AS domain, lang, source, epoch, n_tokens, CASE WHEN epoch <= epochs THEN n_tokens ELSE partial_ END AS taken
 FROM (SELECT *, unnest(range(1, CAST(epochs + CASE WHEN partial_ > 0 THEN 1 ELSE 0 END AS BIGINT) + 1)) AS epoch FROM taken)
 """
+
+
+AUDIT = """
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+failed AS (
+  SELECT doc_id, part, {
+    'A': len(w) < 200,
+    'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, FALSE)
+  } AS f FROM split
+),
+judged AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, concat(CASE WHEN f.A THEN 'A' END, CASE WHEN f.B THEN 'B' END, CASE WHEN f.C THEN 'C' END, CASE WHEN f.D THEN 'D' END, CASE WHEN f.E THEN 'E' END) AS mask,
+    count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN judged USING (doc_id) GROUP BY ALL
+),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x)
+  JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM orders, range(1, 6) AS s(step)),
+met AS (
+  SELECT part, filter_order, step, own, n, good, toxic, contains(mask, own) AS fails, mask = own AS alone,
+    translate(mask, before, '') <> mask AS gone FROM masks, steps
+),
+counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def cluster_sql(k: int, rounds: int, dimensions: int, scale: int, seed: int) -> str:
+    """Assignment and floored means, one round after the other, over (vector, dimension) rows."""
+    steps = [
+        f"""
+rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cells AS MATERIALIZED (SELECT id, unnest(range({dimensions})) AS d, unnest(v) AS x FROM rows_),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM rows_ QUALIFY c < {k}
+)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT id, c, CAST(list_sum(list_transform(list_zip(r.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM rows_ r, c{n} m QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, c) = 1
+)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS MATERIALIZED (
+  SELECT c, list((total - ((total % n) + n) % n) // n ORDER BY d) AS v FROM (SELECT c, d, sum(x) AS total, count(*) AS n FROM a{n} JOIN cells USING (id) GROUP BY c, d) GROUP BY c
+),
+c{n + 1} AS MATERIALIZED (SELECT c, CAST(coalesce(m{n}.v, c{n}.v) AS BIGINT[]) AS v FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256
+FROM rows_ JOIN a{rounds} USING (id) JOIN (SELECT c, v AS centre FROM c{rounds}) USING (c)
+"""

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteweave.llm.audit import mask_counts, order_effects
 from noteweave.llm.binary import materialise, read_slots
+from noteweave.llm.centroids import cluster
 from noteweave.llm.langid import fit, identify
 from noteweave.llm.linedup import dedup_lines
 from noteweave.llm.mixing import Weights, mix
-from noteweave.llm.oracles import TOP_K, URL_FILTERS, mix_sql
+from noteweave.llm.oracles import AUDIT, TOP_K, URL_FILTERS, cluster_sql, mix_sql
 from noteweave.llm.packing import pack
+from noteweave.llm.quality import score, train
 from noteweave.llm.simhash import near_duplicates
 from noteweave.llm.sketch import containment, fingerprint_text, fingerprints_with_edits, resemblance
 from noteweave.llm.storage import new_folder
@@ -104,11 +107,28 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read_table(configure(spark), folder, "pages"), URL_RULES, otherwise="allow")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    return order_effects(mask_counts(read_table(spark, folder, "documents"), read_table(spark, folder, "labels")))
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster(read_table(configure(spark), folder, "embeddings"), k=8, rounds=10, dimensions=64, scale=1024, seed=3)
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(configure(spark), folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    judged = score(docs, train(docs, read_table(spark, folder, "labels"), ~held_out))
+    return judged.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_pack_binary, op2_mix_sources, op3_top_k_bitsliced, op4_simhash_near_dedup, op5_line_dedup,
         op6_training_order, op7_language_id, op8_threshold_sketch, op9_url_filters, op10_token_counts,
+        op11_filter_audit, op12_centroid_clusters, op13_quality,
     )
 }
 
@@ -117,4 +137,6 @@ LLM_ORACLES = {
     "op2_mix_sources": mix_sql(DOMAIN, MIX_SHARE, MIX_WEIGHTS, 4, 7),
     "op3_top_k_bitsliced": TOP_K,
     "op9_url_filters": URL_FILTERS,
+    "op11_filter_audit": AUDIT,
+    "op12_centroid_clusters": cluster_sql(k=8, rounds=10, dimensions=64, scale=1024, seed=3),
 }
