@@ -52,6 +52,14 @@ def js_trim(x: str) -> str:
     return f"btrim({x}, {literal(SPACES)})"
 
 
+def js_ltrim(x: str) -> str:
+    return f"ltrim({literal(SPACES)}, {x})"
+
+
+def js_rtrim(x: str) -> str:
+    return f"rtrim({literal(SPACES)}, {x})"
+
+
 def collapse_space(x: str) -> str:
     """Every run of whitespace becomes one space."""
     return f"regexp_replace({x}, {literal(SPACE_RUN)}, ' ')"

@@ -10,6 +10,8 @@ from noteweave.functions.html import token_texts
 from noteweave.functions.sqltext import (
     collapse_space,
     fill,
+    js_ltrim,
+    js_rtrim,
     js_trim,
     literal,
     pack_paragraphs,
@@ -32,15 +34,69 @@ def _gaps(holes: str, first: str, last: str) -> str:
             array_append(acc.gaps, named_struct('first', acc.at, 'last', cast({last} AS int))), acc.gaps))"""
 
 
+def _slice(array: str, first: str, last: str) -> str:
+    """SQL: elements ``first..last`` (0-based); none if the range is empty."""
+    return f"slice({array}, cast({first} AS int) + 1, greatest(cast({last} AS int) - cast({first} AS int) + 1, 0))"
+
+
 def _text_between(holes: str, first: str, last: str) -> str:
-    """SQL: text of the tokens ``first..last`` outside the holes.
+    """SQL: visible text of the tokens ``first..last`` outside the holes.
 
     Works on slices of the token array, so the cost follows the text length and
     not text length times holes.
     """
     inside = f"filter({holes}, h -> h.start_pos BETWEEN {first} AND {last})"
-    return f"""array_join(transform({_gaps(inside, first, last)},
-        gap -> array_join(slice(texts, gap.first + 1, gap.last - gap.first + 1), '')), '')"""
+    return f"""array_join(transform({_gaps(inside, first, last)}, gap -> array_join({_slice("shown", "gap.first", "gap.last")}, '')), '')"""
+
+
+def _shown() -> str:
+    """SQL: the token texts with an empty string in place of every token of a removed span.
+
+    ``drops`` are sorted and apart: each gives the texts since the one before, then its blanks.
+    """
+    before = "if(i = 0, 0, drops[i - 1].end_pos + 1)"
+    pieces = f"""transform(drops, (d, i) -> concat({_slice("texts", before, "d.start_pos - 1")},
+        array_repeat('', least(d.end_pos, last_pos) - d.start_pos + 1)))"""
+    rest = _slice("texts", "element_at(drops, -1).end_pos + 1", "last_pos")
+    return f"if(size(drops) = 0, texts, concat(flatten({pieces}), {rest}))"
+
+
+#: Tokens between two stored running lengths.
+STRIDE = 64
+
+
+def _running(lengths: str) -> str:
+    """SQL: the sum of the lengths in front of every STRIDE-th token."""
+    return f"""aggregate(sequence(0, size({lengths}) div {STRIDE}), array(0L),
+        (acc, k) -> array_append(acc, element_at(acc, -1) + aggregate(slice({lengths}, cast(k AS int) * {STRIDE} + 1, {STRIDE}), 0L, (a, n) -> a + n)))"""
+
+
+def _length_before(pos: str) -> str:
+    """SQL: UTF-16 length of the visible text in front of token ``pos``: a stored sum and the few tokens behind it."""
+    at = f"cast({pos} AS int)"
+    return f"(running[{at} div {STRIDE}] + aggregate(slice(lengths, cast({at} div {STRIDE} AS int) * {STRIDE} + 1, {at} % {STRIDE}), 0L, (a, n) -> a + n))"
+
+
+def _measured(spans: str) -> str:
+    """SQL: UTF-16 length of the trimmed text of all spans (``start_pos, end_pos``; sorted), one behind the other.
+
+    No text is built: a span's length is the difference of two running lengths.  White space goes from the front of the first span that has
+    visible characters and from the end of the last one, spans without any in front of and behind these go as a whole.
+    """
+    first, last = "greatest(s.start_pos, 0)", "s.end_pos"
+    whole = f"{_length_before('s.last + 1')} - {_length_before('s.first')}"
+    places = f"transform({spans}, s -> named_struct('first', {first}, 'last', {last}))"
+    seen = f"""filter(transform({places}, s -> named_struct('first', s.first, 'last', s.last,
+        'from', array_position({_slice("visible", "s.first", "s.last")}, true))), s -> s.from > 0)"""
+    begin = "(f.first + f.from - 1)"
+    lead = f"{_length_before(begin)} - {_length_before('f.first')} + {utf16_len(f'shown[{begin}]')} - {utf16_len(js_ltrim(f'shown[{begin}]'))}"
+    end = f"(l.last - array_position(reverse({_slice('visible', 'l.first', 'l.last')}), true) + 1)"
+    trail = f"{_length_before('l.last + 1')} - {_length_before(f'{end} + 1')} + {utf16_len(f'shown[{end}]')} - {utf16_len(js_rtrim(f'shown[{end}]'))}"
+    # Blank spans between two visible ones count: those from the first visible span to the last one are added up.
+    inside = f"filter({places}, s -> s.first >= v[0].first AND s.first <= element_at(v, -1).first)"
+    total = f"aggregate({inside}, 0L, (a, s) -> a + {whole})"
+    return f"""aggregate(array({seen}), 0L, (acc, v) -> if(size(v) = 0, 0L, {total}
+        - element_at(transform(slice(v, 1, 1), f -> {lead}), 1) - element_at(transform(slice(v, -1, 1), l -> {trail}), 1)))"""
 
 
 def page_texts(
@@ -56,6 +112,8 @@ def page_texts(
     Both sides hash by ``key``; the text side carries decoded text only, which
     is a fraction of the markup, and the columns named in ``keep``.  A parser
     gives every document a body, so one is added where the tag is missing.
+    ``shown`` are the texts without those of removed elements; beside it stand the lengths of its tokens, which tokens
+    have more than white space, and running lengths, from which spans are measured.
     """
     also = tuple(fixed.LONGEST_BLOCK_TAGS) if blocks else ()
     marks = page_marks(pages, key, html_col, also)
@@ -63,7 +121,7 @@ def page_texts(
     spans = "cast(array() AS array<struct<start_pos:int,end_pos:int>>)"
     candidates = "cast(array() AS array<struct<start_pos:int,end_pos:int,ranks:array<int>>>)"
     body = f"named_struct('start_pos', -1, 'end_pos', size(texts) - 1, 'ranks', array({BODY_RANK}))"
-    return texts.join(marks, key, "left").selectExpr(
+    joined = texts.join(marks, key, "left").selectExpr(
         key,
         *keep,
         "texts",
@@ -71,11 +129,14 @@ def page_texts(
         *[f"coalesce({name}, {spans}) AS {name}" for name in ("drops", "inners", "blocks")],
         f"if(has_body, candidates, array_prepend(coalesce(candidates, {candidates}), {body})) AS candidates",
     )
+    shown = joined.selectExpr(key, *keep, f"{_shown()} AS shown", "last_pos", "inners", "blocks", "candidates")
+    lengths, visible = f"transform(shown, t -> {utf16_len('t')})", f"transform(shown, t -> {js_trim('t')} <> '')"
+    return shown.selectExpr("*", f"{lengths} AS lengths", f"{visible} AS visible").selectExpr("*", f"{_running('lengths')} AS running")
 
 
 def stripped_text(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
     """Text of each page after the page-level removals."""
-    return page_texts(pages, key, html_col).selectExpr(key, f"{_text_between('drops', '0', 'last_pos')} AS text")
+    return page_texts(pages, key, html_col).selectExpr(key, "array_join(shown, '') AS text")
 
 
 def pick_content(texts: DataFrame, rendered: bool = False) -> DataFrame:
@@ -86,27 +147,21 @@ def pick_content(texts: DataFrame, rendered: bool = False) -> DataFrame:
     """
     ranks = "array_sort(array_distinct(flatten(transform(candidates, c -> c.ranks))))"
     matches = "filter(candidates, c -> array_contains(c.ranks, rank))"
-    tested = f"slice({matches}, 1, 1)" if rendered else matches
-    text = f"array_join(transform({tested}, m -> {_text_between('drops', 'greatest(m.start_pos, 0)', 'm.end_pos')}), '')"
-    chars = utf16_len(js_trim(collapse_space("acc.text") if rendered else "acc.text"))
-    # A fold, so that texts of later ranks are not built once a rank qualifies: the
-    # text of a rank enters in one step and is measured in the next.
-    state = "struct<rank:int,start_pos:int,end_pos:int,matches:int,text:string,chars:int>"
-    found = f"acc.chars > {fixed.MIN_CANDIDATE_CHARS}"
-    measure = f"""named_struct('rank', acc.rank, 'start_pos', acc.start_pos, 'end_pos', acc.end_pos,
-        'matches', acc.matches, 'text', acc.text, 'chars', {chars})"""
-    enter = f"""named_struct('rank', rank, 'start_pos', {matches}[0].start_pos, 'end_pos', {matches}[0].end_pos,
-        'matches', size({tested}), 'text', {text}, 'chars', -1)"""
-    steps = f"flatten(transform({ranks}, r -> array(r, 0)))"
-    fold = f"""aggregate({steps}, cast(NULL AS {state}),
-        (acc, rank) -> CASE WHEN {found} THEN acc WHEN rank = 0 THEN {measure} ELSE {enter} END)"""
+    if rendered:
+        text = f"array_join({_slice('shown', f'greatest({matches}[0].start_pos, 0)', f'{matches}[0].end_pos')}, '')"
+        chars = utf16_len(js_trim(collapse_space(text)))
+    else:
+        chars = _measured(matches)
+    # A fold, so that later ranks are not measured once one qualifies.
+    state = "struct<rank:int,start_pos:int,end_pos:int,chars:bigint>"
+    enter = f"named_struct('rank', rank, 'start_pos', {matches}[0].start_pos, 'end_pos', {matches}[0].end_pos, 'chars', cast({chars} AS bigint))"
+    fold = f"""aggregate({ranks}, cast(NULL AS {state}),
+        (acc, rank) -> if(acc.chars > {fixed.MIN_CANDIDATE_CHARS}, acc, {enter}))"""
     folded = texts.selectExpr("*", f"{fold} AS _last")
     pick = f"if(_last.chars > {fixed.MIN_CANDIDATE_CHARS}, _last, NULL)"
     if rendered:
         # Rendered pages fall back to the body text, whatever its length.
-        whole = f"""named_struct('rank', {BODY_RANK}, 'start_pos', 0, 'end_pos', last_pos, 'matches', 1,
-            'text', {_text_between("drops", "0", "last_pos")}, 'chars', 0)"""
-        pick = f"coalesce({pick}, {whole})"
+        pick = f"coalesce({pick}, named_struct('rank', {BODY_RANK}, 'start_pos', 0, 'end_pos', last_pos, 'chars', 0L))"
     return folded.selectExpr("*", f"{pick} AS pick").drop("_last")
 
 
@@ -117,7 +172,7 @@ def longest_block(pages: DataFrame, key: str, html_col: str = "html") -> DataFra
     can never find what ``body`` did not, because no block is longer than the
     body around it, so the extraction job does not run it.
     """
-    chars = utf16_len(js_trim(_text_between("drops", "b.start_pos", "b.end_pos")))
+    chars = f"cast({_measured('array(b)')} AS int)"
     measured = f"""transform(blocks, b ->
         named_struct('chars', {chars}, 'order', -b.start_pos, 'end_pos', b.end_pos))"""
     best = page_texts(pages, key, html_col, blocks=True).selectExpr(key, f"array_max({measured}) AS best")
@@ -133,11 +188,9 @@ def article_text(
     picked = pick_content(page_texts(pages, key, html_col, rendered, keep=keep), rendered)
     # Inner rules take descendants of the chosen element, never the element itself.
     below = "filter(inners, h -> h.start_pos > pick.start_pos AND h.start_pos <= pick.end_pos)"
-    holes = "drops" if rendered else f"array_sort(concat(drops, {below}))"
-    text = _text_between(holes, "greatest(pick.start_pos, 0)", "pick.end_pos")
-    # The measured text is the wanted one when there was one match and nothing to clean.
-    same = "pick.matches = 1" + ("" if rendered else f" AND size({below}) = 0")
-    text = f"if({same}, pick.text, {text})"
+    span = "greatest(pick.start_pos, 0)", "pick.end_pos"
+    whole = f"array_join({_slice('shown', *span)}, '')"
+    text = whole if rendered else f"if(size({below}) = 0, {whole}, {_text_between(below, *span)})"
     chosen = picked.selectExpr(key, *keep, "pick.rank AS rank", f"if(pick IS NULL, NULL, {text}) AS text")
     seen = collapse_space("text") if rendered else "text"  # visible text shows white space once
     return chosen.selectExpr(key, *keep, "rank", "text", f"{utf16_len(js_trim(seen))} AS chars")

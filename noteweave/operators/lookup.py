@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
@@ -11,61 +12,95 @@ from noteweave.functions.notes import label_line
 from noteweave.functions.text import fill, present
 from noteweave.functions.urls import content_type_stub, file_class, file_stub, is_text_type, url_path
 from noteweave.operators.content import extract
-from noteweave.operators.joins import latest_by, left_lookup
+from noteweave.operators.joins import left_lookup
+from noteweave.operators.membership import bloom, might_hold
 from noteweave.session import shared_dir
 
 MISSING_PAGE = "page not in snapshot"
 
 
-def _snapshot(urls: DataFrame, pages: DataFrame, order: str) -> DataFrame:
-    """Every url with its latest page: ``url, content_type, error, html, found``.
+def row_place() -> list[Column]:
+    """Where a row of a file scan stands."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
 
-    Copies are reduced per task before the shuffle, so one url with a large share
-    of the snapshot reaches its reducer as one row per task.  The left join comes
-    after that and finds both sides hashed by url.  (A semi join would be moved
-    below the aggregate and bring all copies of a url together first.)
+
+def as_scan(pages: DataFrame, work_dir: str | None = None) -> DataFrame:
+    """``pages`` if its rows have a file and a position there, else the same rows stored in the shared folder."""
+    try:
+        pages.select(*row_place())
+        return pages
+    except AnalysisException:
+        path = work_dir or shared_dir(pages.sparkSession, "snapshot")
+        pages.write.mode("overwrite").parquet(path)
+        return pages.sparkSession.read.parquet(path)
+
+
+def latest_copies(urls: DataFrame, pages: DataFrame, order: str = "page_id", work_dir: str | None = None) -> DataFrame:
+    """``url, content_type, error, found, _file, _row``: every url with the place of its latest page, stored.
+
+    Only narrow columns are read.  The latest copy has the largest ``order`` (null is the least), then the last place.  Copies are reduced
+    per task before the shuffle, so one url with a large share of the snapshot reaches its reducer as one row per task; a bitmap of the
+    wanted urls keeps the rest of the snapshot out of the shuffle.
     """
-    if order not in pages.columns:
-        order = "html" if "html" in pages.columns else "body"
+    spark = urls.sparkSession
+    path = work_dir or shared_dir(spark, "copies")
+    urls.select("url").write.mode("overwrite").parquet(f"{path}/urls")
+    wanted = spark.read.parquet(f"{path}/urls")
+    bitmap, bits = bloom(wanted.select(F.xxhash64("url").alias("hash")), wanted.count())
     defaults = {"content_type": F.lit(fixed.TEXT_CONTENT_TYPES[0]), "error": F.lit(None).cast("string")}
-    missing = [value.alias(name) for name, value in defaults.items() if name not in pages.columns]
+    given = {name: F.col(name) if name in pages.columns else value for name, value in defaults.items()}
+    rank = [F.col(order).alias("_order")] if order in pages.columns else []
+    narrow = pages.where(might_hold(F.xxhash64("url"), bitmap, bits)).select(
+        "url", F.struct(*rank, *row_place(), *(value.alias(name) for name, value in given.items())).alias("_copy")
+    )
+    latest = narrow.groupBy("url").agg(F.max("_copy").alias("_copy"))
+    found = wanted.join(latest, "url", "left").select(
+        "url", "_copy.content_type", "_copy.error", F.col("_copy").isNotNull().alias("found"), "_copy._file", "_copy._row"
+    )
+    found.write.mode("overwrite").parquet(f"{path}/latest")
+    return spark.read.parquet(f"{path}/latest")
+
+
+def bodies(copies: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, html`` of copies (``url, _file, _row``, a stored table).
+
+    Bodies leave the scan for those copies alone, and stream past a hash table of places: they are neither sorted nor aggregated,
+    and copies of one url do not meet.
+    """
+    place = [F.col("_file"), F.col("_row")]
+    bitmap, bits = bloom(copies.select(F.xxhash64(*place).alias("hash")), copies.count())
     body = "html" if "html" in pages.columns else "body"
-    columns = ["url", order, body, *[name for name in defaults if name in pages.columns]]
-    latest = latest_by(pages.select(*dict.fromkeys(columns)), "url", order)
+    scan = pages.select(*row_place(), body).where(might_hold(F.xxhash64(*place), bitmap, bits))
     text = F.col("html") if body == "html" else decode_body(F.col("body"))
-    latest = latest.select("*", *missing).select(
-        "url", "content_type", "error", text.alias("html"), F.lit(True).alias("found")
-    )
-    return urls.select("url").join(latest, "url", "left")
+    return scan.join(copies.hint("shuffle_hash"), ["_file", "_row"]).select("url", text.alias("html"))
 
 
 def first_results(urls: DataFrame, pages: DataFrame, order: str = "page_id") -> DataFrame:
-    """``url, content, status, error, method`` of every distinct url, by page lookup."""
-    readable = F.when(F.col("found"), F.col("error").isNull() & is_text_type(F.col("content_type")))
-    snapshot = _snapshot(urls, pages, order).select(
-        "url", "content_type", "error", readable.alias("readable"), F.when(readable, F.col("html")).alias("html")
-    )
-    results = extract(snapshot, "url", keep=("content_type", "error", "readable"))
+    """``url, content, status, error, method`` of every distinct url, by page lookup.
+
+    The latest copy is chosen on narrow columns; only pages that are there, without error and of a text type have their body read.
+    """
+    pages = as_scan(pages)
+    copies = latest_copies(urls, pages, order)
+    readable = F.col("found") & F.col("error").isNull() & is_text_type(F.col("content_type"))
+    pages_read = extract(bodies(copies.where(readable).select("url", "_file", "_row"), pages), "url")
     problem = (
-        F.when(F.col("readable").isNull(), F.lit(MISSING_PAGE))
+        F.when(~F.col("found"), F.lit(MISSING_PAGE))
         .when(F.col("error").isNotNull(), F.col("error"))
-        .when(~F.col("readable") & url_path(F.col("url")).isNull(), F.lit("Invalid URL"))
+        .when(url_path(F.col("url")).isNull(), F.lit("Invalid URL"))
     )
-    results = results.withColumn("error", problem)
+    others = copies.where(~readable).withColumn("error", problem)
     failed = fill(fixed.TEXT_FETCH_FAILED, url=F.col("url"), suffix=F.lit(""), error=F.col("error"))
-    return results.select(
+    others = others.select(
         "url",
         F.when(F.col("error").isNotNull(), failed)
-        .when(F.col("readable"), F.col("content"))
         .otherwise(content_type_stub(F.col("url"), F.col("content_type")))
         .alias("content"),
-        F.when(F.col("error").isNotNull(), F.lit("fetch_error"))
-        .when(F.col("readable"), F.col("status"))
-        .otherwise(F.lit("ok"))
-        .alias("status"),
+        F.when(F.col("error").isNotNull(), F.lit("fetch_error")).otherwise(F.lit("ok")).alias("status"),
         "error",
-        F.lit("lightweight").alias("method"),
     )
+    both = pages_read.select("url", "content", "status", F.lit(None).cast("string").alias("error")).union(others)
+    return both.withColumn("method", F.lit("lightweight"))
 
 
 def succeeded(status: str = "status"):
@@ -78,9 +113,9 @@ def with_fallback(results: DataFrame, rendered: DataFrame, order: str = "page_id
     ``results`` is read twice, so hand in a stored table.
     """
     failing = results.where(~succeeded()).select("url")
-    columns = ["url", "html"] + [c for c in (order,) if c in rendered.columns]
-    snapshot = _snapshot(failing, rendered.select(*columns), order).where("found").select("url", "html")
-    found = extract(snapshot, "url", rendered=True).select(
+    rendered = as_scan(rendered)
+    copies = latest_copies(failing, rendered, order).where("found").select("url", "_file", "_row")
+    found = extract(bodies(copies, rendered), "url", rendered=True).select(
         "url", F.col("content").alias("_content"), F.col("status").alias("_status")
     )
     joined = results.join(found, "url", "left")

@@ -232,7 +232,7 @@ def _rendered_pages(pages: DataFrame) -> DataFrame:
 
 
 def _looked_up(spark, sf, fallback: bool) -> DataFrame:
-    pages = _pages(spark, sf, "url")
+    pages = read_table(configure(spark), sf, "pages")
     rendered = _rendered_pages(pages) if fallback else None
     return lookup.add_page_content(_bookmarks(spark, sf), _http_pages(pages), rendered)
 
@@ -248,6 +248,42 @@ def fallback_chain(spark, sf):
     return _looked_up(spark, sf, fallback=True).select(*_LOOKUP_COLUMNS)
 
 
+COMMON_URL = "https://common.example.org/start?a=<b>"
+SNAPSHOT_TYPES = ["text/html; charset=euc-jp", "text/html", "text/html", "text/plain; charset=utf-8", "application/pdf ; v=1", None, "image/svg+xml"]
+SNAPSHOT_ERROR = "timeout of 7000ms exceeded"
+
+
+def _snapshot_copies(pages: DataFrame) -> DataFrame:
+    """The page table as a crawler leaves it: bodies as bytes in three charsets, other content types, errors, outdated copies, and one
+    url that a fifth of the rows are copies of."""
+    kind = F.col("page_id") % 7
+    form = F.when(kind < 2, "charset=EUC-JP").when(kind == 2, "charset=shift_jis").otherwise('charset="utf-8"')
+    marked = F.replace("html", F.lit('charset="utf-8"'), form)
+    page = F.replace(F.when(kind < 3, F.regexp_replace(marked, r"[^\x00-\x7f]", "\u8a9e")).otherwise(marked), F.lit(". "), F.lit(fixed.SENTENCE_END))
+    body = F.when(kind < 2, F.encode(page, "EUC-JP")).when(kind == 2, F.encode(page, "Shift_JIS")).otherwise(F.encode(page, "UTF-8"))
+    types = F.element_at(F.array(*map(F.lit, SNAPSHOT_TYPES)), (kind + 1).cast("int"))
+    text = F.lit("text/html")
+    copies = [
+        (F.lit(True), F.col("url"), F.col("page_id") * 10 + 5, types, F.when(kind == 5, SNAPSHOT_ERROR), F.when(kind != 5, body)),
+        (F.col("page_id") % 3 == 0, F.col("url"), F.col("page_id") * 10, text, F.lit(None), F.lit(b"<body>outdated</body>")),
+        (F.col("page_id") % 5 == 0, F.lit(COMMON_URL), F.col("page_id"), text, F.lit(None), body),
+    ]
+    rows = [
+        F.when(there, F.struct(u.alias("url"), n.cast("bigint").alias("taken"), t.alias("content_type"), e.cast("string").alias("error"), b.alias("body")))
+        for there, u, n, t, e, b in copies
+    ]
+    return pages.select(F.explode(F.array_compact(F.array(*rows))).alias("copy")).select("copy.*")
+
+
+def scrape_snapshot(spark, sf):
+    """Lookup in a stored snapshot of raw bodies; one url has a share of all copies and of all bookmarks."""
+    path = shared_dir(configure(spark), "snapshot")
+    _snapshot_copies(read_table(spark, sf, "pages")).write.parquet(path)
+    rows = _bookmarks(spark, sf)
+    rows = rows.withColumn("url", F.when(F.col("row_idx") % 4 == 2, F.lit(COMMON_URL)).otherwise(F.col("url")))
+    return lookup.add_page_content(rows, spark.read.parquet(path), order="taken").select(*_LOOKUP_COLUMNS)
+
+
 def method_breakdown(spark, sf):
     return ledger.breakdown(_looked_up(spark, sf, fallback=True))
 
@@ -453,7 +489,7 @@ QUERIES = {
         url_file_class, content_type_route, page_charset, page_decode,
         html_tokens, element_spans, page_stripped_text, content_pick, longest_block, article_text,
         document_paragraphs, page_enml,
-        scrape_join, fallback_chain, method_breakdown, method_labels, notes_full,
+        scrape_join, scrape_snapshot, fallback_chain, method_breakdown, method_labels, notes_full,
         run_stats, failed_first10, checkpoint_marks, resume_remaining, resume_union,
         split_manifest, row_slices, enex_parts, enex_roundtrip, split_foreign, note_quarantine,
         csv_bookmarks, stream_notes, stream_enriched, stream_metrics,
