@@ -33,6 +33,8 @@ FARTHEST = 2 * len(SEGMENTS) - 1
 BLOCK = 4096
 #: Runs up to this length are compared pair by pair.
 SHORT = 16
+#: Nodes and shingle hashes of a block whose pairs are verified in one task, and sets of it that are held against one at once.
+BLOCK_NODES, BLOCK_SHINGLES, SETS = 2048, 1 << 21, 256
 #: Texts by hash that are broadcast at most.
 SMALL = 2_000_000
 
@@ -168,14 +170,37 @@ def links_of_runs(keys: np.ndarray, prints: np.ndarray, distance: int, between:
     return np.concatenate(ones), np.concatenate(others)
 
 
-def links_between_classes(prints: np.ndarray, classes: np.ndarray, distance: int, between: Callable, begin: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair within ``distance`` whose classes differ, as index pairs; the first of the two is below ``begin`` if that is given."""
+def similar(mine: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each of the sorted sets ``others`` has a Jaccard similarity of ``similarity`` or more with the sorted set ``mine``."""
+    sizes = np.array([len(o) for o in others], np.int64)
+    both = np.zeros(len(others), np.int64)
+    some = np.flatnonzero(sizes) if len(mine) else np.zeros(0, np.int64)
+    if len(some):
+        joined = np.concatenate([others[n] for n in some])
+        hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+        both[some] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
+    return both >= similarity * (sizes + len(mine) - both)
+
+
+def joining_links(
+    prints: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], distance: int, similarity: float, between: Callable, begin: int = 0
+) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that join all classes which any similar pair joins; each joins two, so there are fewer than classes.
+
+    Pairs within a class are not looked at, nor pairs beyond ``distance``.  With ``begin``, one of the pair is below it and the other is not.
+    """
+    classes, out = classes.copy(), []
     for at in range(begin or len(prints) - 1):
         low = max(begin, at + 1)
         others = low + np.flatnonzero(classes[low:] != classes[at])
         others = others[between(prints[others], prints[at]) <= distance]
-        if len(others):
-            yield np.full(len(others), at), others
+        for first in range(0, len(others), SETS):
+            some = others[first : first + SETS]
+            for other in some[similar(sets[at], [sets[n] for n in some], similarity)].tolist():
+                if classes[other] != classes[at]:
+                    classes[classes == classes[other]] = classes[at]
+                    out.append((at, other))
+    return out
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -267,24 +292,33 @@ def link_runs(keyed: DataFrame, words: int, distance: int, between: Callable = b
     return links
 
 
-def links_left(keyed: DataFrame, roots: DataFrame, words: int, distance: int, between: Callable) -> DataFrame:
-    """(a, b): every pair of rows (key, node, p0, ...) of equal key within ``distance`` whose nodes are of different classes.
+def links_left(keyed: DataFrame, roots: DataFrame, sets_of: Callable, words: int, distance: int, similarity: float, between: Callable) -> DataFrame | None:
+    """(a, b): links of similar nodes of equal key that join the classes which ``roots`` (node, root) leaves apart; None if no key has any such.
 
-    ``roots`` has (node, root) of nodes that are not a class of their own.  Only keys with more than SHORT
-    nodes are read, as ``link_runs`` gives all the pairs of the others.  Long runs are cut into blocks, each pair of blocks is a task.
+    Only keys with more than SHORT nodes of several classes are read, as ``link_runs`` gives all the pairs of the others.  A node outside
+    the largest class of its key meets all the others of the key, nodes of that class meet only those outside.  Both kinds are cut into blocks
+    of bounded rows and bounded sets, and a pair of blocks is a task.  It verifies each pair on the sets (``sets_of`` nodes: node, shingles) and writes
+    at most one link for each two classes that it joins: the output is linear in the rows however many pairs fail.
     """
     values = [f"p{n}" for n in range(words)]
-    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT))
-    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
-    long = stored(keyed.join(sizes, "key").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), *values))
-    mixed = long.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT).select("key")
+    long = keyed.join(sizes, "key").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    long = stored(long.select("key", "node", F.coalesce("root", "node").alias("root"), *values))
+    by_class = long.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("key", "main")
+    apart = stored(long.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main"))
+    if not apart.limit(1).count():
+        return None
+    met = stored(apart.join(sets_of(stored(apart.select("node").distinct())), "node"))
+    load = F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) / BLOCK_SHINGLES)
+    cut = met.groupBy("key", "outside").agg(F.ceil(load).cast("int").alias("blocks"))
+    cut = cut.groupBy("key").agg(F.max(F.when(F.col("outside"), F.col("blocks"))).alias("outer"), F.max(F.when(~F.col("outside"), F.col("blocks"))).alias("inner"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     dealt = (
-        long.join(mixed, "key")
-        .withColumn("blocks", blocks)
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "node", "root", *values, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        met.join(cut, "key")
+        .withColumn("mine", F.when(F.col("outside"), block("outer")).otherwise(F.col("outer") + block("inner")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))))
+        .select("key", "node", "root", "shingles", *values, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +328,14 @@ def links_left(keyed: DataFrame, roots: DataFrame, words: int, distance: int, be
         order = np.argsort(mine, kind="stable")
         nodes, classes = part.column("node").to_numpy()[order], part.column("root").to_numpy()[order]
         table = np.stack([part.column(v).to_numpy().view(np.uint64)[order] for v in values], axis=1)
+        lists = part.column("shingles").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sets = [flat[ends[n] : ends[n + 1]] for n in order]
         begin = 0 if low == high else int((mine == low).sum())
         if low != high and begin in (0, len(nodes)):
             return
-        for a, b in links_between_classes(table, classes, distance, between, begin):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["a", "b"])
+        found = np.array(joining_links(table, classes, sets, distance, similarity, between, begin), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]], pa.int64()), pa.array(nodes[found[:, 1]], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, StructType([StructField("a", LongType()), StructField("b", LongType())]))
 
@@ -323,10 +360,10 @@ def near_duplicates(docs: DataFrame, *, distance: int = 4, words: int = 4, seed:
     )
 
 
-def shingle_set(text: Column, words: int) -> str:
-    """SQL over columns ``hashed`` (word hashes): the distinct 32-bit hashes of the shingles."""
+def shingle_set(words: int) -> str:
+    """SQL over a column ``hashed`` (word hashes): the distinct 64-bit hashes of the shingles, sorted."""
     parts = ", ".join(f"get(hashed, i + {n})" for n in range(words))
-    return f"CASE WHEN size(hashed) > 0 THEN array_distinct(transform(sequence(0, greatest(size(hashed) - {words}, 0)), i -> hash({parts}))) ELSE array() END"
+    return f"array_sort(array_distinct(CASE WHEN size(hashed) > 0 THEN transform(sequence(0, greatest(size(hashed) - {words}, 0)), i -> xxhash64({parts})) ELSE array() END))"
 
 
 #: Minima in one key of the index of similar documents, and the largest chance that the index misses a pair at the asked similarity.
@@ -345,23 +382,26 @@ def index_size(similarity: float) -> tuple[int, int]:
     return keys, distance
 
 
-def minima(text: str, words: int, factors: np.ndarray) -> np.ndarray:
-    """For every factor the least product (modulo 2^64) with a shingle's hash: equal in two texts with a chance of the similarity of their shingle sets."""
+def minima(text: str, words: int, factors: np.ndarray) -> tuple[np.ndarray, int]:
+    """For every factor the least product (modulo 2^64) with a shingle's hash: equal in two texts with a chance of the similarity
+    of their shingle sets; and the SimHash of the set."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").split()
     shingles = {b" ".join(parts[n : n + words]) for n in range(max(1, len(parts) - words + 1))} if parts else ()
     if not shingles:
-        return np.zeros(len(factors), np.uint64)
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s) for s in shingles]), np.uint64)
-    out = np.full(len(factors), ~np.uint64(0))
+        return np.zeros(len(factors), np.uint64), 0
+    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(s) for s in shingles]), np.uint8).reshape(-1, 8)
+    hashes = digests.reshape(-1).view(np.uint64)
+    out, bits = np.full(len(factors), ~np.uint64(0)), np.zeros(64, np.int64)
     for n in range(0, len(hashes), 4096):  # a long text in slices
         out = np.minimum(out, (factors[:, None] * hashes[n : n + 4096]).min(axis=1))
-    return out
+        bits += np.unpackbits(digests[n : n + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return out, int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
 def with_minima(docs: DataFrame, keys: int, words: int, doc: str, text: str) -> tuple[DataFrame, int]:
-    """(doc, text_hash, keys, p0, p1, ...) of every row, and the number of the p: keys of the index and a byte of each minimum."""
+    """(doc, text_hash, print, keys, p0, p1, ...) of every row, and the number of the p: SimHash, keys of the index and a byte of each minimum."""
     factors = np.random.default_rng(42).integers(0, 1 << 64, keys * MINIMA, np.uint64) | np.uint64(1)
     mixers = np.random.default_rng(43).integers(0, 1 << 64, (keys, MINIMA), np.uint64) | np.uint64(1)
     width = -(-len(factors) // 8)
@@ -369,7 +409,9 @@ def with_minima(docs: DataFrame, keys: int, words: int, doc: str, text: str) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = np.array([minima(t.as_py(), words, factors) for t in batch.column(2)], np.uint64).reshape(-1, len(factors))
+            read = [minima(t.as_py(), words, factors) for t in batch.column(2)]
+            least = np.array([m for m, _ in read], np.uint64).reshape(-1, len(factors))
+            prints = pa.array(np.array([p for _, p in read], np.uint64).view(np.int64))
             # The number of the key parts keys of equal minima.
             key = (least.reshape(-1, keys, MINIMA) * mixers).sum(axis=2, dtype=np.uint64) + np.arange(keys, dtype=np.uint64)
             table = np.zeros((len(least), width * 8), np.uint8)
@@ -377,9 +419,9 @@ def with_minima(docs: DataFrame, keys: int, words: int, doc: str, text: str) ->
             table = table.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * keys), pa.array(key.reshape(-1).view(np.int64)))
             columns = [lists, *(pa.array(np.ascontiguousarray(table[:, n])) for n in range(width))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "text_hash", "keys", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, *columns], names=["doc", "text_hash", "print", "keys", *names])
 
-    schema = StructType([StructField("doc", docs.schema[doc].dataType), StructField("text_hash", LongType()), StructField("keys", ArrayType(LongType())), *(StructField(n, LongType()) for n in names)])
+    schema = StructType([StructField("doc", docs.schema[doc].dataType), StructField("text_hash", LongType()), StructField("print", LongType()), StructField("keys", ArrayType(LongType())), *(StructField(n, LongType()) for n in names)])
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(F.col(doc).alias("doc"), F.xxhash64(whole).alias("text_hash"), F.lower(whole).alias("text")).mapInArrow(read, schema), width
 
@@ -388,40 +430,44 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     """One row per row of ``docs``: doc, text_hash, component (a number), component_id (smallest doc in it).
 
     Texts link when the Jaccard similarity of their sets of shingles of ``words`` words (lower-cased) is ``similarity`` or more.
-    Candidates share a key of the index, three minima of the hashed shingles; each link is then verified exactly
-    on the whole texts' shingles.  A pair at ``similarity`` escapes the index with a chance below 2e-7, wherever the texts differ, closer ones
-    more rarely; in dense groups the closest links are verified first, then all pairs that these leave in different classes.  Equal texts are one node.  Wordless and null
+    Candidates come from two indexes: the one-wildcard segments of the SimHash of these sets, sure up to FARTHEST differing bits, and, since
+    about ten bits differ at 0.8, keys of three minima of the hashed shingles each, which a pair at ``similarity`` escapes with a chance below 2e-7, wherever the
+    texts differ, closer ones more rarely.  Each link is verified exactly on the whole texts' shingles; in dense groups the closest links
+    are verified first, then all pairs that these leave in different classes.  Equal texts are one node.  Wordless and null
     texts are alike.  A component whose docs are all null has a null id.  Other columns are not read.
     """
     keys, distance = index_size(similarity)
     read, width = with_minima(docs, keys, words, doc, text)
     marked = stored(read)
     values = [f"p{n}" for n in range(width)]
-    nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc").alias("least"), F.first("keys").alias("keys"), *(F.first(v).alias(v) for v in values))
+    nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc").alias("least"), F.first("print").alias("print"), F.first("keys").alias("keys"), *(F.first(v).alias(v) for v in values))
     nodes = stored(nodes)
     keyed = nodes.select(F.explode("keys").alias("key"), "node", *values)
 
-    def verified(links: DataFrame) -> DataFrame:
-        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-        # Shingles of the linked texts only.
-        wanted = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of these nodes only."""
         wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted  # the size is checked before a broadcast
         whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
         linked = docs.select(F.xxhash64(whole).alias("node"), whole.alias("whole")).join(wanted, "node", "left_semi")
         hashed = linked.withColumn("hashed", F.expr("transform(filter(split(lower(whole), '\\\\s+'), x -> x <> ''), x -> xxhash64(x))"))
-        sets = hashed.select("node", F.expr(shingle_set(F.col("whole"), words)).alias("shingles")).dropDuplicates(["node"])
+        return hashed.select("node", F.expr(shingle_set(words)).alias("shingles")).dropDuplicates(["node"])
+
+    def verified(links: DataFrame) -> DataFrame:
+        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        sets = sets_of(stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         pairs = links.join(sets.withColumnRenamed("shingles", "sa"), links.a == sets.node).drop("node")
         pairs = pairs.join(sets.withColumnRenamed("shingles", "sb"), pairs.b == sets.node).drop("node")
         both = F.size(F.array_intersect("sa", "sb"))
         alike = F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))
         return stored(pairs.withColumn("both", both).where(alike).select("a", "b"))
 
-    # Trees can prefer pairs that fail: what they leave apart is compared whole.
-    tree = verified(link_runs(keyed, width, distance, bytes_between))
+    # Trees can prefer pairs that fail: the classes that they leave apart are compared whole.
+    close = link_fingerprints(nodes.select("node", F.col("print").alias("p0")), 1, FARTHEST)
+    tree = verified(close.union(link_runs(keyed, width, distance, bytes_between)))
     roots = stored(connected(tree))
-    left = stored(links_left(keyed, roots, width, distance, bytes_between))
-    if left.limit(1).count():
-        roots = connected(tree.union(verified(left)))
+    left = links_left(keyed, roots, sets_of, width, distance, similarity, bytes_between)
+    if left is not None:
+        roots = connected(tree.union(stored(left)))
     roots = roots.withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
