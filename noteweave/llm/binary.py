@@ -1,10 +1,10 @@
 """Token ids as fixed-stride shards in training order.
 
 Documents, each closed by an end id, run one after the other along their partition and are cut into sequences of a
-fixed number of ids; the last one of a partition is padded.  A first pass counts tokens, so every
-sequence has a dense index.  A keyed Feistel network permutes the indices, and a value outside the range walks its cycle
-until it is inside: each sequence knows its global slot without a sort.  Sequences move once, to ranges of
-slots; each range is one file: record r of shard s is slot s * per_shard + r, at byte r * stride.
+fixed number of ids; the last one of a partition is padded.  They are encoded once, into a stored table of compressed sequences
+numbered within their partition; the counts of that table give every sequence a dense index.  A keyed Feistel network permutes the
+indices, and a value outside the range walks its cycle until it is inside: each sequence knows its global slot without a sort.  Sequences
+move once, still compressed, to ranges of slots; each range is one file: record r of shard s is slot s * per_shard + r, at byte r * stride.
 
 A record is the ids as little-endian unsigned 16-bit numbers and one separator byte.  The files are written by
 Spark's text sink, from raw bytes, so its commit protocol holds for lost executors and on any file system.
@@ -13,18 +13,18 @@ Spark's text sink, from raw bytes, so its commit protocol holds for lost executo
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from noteweave.llm.storage import stored
-from noteweave.llm.tokencount import SLICE_CHARACTERS, transducer
-from noteweave.llm.tokens import slices, token_ids
+from noteweave.llm.storage import dropped, stored
+from noteweave.llm.tokens import token_ids
 
 ROUNDS = 4  # even, so that both halves have their first width again
 #: Steps of a walk.  Fewer than half of the values are outside, so a longer walk has a chance of 2**-WALK.
@@ -32,6 +32,11 @@ WALK = 128
 SEPARATOR = "\n"
 #: Ids that a task gathers before it passes sequences on.
 FLUSH_IDS = 500_000
+#: Columns of a stored sequence, and the level of their compression.
+SEQUENCE = ["partition", "number", "doc", "start", "n_ids", "record"]
+LEVEL = 3
+#: Partitions of the first level of counts, and most whose counts are broadcast.
+BLOCK, MOST_PARTITIONS = 4096, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -76,75 +81,83 @@ def with_slot(df: DataFrame, index: str, slot: str, n: int, seed: int) -> DataFr
     return df.withColumn(slot, walk).withColumn(slot, ended)
 
 
-def planned(docs: DataFrame, tokenizer: str, ids: int) -> DataFrame:
-    """(partition, number, doc, start) of every sequence, and a row with number -1 and all ids as start per partition."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, position, partition = transducer(tokenizer), 0, None
-
-        def rows(numbers, keys, starts):
-            part = pa.array([partition] * len(numbers), pa.int32())
-            return pa.RecordBatch.from_arrays([part, pa.array(numbers, pa.int64()), keys, pa.array(starts, pa.int64())], names=["partition", "number", "doc", "start"])
+def sequences(docs: DataFrame, tokenizer: str, ids: int, pad_id: int, end_id: int) -> DataFrame:
+    """(partition, number, doc, start, n_ids, record) of ``docs`` (doc, text): the sequences of each partition from 0, and the doc of their first
+    id with the ids of that doc in front of it.  ``record`` is compressed."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder, pack = token_ids(tokenizer), zstandard.ZstdCompressor(level=LEVEL)
+        held, keys, begins, size = [], [], [], 0  # documents not yet passed on, and where they begin among the held ids
+        number, ahead, partition = 0, 0, TaskContext.get().partitionId()
+
+        def rows(stream: np.ndarray, whole: int) -> pa.RecordBatch:
+            count = -(-whole // ids)
+            starts = np.arange(count) * ids
+            owner = np.searchsorted(begins, starts, "right") - 1
+            records = [pack.compress(stream[at : at + ids].tobytes()) for at in starts.tolist()]
+            columns = [
+                pa.array([partition] * count, pa.int32()), pa.array(np.arange(number, number + count)), pa.array([keys[n] for n in owner], key_type),
+                pa.array(starts - np.array(begins, np.int64)[owner] + np.where(owner == 0, ahead, 0)), pa.array(np.minimum(ids, whole - starts).astype(np.int32)), pa.array(records, pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=SEQUENCE)
+
+        key_type = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, partition = batch.column(0).type, batch.column(2)[0].as_py()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low, high in slices(texts, SLICE_CHARACTERS):
-                numbers, owner, starts = [], [], []
-                for at, n in enumerate(machine.counts(texts[low:high]).tolist(), low):
-                    for begin in range(-(-position // ids) * ids, position + n + 1, ids):
-                        numbers.append(begin // ids)
-                        owner.append(at)
-                        starts.append(begin - position)
-                    position += n + 1
-                yield rows(numbers, batch.column(0).take(pa.array(owner, pa.int32())), starts)
-        if partition is not None:
-            yield rows([-1], pa.nulls(1, kind), [position])
-
-    fields = [StructField("partition", IntegerType()), StructField("number", LongType()), StructField("doc", docs.schema["doc"].dataType)]
-    return docs.mapInArrow(count, StructType([*fields, StructField("start", LongType())]))
-
-
-def sequences(docs: DataFrame, tokenizer: str, ids: int, pad_id: int, end_id: int, base: dict[int, tuple[int, int]]) -> DataFrame:
-    """(index, record) of the partitions of ``docs``.
-
-    ``base`` gives each partition's first index and number of ids; rows that differ from those
-    that were counted end the job instead of giving a slot twice.
+            key_type = batch.column(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                coded = coder.ids(text.as_py() or "")
+                keys.append(key)
+                begins.append(size)
+                held.append(np.fromiter(coded, "<u2", len(coded)))
+                held.append(np.array([end_id], "<u2"))
+                size += len(coded) + 1
+                if size >= FLUSH_IDS + ids:
+                    stream, whole = np.concatenate(held), size // ids * ids
+                    yield rows(stream, whole)
+                    # What is left belongs to the last documents; of the first of them ``ahead`` ids are gone.
+                    first = int(np.searchsorted(begins, whole, "right")) - 1
+                    ahead = whole - begins[first] + (ahead if first == 0 else 0)
+                    number += whole // ids
+                    held, size = [stream[whole:]], size - whole
+                    keys, begins = keys[first:], [0, *(b - whole for b in begins[first + 1 :])]
+                    if not size:
+                        keys, begins, ahead = [], [], 0
+        if size:
+            stream = np.concatenate([*held, np.full(-size % ids, pad_id, "<u2")])
+            yield rows(stream, size)
+
+    types = (IntegerType(), LongType(), docs.schema["doc"].dataType, LongType(), IntegerType(), BinaryType())
+    return docs.mapInArrow(cut, StructType([StructField(n, t) for n, t in zip(SEQUENCE, types)]))
+
+
+def with_index(rows: DataFrame) -> DataFrame:
+    """Adds ``index``, dense over all partitions: a partition's number plus the sequences of the partitions before it.
+
+    The counts are one row per partition, added up in two levels; the data is neither sorted nor moved.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(base)
+    counts = stored(rows.groupBy("partition").agg(F.count("*").alias("n")).withColumn("block", F.expr(f"partition div {BLOCK}")))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("block", "n"))).scalar()
+    inside = Window.partitionBy("block").orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.aggregate(F.filter("blocks", lambda b: b["block"] < F.col("block")), F.lit(0).cast("long"), lambda total, b: total + b["n"])
+    base = counts.select("*", blocks.alias("blocks")).select("partition", (F.coalesce(F.sum("n").over(inside), F.lit(0)) + before).alias("base"))
+    base = F.broadcast(base) if counts.count() <= MOST_PARTITIONS else base  # 12 bytes each
+    return rows.join(base, "partition").withColumn("index", F.col("base") + F.col("number")).drop("base")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = token_ids(tokenizer)
-        buffer, index, expected, seen = array("H"), None, 0, 0
 
-        def rows(records):
-            numbers = pa.array(range(index, index + len(records)), pa.int64())
-            return pa.RecordBatch.from_arrays([numbers, pa.array(records, pa.binary())], names=["index", "record"])
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The rows (shard, slot, record) with records as they were before compression."""
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if index is None:
-                index, expected = shipped.value[batch.column(2)[0].as_py()]
-            for text in batch.column(1):
-                coded = memoryview(coder.encode(text.as_py() or "")).cast("I").tolist()
-                buffer.extend(coded)
-                buffer.append(end_id)
-                seen += len(coded) + 1
-                if len(buffer) >= FLUSH_IDS + ids:
-                    whole = len(buffer) // ids * ids
-                    yield rows([buffer[at : at + ids].tobytes() for at in range(0, whole, ids)])
-                    index += whole // ids
-                    buffer = buffer[whole:]
-        if index is not None:
-            buffer.extend([pad_id] * (-len(buffer) % ids))
-            yield rows([buffer[at : at + ids].tobytes() for at in range(0, len(buffer), ids)])
-        if seen != expected:
-            raise RuntimeError("the documents are not the ones that were counted")
-
-    return docs.mapInArrow(cut, StructType([StructField("index", LongType()), StructField("record", BinaryType())]))
+            records = pa.array([plain.decompress(r.as_buffer()) for r in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), records], names=["shard", "slot", "record"])
+
+    return rows.mapInArrow(unpack, "shard long, slot long, record binary")
 
 
 def materialise(
@@ -153,33 +166,25 @@ def materialise(
 ) -> Layout:
     """Write ``folder``/shards and ``folder``/index, and return the layout (also in ``folder``/layout).
 
-    ``folder`` must be new and on a file system that all executors share.  ``docs`` must give the same rows in the same
-    partitions twice, as scans and stored tables do; the job fails otherwise.  Ids must fit 16 bits.  The index has a row per sequence: slot, doc and start of its
+    ``folder`` must be new and on a file system that all executors share.  Ids must fit 16 bits.  The index has a row per sequence: slot, doc and start of its
     first id (how many ids of that doc stand before), n_ids without padding.  A null text is an empty document of one id.  An empty
     table gives no record.  Null and repeated docs are written like any other; other columns are not read.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("partition"))
-    plan = stored(planned(narrow, tokenizer, ids))
-    totals = plan.where("number < 0").orderBy("partition").select("partition", "start").collect()  # a row per partition of the scan
-    base, before = {}, 0
-    for partition, n in totals:
-        base[partition] = (before, n)
-        before += -(-n // ids)
-    layout = Layout(before, ids, per_shard, seed)
+    narrow = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
+    # Encoded once: what follows reads this table, so a lost executor does not change which rows are where.
+    sequences(narrow, tokenizer, ids, pad_id, end_id).write.option("compression", "zstd").parquet(f"{folder}/sequences")
+    cut = spark.read.parquet(f"{folder}/sequences")
+    layout = Layout(cut.count(), ids, per_shard, seed)
     n = max(1, layout.sequences)
+    placed = with_slot(with_index(cut), "index", "slot", n, seed)
+    placed.select("slot", F.col("doc").alias(doc), "start", "n_ids").write.parquet(f"{folder}/index")
 
-    moved = with_slot(sequences(narrow, tokenizer, ids, pad_id, end_id, base), "index", "slot", n, seed)
-    moved = moved.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")).repartition("shard").sortWithinPartitions("shard", "slot")
-    records = moved.select("shard", F.col("record").cast("string").alias("value"))  # the bytes as they are
+    moved = placed.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "record").repartition("shard")
+    records = unpacked(moved).sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))  # the bytes as they are
     records.write.partitionBy("shard").option("lineSep", SEPARATOR).text(f"{folder}/shards")
-
-    begins = spark.createDataFrame([(p, b, n) for p, (b, n) in base.items()], "partition int, base long, total long")
-    placed = plan.where("number >= 0").join(begins, "partition").withColumn("index", F.col("base") + F.col("number"))
-    placed = with_slot(placed, "index", "slot", n, seed)
-    used = F.least(F.lit(ids), F.col("total") - F.col("number") * ids).cast("int")
-    placed.select("slot", F.col("doc").alias(doc), "start", used.alias("n_ids")).write.parquet(f"{folder}/index")
     spark.createDataFrame([(json.dumps(asdict(layout)),)], "value string").coalesce(1).write.text(f"{folder}/layout")
+    dropped(spark, f"{folder}/sequences")
     return layout
 
 

@@ -29,6 +29,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 VARIANTS = 64
 #: Largest distance at which one segment of a single word surely differs in at most one bit.
 FARTHEST = 2 * len(SEGMENTS) - 1
+#: Largest distance of candidates for similar documents; unlike texts share a variant by chance, but are hardly ever as close.
+CLOSE = 10
 #: Fingerprints compared in one task; the rest of a longer run goes to pairs of blocks.
 BLOCK = 4096
 #: Runs up to this length are compared pair by pair.
@@ -101,7 +103,7 @@ def first_common_variant(differs: np.ndarray) -> np.ndarray:
             part = (differs[:, word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
             count = np.bitwise_count(part)
             # With one bit set, part - 1 has as many bits as the place of that bit.
-            place = np.where(count == 1, np.bitwise_count(part - (count == 1).astype(np.uint64)), 0)
+            place = np.where(count == 1, np.bitwise_count(part - (count == 1).astype(np.uint64)), 0).astype(np.int64)
             out = np.where((out < 0) & (count <= 1), number + place, out)
             number += bits
     return out
@@ -430,7 +432,7 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
     """One row per row of ``docs``: doc, text_hash, component (a number), component_id (smallest doc in it).
 
     Texts link when the Jaccard similarity of their sets of shingles of ``words`` words (lower-cased) is ``similarity`` or more.
-    Candidates come from two indexes: the one-wildcard segments of the SimHash of these sets, sure up to FARTHEST differing bits, and, since
+    Candidates come from two indexes: the one-wildcard segments of the SimHash of these sets, up to CLOSE differing bits (sure up to FARTHEST), and, since
     about ten bits differ at 0.8, keys of three minima of the hashed shingles each, which a pair at ``similarity`` escapes with a chance below 2e-7, wherever the
     texts differ, closer ones more rarely.  Each link is verified exactly on the whole texts' shingles; in dense groups the closest links
     are verified first, then all pairs that these leave in different classes.  Equal texts are one node.  Wordless and null
@@ -462,7 +464,7 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, words: int =
         return stored(pairs.withColumn("both", both).where(alike).select("a", "b"))
 
     # Trees can prefer pairs that fail: the classes that they leave apart are compared whole.
-    close = link_fingerprints(nodes.select("node", F.col("print").alias("p0")), 1, FARTHEST)
+    close = link_fingerprints(nodes.select("node", F.col("print").alias("p0")), 1, CLOSE)
     tree = verified(close.union(link_runs(keyed, width, distance, bytes_between)))
     roots = stored(connected(tree))
     left = links_left(keyed, roots, sets_of, width, distance, similarity, bytes_between)

@@ -44,6 +44,9 @@ class TokenIds:
     def odd(self, text: str) -> bool:
         return self.ranked is None or ODD.search(text) is not None or any(mark in text for mark in self.special)
 
+    def ids(self, text: str) -> list[int]:
+        return self.ranked(text) if not self.odd(text) else memoryview(self.encode(text)).cast("I").tolist()
+
     def encode(self, text: str) -> bytes:
         ids = array("I")
         for odd, run in [(False, [text])] if not self.odd(text) else groupby(CHUNK.findall(text), self.odd):

@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from noteweave.llm.binary import materialise, permute_once, read_layout, read_slots, with_slot
+from noteweave.llm.binary import materialise, permute_once, read_layout, read_slots, with_index, with_slot
 from noteweave.llm.packing import binary_lengths, pack, write_buckets
+from noteweave.llm.queries import LLM_QUERIES
 from noteweave.llm.tokencount import Transducer, count_tokens
 from noteweave.llm.tokens import TokenIds
 from noteweave.llm.storage import new_folder
@@ -112,8 +114,9 @@ def test_network_is_a_permutation_of_its_domain(spark):
         assert sorted(values) == list(range(size))
 
 
-@pytest.mark.parametrize("ids, per_shard", [(16, 3), (64, 1000), (1, 50)])
-def test_shards_hold_every_id_once(spark, ids, per_shard):
+@pytest.mark.parametrize("ids, per_shard, flush", [(16, 3, 500_000), (16, 3, 40), (64, 1000, 1), (1, 50, 100)])
+def test_shards_hold_every_id_once(spark, monkeypatch, ids, per_shard, flush):
+    monkeypatch.setattr("noteweave.llm.binary.FLUSH_IDS", flush)
     docs = table(spark, [r for r in CASES if r[0] != 6]).coalesce(1)
     folder = new_folder(spark, "shards")
     layout = materialise(docs, PATH, folder, ids=ids, per_shard=per_shard, seed=3)
@@ -143,3 +146,27 @@ def test_no_documents_give_no_records(spark):
     folder = new_folder(spark, "shards")
     layout = materialise(table(spark, []), PATH, folder, ids=8)
     assert layout.sequences == 0 and spark.read.parquet(f"{folder}/index").count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables not present")
+def test_query_gives_the_ids_of_the_library_slot_by_slot(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    stream, place = [], {}
+    for d, t in docs:
+        place[d] = len(stream)
+        stream += library_ids(t or "") + [50256]
+    rows = LLM_QUERIES["op6_training_order"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["slot"] for r in rows) == list(range(-(-len(stream) // 2048))) and sum(r["n_ids"] for r in rows) == len(stream)
+    for r in rows:
+        some = stream[place[r["doc_id"]] + r["start"] :][: r["n_ids"]]
+        assert len(some) == r["n_ids"] and r["ids_crc32"] == zlib.crc32(struct.pack("<2048H", *some, *[50256] * (2048 - len(some))))
+        assert r["shard"] == r["slot"] // 4096 and r["offset"] == r["slot"] % 4096 * 4097
+
+
+def test_index_is_dense_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr("noteweave.llm.binary.BLOCK", 3)
+    rows = [(p, n) for p in (0, 2, 3, 4, 7, 11, 12) for n in range(p % 3 + 1)]
+    for most in (1_000_000, 0):
+        monkeypatch.setattr("noteweave.llm.binary.MOST_PARTITIONS", most)
+        got = with_index(spark.createDataFrame(rows, "partition int, number long")).collect()
+        assert sorted((r["index"], r["partition"], r["number"]) for r in got) == [(n, *r) for n, r in enumerate(rows)]
