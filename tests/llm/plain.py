@@ -91,3 +91,53 @@ def near_groups(texts: dict[int, str], similarity: float = 0.8) -> dict[int, int
             inverted[x].append(d)
     candidates = {(a, b) for ds in inverted.values() for i, a in enumerate(ds) for b in ds[i + 1 :]}
     return components(sorted(texts), [(a, b) for a, b in candidates if jaccard(sets[a], sets[b]) >= similarity])
+
+
+def text_lines(text: str | None) -> list[str]:
+    return [line for line in (text or "").split("\n") if line.strip(" \t\n\x0b\f\r")]
+
+
+def line_runs(lines: list[str], least: int):
+    """(lines, positions) of the shortest runs with ``least`` words from each line on."""
+    for begin in range(len(lines)):
+        words = 0
+        for end in range(begin, len(lines)):
+            words += len(lines[end].split())
+            if words >= least:
+                yield tuple(lines[begin : end + 1]), range(begin, end + 1)
+                break
+
+
+def kept_lines(before: str, after: str) -> list[bool]:
+    """Which lines of ``before`` stand in ``after``, where lines only go; of equal neighbours the last are taken to stand."""
+    lines, left, out = text_lines(before), text_lines(after), []
+    for line in reversed(lines):
+        out.append(bool(left) and left[-1] == line)
+        if out[-1]:
+            left.pop()
+    assert not left
+    return out[::-1]
+
+
+def line_dedup(texts: dict[int, str], least: int, common_blocks) -> dict[int, tuple[str, int]]:
+    """Every document against the first holder of each of its runs, and of each run read from its end, one pair after the other."""
+    lines = {d: text_lines(t) for d, t in texts.items()}
+    words = {d: [len(x.split()) for x in some] for d, some in lines.items()}
+    first, out = {}, {}
+    for d in sorted(texts):
+        runs = {p for _, p in line_runs(lines[d], least)}
+        runs |= {range(len(lines[d]) - p.stop, len(lines[d]) - p.start) for _, p in line_runs(lines[d][::-1], least)}
+        holders, seen = set(), defaultdict(int)
+        for run in sorted(runs, key=lambda r: (r.start, r.stop)):
+            content = tuple(lines[d][run.start : run.stop])
+            key = content, seen[content]
+            seen[content] += 1
+            holders.add(first.setdefault(key, d))
+        gone = {p for e in holders - {d} for p in common_blocks(lines[d], lines[e], words[d], words[e], least)}
+        at, kept = -1, []
+        for line in (texts[d] or "").split("\n"):
+            at += bool(text_lines(line))
+            if not (text_lines(line) and at in gone):
+                kept.append(line)
+        out[d] = (texts[d] if texts[d] is None else "\n".join(kept), len(gone))
+    return out
