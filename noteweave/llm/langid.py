@@ -28,6 +28,8 @@ SIZE = 4
 SLICE_CHARACTERS = 500_000
 #: Rows per language that the filter is fitted on, taken by hash of the row's key.
 SAMPLE_ROWS = 4000
+#: Labels that are learnt at most, by their rows; each takes a bit of every slot.
+MOST_LANGUAGES = 4096
 LEAST_RATE, LEAST_SHARE = 2e-6, 0.2
 #: Slots per held n-gram of the fullest language, before rounding up to a power of two.
 SLOTS_PER_GRAM = 16
@@ -98,15 +100,15 @@ class Filters:
         return names, np.array(scores, float)
 
 
-def fit(docs: DataFrame, labelled: Column, *, sample_rows: int = SAMPLE_ROWS, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
+def fit(docs: DataFrame, labelled: Column, *, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters learnt from rows where ``labelled`` holds and lang and text are not null.
 
     The sample is bounded: about ``sample_rows`` rows per language, by a hash of doc, whatever the size of the
-    table.  What is collected is bounded by it too: one mask for each slot that an n-gram addresses.
+    table, of the ``most_languages`` most frequent labels.  What is collected is bounded by it too: one mask for each slot that an n-gram addresses.
     """
     rows = docs.select(F.xxhash64(F.col(doc).cast("string")).alias("hash"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), labelled.alias("use"))
     rows = rows.where(F.col("use") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(4096).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Filters([], np.zeros((1, 2), np.uint64), 1)
     languages = sorted(sizes)

@@ -92,14 +92,16 @@ def mix(
     is less than ``n_tokens`` only in the last row of a leaf's prefix.  Null domain, lang or source form a leaf
     ``(none)``; rows without tokens (null or empty text) are never selected.  A repeated row is read as often as it occurs;
     rows with equal doc share their
-    place in the order, the shorter first; equal rows at the end of a prefix each take what the last of them may take.  Columns named domain, epoch, n_tokens or taken are replaced.
+    place in the order, the shorter first; equal rows at the end of a prefix each take what the last of them may take.  Columns named domain, epoch, n_tokens or taken
+    are replaced, all others are carried along under any name.
     """
     fill = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     added = {
         "m_domain": fill(F.expr(domain)), "m_lang": fill(F.col(lang)), "m_source": fill(F.col(source)),
         "m_tokens": F.coalesce(F.expr(tokens).cast("long"), F.lit(0).cast("long")), "m_key": F.coalesce(F.col(doc).cast("string"), F.lit("")),
     }
-    rows = docs.withColumns(added).where("m_tokens > 0")
+    # The input is one column from here on, so its names meet no others.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("m_row"), *(c.alias(n) for n, c in added.items())).where("m_tokens > 0")
     narrow = rows.select(*LEAF, "m_key", F.col("m_tokens").alias("n_tokens"))
     leaves = stored(narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -129,6 +131,6 @@ def mix(
     joined = joined.withColumn("m_partial", F.coalesce(partial, F.lit(0)).cast("long"))
     times = F.col("epochs") + (F.col("m_partial") > 0).cast("long")
     exploded = joined.where(times > 0).withColumn("m_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "epoch", "n_tokens", "taken")]
+    kept = [F.col("m_row")[c].alias(c) for c in docs.columns if c.lower() not in ("domain", "epoch", "n_tokens", "taken")]
     taken = F.when(F.col("m_epoch") <= F.col("epochs"), F.col("m_tokens")).otherwise(F.col("m_partial"))
     return exploded.select(*kept, F.col("m_domain").alias("domain"), F.col("m_epoch").alias("epoch"), F.col("m_tokens").alias("n_tokens"), taken.alias("taken"))

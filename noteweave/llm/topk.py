@@ -15,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 #: Rows of one index block and queries added up at once; both fit a core's cache.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 64
 #: Most rows and queries of a tile, and the least number of cells of each.
 CELL_ROWS, CELL_QUERIES, LEAST_CELLS = 65_536, 4096, (6, 4)
-#: Quantised components beyond this cannot be multiplied and summed in a long.
+#: Vectors with a quantised component beyond this are scored in Python's integers, since slices could leave a long.
 LARGEST = 1 << 26
+#: Scores beyond a long are ordered by their digits: so many bytes, moved above zero.
+WIDE, LONG = 48, (1 << 63) - 1
 
 
 def pack_bits(flags: np.ndarray) -> np.ndarray:
@@ -134,8 +136,13 @@ def top_of_block(ids, values, query_ids, queries, k):
     return at_q, ids[at_row], scores + shift[at_q]
 
 
-def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+def large_scores(query_ids, queries, ids, values, k: int) -> list[tuple[int, int, int]]:
+    """(query number, id, score) of the k best rows for each query, in integers of any size."""
+    out = []
+    for q, (own, query) in enumerate(zip(query_ids.tolist(), queries)):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(query, value)), i) for i, value in zip(ids.tolist(), values) if i != own)
+        out += [(q, i, -s) for s, i in scored[:k]]
+    return out
 
 
 def top_k(vectors: DataFrame, k: int, is_query: Column, *, scale: int = 256, row: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -145,14 +152,14 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, *, scale: int = 256, row
     with the query's own id are no candidates for it.  Vectors that are null, or hold null or non-finite
     components, take no part; nor do rows without an id, which nothing could name.  Shorter
     vectors count as filled up with zeros.  A repeated query row counts once, repeated candidates as often as they occur.
-    Quantised components must stay below 2**26.  Other columns are not read.
+    Components may be of any finite size; a score beyond a long has its rank, but is null.  Other columns are not read.
     """
     usable = vectors.select(F.col(row).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks")).where(
         F.col("id").isNotNull()
         & F.col("vector").isNotNull()
         & F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x.cast("double")))
     )
-    rows = usable.select("id", quantised(F.col("vector"), scale).alias("vector"), "asks")
+    rows = usable.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "asks")
     asking = rows.where("asks").select("id", "vector").distinct()
     counts = usable.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     row_cells = max(LEAST_CELLS[0], -(-counts["n"] // CELL_ROWS))
@@ -166,16 +173,15 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, *, scale: int = 256, row
     )
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and quantised components, as floating-point numbers without fractions."""
         column = table.column("vector").combine_chunks()
         lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-        values = np.zeros((len(column), int(lengths.max(initial=0))), np.int64)
-        values[np.arange(values.shape[1])[None, :] < lengths[:, None]] = column.flatten().to_numpy()
-        if np.abs(values).max(initial=0) > LARGEST:
-            raise OverflowError("quantised components are too large")
+        values = np.zeros((len(column), int(lengths.max(initial=0))))
+        values[np.arange(values.shape[1])[None, :] < lengths[:, None]] = np.floor(float(scale) * column.flatten().to_numpy())
         return table.column("id").to_numpy(), values
 
     def search(asks: pa.Table, has: pa.Table) -> pa.Table:
-        found = [[], [], [], []]
+        found: list[list] = [[], [], []]
         if asks.num_rows and has.num_rows:
             query_ids, queries = matrix(asks)
             ids, values = matrix(has)
@@ -184,28 +190,40 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, *, scale: int = 256, row
             width = max(queries.shape[1], values.shape[1])
             queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
             values = np.pad(values, ((0, 0), (0, width - values.shape[1])))
+            big, big_query = (np.abs(values) > LARGEST).any(axis=1), (np.abs(queries) > LARGEST).any(axis=1)
+            slots = np.flatnonzero(~big_query)
             for begin in range(0, len(ids), BLOCK_ROWS):
-                for first in range(0, len(query_ids), BLOCK_QUERIES):
-                    block = slice(begin, begin + BLOCK_ROWS)
-                    some = slice(first, first + BLOCK_QUERIES)
-                    q, best, score = top_of_block(ids[block], values[block], query_ids[some], queries[some], k)
-                    for column, got in zip(found, (q + first, query_ids[some][q], best, score)):
+                some_rows = begin + np.flatnonzero(~big[begin : begin + BLOCK_ROWS])
+                for first in range(0, len(slots) if len(some_rows) else 0, BLOCK_QUERIES):
+                    some = slots[first : first + BLOCK_QUERIES]
+                    q, best, score = top_of_block(ids[some_rows], values[some_rows].astype(np.int64), query_ids[some], queries[some].astype(np.int64), k)
+                    for column, got in zip(found, (some[q], best, score)):
                         column.append(got)
         columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in found]
         # Keep the k best of the tile's blocks.
-        order = np.lexsort((columns[2], -columns[3], columns[0]))
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
         columns = [c[order] for c in columns]
         start = np.searchsorted(columns[0], columns[0], "left")
         keep = np.arange(len(order)) - start < k
-        query_hash = asks.column("hash").to_numpy() if asks.num_rows else np.zeros(0, np.int64)
+        numbers, best, scores = (c[keep].tolist() for c in columns)
+        if asks.num_rows and has.num_rows and (big.any() or big_query.any()):
+            for asked, rows_asked in ((slots, np.flatnonzero(big)), (np.flatnonzero(big_query), np.arange(len(ids)))):
+                more = large_scores(query_ids[asked], queries[asked], ids[rows_asked], values[rows_asked], k)
+                numbers, best, scores = numbers + [int(asked[q]) for q, _, _ in more], best + [i for _, i, _ in more], scores + [x for _, _, x in more]
+        beyond = [(x > LONG) - (x < -LONG) for x in scores]
+        at = np.array(numbers, np.int64)
         return pa.table(
-            {"query_id": columns[1][keep], "hash": query_hash[columns[0][keep]], "vec_id": columns[2][keep], "score": columns[3][keep]}
-        )
-
-    schema = StructType([StructField(n, LongType()) for n in ("query_id", "hash", "vec_id", "score")])
+            {
+                "query_id": pa.array(asks.column("id").to_numpy()[at] if len(at) else [], pa.int64()), "hash": pa.array(asks.column("hash").to_numpy()[at] if len(at) else [], pa.int64()),
+                "vec_id": pa.array(best, pa.int64()), "beyond": pa.array(beyond, pa.int32()), "score": pa.array([None if b else x for x, b in zip(scores, beyond)], pa.int64()),
+                "digits": pa.array([(x + (1 << 8 * WIDE - 1)).to_bytes(WIDE, "big") if b else None for x, b in zip(scores, beyond)], pa.binary()),
+            }
+        )
+
+    schema = "query_id long, hash long, vec_id long, beyond int, score long, digits binary"
     left = left.withColumn("hash", F.xxhash64("id", "vector"))
     tiles = left.groupBy("row_cell", "query_cell").cogroup(right.groupBy("row_cell", "query_cell")).applyInArrow(search, schema)
-    ranked = Window.partitionBy("query_id", "hash").orderBy(F.desc("score"), F.asc("vec_id"))
+    ranked = Window.partitionBy("query_id", "hash").orderBy(F.desc("beyond"), F.desc("score"), F.desc("digits"), F.asc("vec_id"))
     return (
         tiles.withColumn("rank", F.row_number().over(ranked).cast(IntegerType()))
         .where(F.col("rank") <= k)

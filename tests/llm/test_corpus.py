@@ -82,6 +82,16 @@ def test_mixing_odd_rows(spark):
     assert mixed(spark, []).collect() == []
 
 
+def test_mixing_columns_of_any_name(spark):
+    names = ["need", "epochs", "rest", "cut", "cut_tokens", "m_key", "m_domain", "m_lang", "m_source", "m_tokens", "m_place", "m_partial", "m_epoch", "m_row", "bin0", "bin1", "place", "weight", "room", "got", "tokens"]
+    rows = [(n, "x" * (n % 7 + 1), "en", "s" if n % 3 else "t") for n in range(50)]
+    plainly = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), domain="'d'", share=0.5, weights=Weights(), tokens="length(text)")
+    wide = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], ["doc_id", "text", "lang", "source", *names])
+    got = mix(wide, domain="'d'", share=0.5, weights=Weights(), tokens="length(text)")
+    assert sorted(map(tuple, got.select(*plainly.columns).collect())) == sorted(map(tuple, plainly.collect()))
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got.collect() for n in names)
+
+
 # -- languages -----------------------------------------------------------------------------------
 
 

@@ -50,6 +50,15 @@ def test_top_k_of_odd_rows(spark):
     assert [r for r in repeated if r[0] == 0][:2] == [(0, 1, 3, 327680), (0, 2, 3, 327680)]
 
 
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(8)
+    rows = [(n, [rnd.uniform(-2, 2) for _ in range(3)]) for n in range(60)]
+    rows += [(100, [1e6, -1.0, 2.0]), (101, [1e30, 1.0, 0.0]), (102, [-1e30, 1.0, 3e38]), (150, [3e38, 3e38, -3e38]), (103, [1e30, 1.0, 0.0]), (104, [4e7, 0.0, 0.0])]
+    exact = [(i, [int(x) for x in np.floor(256 * np.array(v, np.float32).astype(float))]) for i, v in rows]
+    want = [(q, r, i, s if -(1 << 63) < s < 1 << 63 else None) for q, r, i, s in plain.top_k(exact, 5)]
+    assert searched(spark, rows) == want
+
+
 # -- components and SimHash ------------------------------------------------------------------------
 
 
