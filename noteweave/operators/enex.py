@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteweave.functions import fixed
-from noteweave.functions.text import compact_time, escape_html, fill
-from noteweave.operators.order import part_name, part_number, renumber, running_totals
+from noteweave.functions.text import escape_html, fill
+from noteweave.operators.order import part_name, part_number, renumber
 
 
 def _element(name: str, value: Column) -> Column:
@@ -56,10 +56,6 @@ def export_header(
     return fill(fixed.EXPORT_PROLOG + fixed.EXPORT_OPEN, **{k: F.lit(v) for k, v in places.items()})
 
 
-def export_date_of(epoch_seconds: Column) -> Column:
-    return compact_time(epoch_seconds)
-
-
 def document_lines(
     notes: DataFrame,
     base: str,
@@ -115,22 +111,22 @@ def check_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("reason", F.when(parsed["_corrupt_record"].isNotNull(), F.lit("malformed")).otherwise(F.lit("")))
 
 
-def manifest(
-    notes: DataFrame, base: str, notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART, index: str = "note_idx"
-) -> DataFrame:
-    """One row per part: file name, row range, notes, running total, totals."""
-    parts = notes.groupBy(part_number(notes_per_part, index).alias("part_no")).agg(
-        F.count("*").alias("notes"), F.min(index).alias("first_idx"), F.max(index).alias("last_idx")
-    )
-    totals = parts.agg(F.sum("notes").alias("n")).scalar()
-    running = running_totals(parts, "part_no", running_notes=F.col("notes"))
-    return running.select(
+def manifest(notes: DataFrame, base: str, notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART) -> DataFrame:
+    """One row per part: file name, row range, notes, running total, totals.
+
+    Positions close up over gaps, so all of it follows from the number of notes.
+    """
+    size, total = int(notes_per_part), notes.count()
+    parts = notes.sparkSession.range(1, -(-total // size) + 1).withColumnRenamed("id", "part_no")
+    running = F.least(F.col("part_no") * size, F.lit(total).cast("bigint"))
+    first = (F.col("part_no") - 1) * size
+    return parts.select(
         "part_no",
         part_name(base, F.col("part_no")).alias("file_name"),
-        "notes",
-        "first_idx",
-        "last_idx",
-        "running_notes",
-        totals.alias("total_notes"),
-        F.ceil(totals / notes_per_part).cast("bigint").alias("total_parts"),
+        (running - first).alias("notes"),
+        first.alias("first_idx"),
+        (running - 1).alias("last_idx"),
+        running.alias("running_notes"),
+        F.lit(total).cast("bigint").alias("total_notes"),
+        F.lit(-(-total // size)).cast("bigint").alias("total_parts"),
     )

@@ -36,14 +36,3 @@ def left_lookup(
     left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [key, "_salt"], "left").drop("_salt")
-
-
-def latest_by(table: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the largest ``order``.
-
-    The maximum is taken per task before the shuffle, so a key with many copies
-    reaches its reducer as one row per task.
-    """
-    others = [c for c in table.columns if c != key]
-    best = table.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
-    return best.select(key, *[F.col("_row")[c].alias(c) for c in others])

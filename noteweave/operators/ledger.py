@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
-from noteweave.operators.order import renumber, running_totals
+from noteweave.operators.order import index_blocks, running_totals
+from noteweave.session import shared_dir
+
+# Rows (16 bytes each) of a list that may be broadcast.
+MAX_BROADCAST_REPEATED = 1_000_000
 
 
 def to_ledger(results: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -71,15 +75,17 @@ def first_failures(ledger: DataFrame, shown: int = fixed.FAILURES_SHOWN) -> Data
 def checkpoint_marks(ledger: DataFrame, interval: int = fixed.DEFAULT_CHECKPOINT_INTERVAL) -> DataFrame:
     """Counters as of every ``interval`` processed rows, in row order and whatever rows are missing.
 
-    Rows of the narrow ledger are counted first; one row per interval is left before the running totals.
+    Blocks of the narrow index know how many rows and failures stand before them, so the marks that fall into a block are found inside it.
     """
-    counted = renumber(ledger.select("row_idx", "success"), "row_idx", "_nth")
-    blocks = counted.groupBy(F.expr(f"_nth div {int(interval)}").alias("interval_no")).agg(
-        F.count("*").alias("_rows"), F.count_if(~F.col("success")).alias("_bad"), F.max("row_idx").alias("last_row_idx")
-    )
-    running = running_totals(blocks, "interval_no", processed=F.col("_rows"), failed=F.col("_bad"))
-    return running.where(F.col("_rows") == interval).select(
-        (F.col("interval_no") + 1).alias("mark_no"), "last_row_idx", "processed", "failed"
+    blocks = index_blocks(ledger.select("row_idx", (~F.col("success")).alias("bad")), "row_idx", "bad")
+    first, last = f"_before div {int(interval)} + 1", f"(_before + size(_at)) div {int(interval)}"
+    marks = blocks.where(f"{last} >= {first}").selectExpr("*", f"explode(sequence({first}, {last})) AS mark_no")
+    placed = marks.selectExpr("*", f"cast(mark_no * {int(interval)} AS bigint) AS processed", f"cast(mark_no * {int(interval)} - _before AS int) AS _place")
+    return placed.selectExpr(
+        "mark_no",
+        "element_at(_at, _place).at AS last_row_idx",
+        "processed",
+        "_before_bad + size(filter(slice(_at, 1, _place), e -> e.bad)) AS failed",
     )
 
 
@@ -94,16 +100,21 @@ def not_processed(bookmarks: DataFrame, ledger: DataFrame) -> DataFrame:
     return bookmarks.join(ledger.select("row_idx"), "row_idx", "left_anti")
 
 
-def merge_runs(saved: DataFrame, new: DataFrame) -> DataFrame:
+def merge_runs(saved: DataFrame, new: DataFrame, work_dir: str | None = None) -> DataFrame:
     """Saved and new notes, one per row index; the later batch wins.
 
-    Both inputs carry ``batch_id``.  The choice is an aggregate, so repeats are
-    reduced before the shuffle.
+    Both inputs carry ``batch_id``, and a batch holds a row index once.  Winners are chosen on the two narrow columns, and only for rows that
+    more than one batch holds; notes stream past that list, which is broadcast when its size allows, and are neither sorted nor aggregated.
     """
     both = saved.unionByName(new)
-    others = [c for c in both.columns if c != "row_idx"]
-    best = both.groupBy("row_idx").agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_row"))
-    return best.select("row_idx", *[F.col("_row")[c].alias(c) for c in others])
+    spark = both.sparkSession
+    path = work_dir or shared_dir(spark, "repeated")
+    counted = both.groupBy("row_idx").agg(F.count("*").alias("_n"), F.max("batch_id").alias("_last"))
+    counted.where("_n > 1").select("row_idx", "_last").write.mode("overwrite").parquet(path)
+    repeated = spark.read.parquet(path)
+    repeated = F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST_REPEATED else repeated.hint("shuffle_hash")
+    kept = both.join(repeated, "row_idx", "left").where("_last IS NULL OR batch_id = _last")
+    return kept.select(*both.columns)
 
 
 def breakdown(results: DataFrame) -> DataFrame:

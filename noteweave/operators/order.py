@@ -9,6 +9,9 @@ from noteweave.functions import fixed
 from noteweave.session import shared_dir
 
 BLOCK = 65_536
+# Index values of one block of a renumbering, and values (8 bytes each) that may be broadcast.
+INDEX_BLOCK = 1024
+MAX_BROADCAST_INDEX = 2_000_000
 # Scan splits whose offsets may be broadcast (about 100 bytes each).
 MAX_BROADCAST_SPLITS = 200_000
 
@@ -82,10 +85,46 @@ def running_totals(table: DataFrame, index: str, **sums: Column) -> DataFrame:
     )
 
 
-def renumber(table: DataFrame, order: str = "row_idx", name: str = "note_idx") -> DataFrame:
-    """Close the gaps of an index: dense 0-based ``name`` in the order of ``order``."""
-    counted = running_totals(table, order, _n=F.lit(1).cast("bigint"))
-    return counted.withColumn(name, F.col("_n") - 1).drop("_n")
+def index_blocks(table: DataFrame, index: str, *flags: str) -> DataFrame:
+    """``_block, _at, _before`` (and ``_before_<flag>``): the index values of each block, sorted, and what stands in earlier blocks.
+
+    ``index`` is unique, so a block is an array of at most INDEX_BLOCK entries (structs of ``at`` and the boolean ``flags``).  Rows are grouped, not
+    windowed: only one row per block is ordered, within super-blocks, and the totals of the super-blocks are one small array.
+    """
+    entry = F.struct(F.col(index).alias("at"), *(F.col(f) for f in flags))
+    blocks = table.groupBy(F.expr(f"cast(floor(`{index}` / {INDEX_BLOCK}) AS bigint)").alias("_block")).agg(F.array_sort(F.collect_list(entry)).alias("_at"))
+    counts = {"": F.size("_at"), **{f"_{f}": F.expr(f"size(filter(_at, e -> e.`{f}`))") for f in flags}}
+    sized = blocks.select("*", F.expr(f"cast(floor(_block / {BLOCK}) AS bigint)").alias("_super"), *(c.cast("bigint").alias(f"_n{n}") for n, c in counts.items()))
+    per_row = {n: F.lit(1) if not n else F.coalesce(F.col(n[1:]).cast("int"), F.lit(0)) for n in counts}
+    key = F.expr(f"cast(floor(floor(`{index}` / {INDEX_BLOCK}) / {BLOCK}) AS bigint)").alias("_super")
+    supers = table.groupBy(key).agg(*(F.sum(c).alias(f"_n{n}") for n, c in per_row.items()))
+    every = supers.agg(F.collect_list(F.struct("_super", *(f"_n{n}" for n in counts)))).scalar()
+    inside = Window.partitionBy("_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = sized.select("*", *(F.coalesce(F.sum(f"_n{n}").over(inside), F.lit(0)).alias(f"_in{n}") for n in counts), every.alias("_every"))
+
+    def before(n: str) -> Column:
+        earlier = F.filter("_every", lambda s: s["_super"] < F.col("_super"))
+        return F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, s: total + s[f"_n{n}"]) + F.col(f"_in{n}")
+
+    return summed.select("_block", "_at", *(before(n).alias(f"_before{n}") for n in counts))
+
+
+def renumber(table: DataFrame, order: str = "row_idx", name: str = "note_idx", work_dir: str | None = None) -> DataFrame:
+    """Close the gaps of a unique index: dense 0-based ``name`` in the order of ``order``.
+
+    The order is found on the narrow index, by blocks (a stored table), and a row looks its block up: the other columns are neither windowed nor
+    sorted, and with a block table of checked size not moved either.
+    """
+    spark = table.sparkSession
+    path = work_dir or shared_dir(spark, "index")
+    blocks = index_blocks(table.select(order), order)
+    blocks.select("_block", "_at.at", "_before").write.mode("overwrite").parquet(path)
+    blocks = spark.read.parquet(path)
+    size = blocks.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    blocks = F.broadcast(blocks) if size <= MAX_BROADCAST_INDEX else blocks.hint("shuffle_hash")
+    placed = table.withColumn("_block", F.expr(f"cast(floor(`{order}` / {INDEX_BLOCK}) AS bigint)")).join(blocks, "_block")
+    dense = F.col("_before") + F.array_position("at", F.col(order)) - 1
+    return placed.withColumn(name, dense.cast("bigint")).drop("_block", "at", "_before")
 
 
 def first_rows(table: DataFrame, limit: int | None = None, index: str = "row_idx") -> DataFrame:

@@ -36,8 +36,8 @@ def convert(
     Leaves ``notes``, ``ledger``, ``quarantine``, ``failures`` and ``parts`` below ``out``.
     The statistics count all rows of the ledger; the time is that of this run.
     With ``resume`` rows the ledger holds are skipped and all notes, old and
-    new, are written once each.  Notes are stored before anything reads them
-    twice.
+    new, are written once each.  Notes are checked as they are stored, before
+    anything reads them twice.
     """
     configure(spark)
     notes_path, ledger_path = f"{out}/notes", f"{out}/ledger"
@@ -55,7 +55,7 @@ def convert(
     else:
         rows = without_pages(rows)
     rows = rows.withColumns({"raw_url": F.col("url"), "batch_id": F.lit(batch_id).cast("bigint")})
-    new_notes = notes.make_notes(rows, day, author)
+    new_notes = notes.checked(notes.make_notes(rows, day, author))
     writer = new_notes.write.mode("overwrite").partitionBy("batch_id")
     writer.option("partitionOverwriteMode", "dynamic" if resume else "static").parquet(notes_path)
 
@@ -65,8 +65,8 @@ def convert(
     append_ledger(entries, ledger_path, replace=not resume)
 
     all_notes = ledger.merge_runs(stored.where(F.col("batch_id") < batch_id), latest) if resume else latest
-    good, bad = notes.quarantine(all_notes)
-    bad.select("row_idx", "title", "reason").write.mode("overwrite").parquet(f"{out}/quarantine")
+    good = all_notes.where("reason = ''")
+    all_notes.where("reason <> ''").select("row_idx", "title", "reason").write.mode("overwrite").parquet(f"{out}/quarantine")
     if good.isEmpty():
         raise ValueError("no valid notes to write")
     write_parts(enex.document_lines(good, base, export_date, notes_per_part), f"{out}/parts")
@@ -96,8 +96,7 @@ def split(
     counts = blocks.agg(F.count_if(F.col("reason") == "").alias("good"), F.count_if(F.col("reason") != "").alias("bad"), F.min_by("base_name", "row_idx").alias("base")).first()
     if not counts["good"]:
         raise ValueError("no well-formed notes found")
-    # Positions close up over quarantined notes: numbered on the narrow index only.
-    narrow = order.renumber(blocks.where("reason = ''").select("row_idx"), "row_idx", "note_idx")
-    good = blocks.where("reason = ''").join(narrow, "row_idx")
+    # Positions close up over quarantined notes.
+    good = order.renumber(blocks.where("reason = ''"), "row_idx", "note_idx", f"{out}/work/index")
     write_parts(enex.block_lines(good, counts["base"], header, footer, notes_per_part), f"{out}/parts")
-    return enex.manifest(narrow, counts["base"], notes_per_part).withColumn("quarantined", F.lit(counts["bad"]).cast("bigint"))
+    return enex.manifest(blocks.where("reason = ''"), counts["base"], notes_per_part).withColumn("quarantined", F.lit(counts["bad"]).cast("bigint"))

@@ -339,7 +339,7 @@ def resume_union(spark, sf):
     saved = _first_half(rows).withColumn("batch_id", F.lit(1).cast("bigint"))
     # The rows behind the last save ran twice: the overlap is in both runs.
     again = rows.where("row_idx % 3 = 0").withColumn("batch_id", F.lit(2).cast("bigint"))
-    rest = ledger.not_processed(rows, saved).withColumn("batch_id", F.lit(2).cast("bigint"))
+    rest = ledger.not_processed(rows, saved).where("row_idx % 3 <> 0").withColumn("batch_id", F.lit(2).cast("bigint"))
     new = again.unionByName(rest)
     return flat(ledger.merge_runs(saved, new), "row_idx", "batch_id")
 
@@ -352,8 +352,7 @@ def _with_gaps(rows: DataFrame) -> DataFrame:
 
 def split_manifest(spark, sf):
     rows = read_table(configure(spark), sf, "documents").select(F.col("doc_id").alias("row_idx"))
-    kept = order.renumber(_with_gaps(rows), "row_idx", "note_idx")
-    return enex.manifest(kept, "documents", DOCUMENTS_PER_PART)
+    return enex.manifest(_with_gaps(rows), "documents", DOCUMENTS_PER_PART)
 
 
 def row_slices(spark, sf):

@@ -13,15 +13,6 @@ BOOKMARK_CSV = T.StructType(
     ]
 )
 
-PAGE_SNAPSHOT = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("content_type", T.StringType()),
-        T.StructField("body", T.BinaryType()),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
 LEDGER = T.StructType(
     [
         T.StructField("row_idx", T.LongType()),

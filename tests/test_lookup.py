@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteweave.functions.sqltext import SPACES
-from noteweave.operators import content, lookup
+from noteweave.operators import content, enex, ledger, lookup, order
 from noteweave.operators.membership import bloom, might_hold
 
 LONG = "This is a sentence of the article that is long enough to count as content here. " * 2
@@ -107,3 +107,47 @@ def test_measured_lengths_equal_those_of_built_texts(spark, seed):
         _, texts, spans = documents[row["id"]]
         text = "".join("".join(texts[max(a, 0) : b + 1]) for a, b in spans).strip(SPACES)
         assert row["chars"] == len(text.encode("utf-16-le")) // 2
+
+
+# --- numbering by blocks ----------------------------------------------------------------
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_renumbering_moves_no_content(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(order, "INDEX_BLOCK", 8)
+    monkeypatch.setattr(order, "BLOCK", 4)
+    monkeypatch.setattr(order, "MAX_BROADCAST_INDEX", broadcast)
+    rnd = random.Random(1)
+    ids = sorted(rnd.sample(range(600), 150)) + [10**6, 10**9, 10**9 + 1, 2**40] + [-5, -2000]
+    rows = spark.createDataFrame([(i, "x" * 50) for i in rnd.sample(ids, len(ids))], "row_idx long, content string").repartition(5)
+    numbered = order.renumber(rows)
+    assert {r.row_idx: r.note_idx for r in numbered.collect()} == {i: n for n, i in enumerate(sorted(ids))}
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and ("hashpartitioning(_block" in plan) == (not broadcast)
+    assert order.renumber(rows.where("false")).count() == 0
+
+
+def test_marks_count_failures_inside_blocks(spark, monkeypatch):
+    monkeypatch.setattr(order, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(order, "BLOCK", 4)
+    rnd = random.Random(2)
+    rows = [(i, rnd.random() < 0.7) for i in sorted(rnd.sample(range(3000), 700)) + [10**7, 10**7 + 1]]
+    table = spark.createDataFrame(rows, "row_idx long, success boolean")
+    for interval in (1, 7, 100, 702, 703):
+        want = [(n // interval, rows[n - 1][0], n, sum(not ok for _, ok in rows[:n])) for n in range(interval, len(rows) + 1, interval)]
+        assert sorted(map(tuple, ledger.checkpoint_marks(table, interval).collect())) == want
+    plan = ledger.checkpoint_marks(table, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Subquery")[0]
+
+
+def test_merged_runs_do_not_sort_or_aggregate_notes(spark):
+    saved = spark.createDataFrame([(n, f"old {n}", 1) for n in range(40)], "row_idx long, content string, batch_id long")
+    new = spark.createDataFrame([(n, f"new {n}", 2) for n in range(30, 60)], "row_idx long, content string, batch_id long")
+    merged = ledger.merge_runs(saved, new)
+    assert sorted((r.row_idx, r.content) for r in merged.collect()) == [(n, f"{'old' if n < 30 else 'new'} {n}") for n in range(60)]
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+
+
+def test_manifest_of_no_and_few_notes(spark):
+    assert enex.manifest(spark.range(0), "b", 10).count() == 0
+    parts = [tuple(r)[2:] for r in enex.manifest(spark.range(25), "b", 10).orderBy("part_no").collect()]
+    assert parts == [(10, 0, 9, 10, 25, 3), (10, 10, 19, 20, 25, 3), (5, 20, 24, 25, 25, 3)]

@@ -97,11 +97,6 @@ def test_hot_list_is_bounded(spark):
     assert joins.hot_keys(rows, "k", share=10).count() == 0
 
 
-def test_latest_by(spark):
-    table = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, o int, v string")
-    assert {(r.k, r.o, r.v) for r in joins.latest_by(table, "k", "o").collect()} == {("a", 3, "z"), ("b", 1, None)}
-
-
 # --- notes --------------------------------------------------------------------------------
 def bookmarks(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], COLUMNS)
