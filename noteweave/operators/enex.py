@@ -10,6 +10,8 @@ from noteweave.functions import fixed
 from noteweave.functions.text import escape_html, fill
 from noteweave.operators.order import part_name, part_number, renumber
 
+PART_SIZE_PROBLEM, NO_NOTES_PROBLEM = "notes per part must be a positive number", "no notes found"
+
 
 def _element(name: str, value: Column) -> Column:
     """``<name>value</name>``, or nothing for null."""
@@ -130,3 +132,10 @@ def manifest(notes: DataFrame, base: str, notes_per_part: int = fixed.DEFAULT_NO
         F.lit(total).cast("bigint").alias("total_notes"),
         F.lit(-(-total // size)).cast("bigint").alias("total_parts"),
     )
+
+
+def input_problems(notes: DataFrame, notes_per_part: int = fixed.DEFAULT_NOTES_PER_PART) -> DataFrame:
+    """One row: ``has_notes, notes_per_part, problem`` (empty if the notes can be split); reads one note at most."""
+    found = notes.limit(1).agg(F.count("*").alias("any"))
+    problem = F.when(F.lit(notes_per_part) <= 0, F.lit(PART_SIZE_PROBLEM)).when(F.col("any") == 0, F.lit(NO_NOTES_PROBLEM)).otherwise(F.lit(""))
+    return found.select((F.col("any") > 0).alias("has_notes"), F.lit(notes_per_part).alias("notes_per_part"), problem.alias("problem"))

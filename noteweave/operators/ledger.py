@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
@@ -89,6 +89,21 @@ def checkpoint_marks(ledger: DataFrame, interval: int = fixed.DEFAULT_CHECKPOINT
     )
 
 
+def last_of(ledger: DataFrame, count: int) -> Column:
+    """Index of the ``count``-th row in row order (of the last row if there are fewer), found inside its block; a scalar."""
+    blocks = index_blocks(ledger.select("row_idx"), "row_idx").where(f"_before < {int(count)}")
+    place = F.least(F.lit(int(count)) - F.col("_before"), F.size("_at")).cast("int")
+    return blocks.agg(F.max(F.expr("_at.at")[place - 1]).alias("last")).scalar()
+
+
+def notes_as_of(notes: DataFrame, count: int) -> DataFrame:
+    """The notes that a run had made when ``count`` rows were processed: a range of the index, which scans can skip by.
+
+    All notes if there are fewer; none for a count of 0.
+    """
+    return notes.where(F.col("row_idx") <= last_of(notes, count))
+
+
 def after_last(bookmarks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows behind the last processed one (the limit, if any, comes before this)."""
     last = ledger.agg(F.coalesce(F.max("row_idx"), F.lit(-1)).alias("last")).scalar()

@@ -15,6 +15,7 @@ from noteweave.operators.content import extract
 from noteweave.operators.joins import left_lookup
 from noteweave.operators.membership import bloom, might_hold
 from noteweave.session import shared_dir
+from noteweave.sources.pages import PreparedPages
 
 MISSING_PAGE = "page not in snapshot"
 
@@ -35,8 +36,10 @@ def as_scan(pages: DataFrame, work_dir: str | None = None) -> DataFrame:
         return pages.sparkSession.read.parquet(path)
 
 
-def latest_copies(urls: DataFrame, pages: DataFrame, order: str = "page_id", work_dir: str | None = None) -> DataFrame:
-    """``url, content_type, error, found, _file, _row``: every url with the place of its latest page, stored.
+def latest_copies(
+    urls: DataFrame, pages: DataFrame, order: str = "page_id", work_dir: str | None = None, keep: dict[str, Column] | None = None
+) -> DataFrame:
+    """``url, content_type, error, found, _file, _row`` and ``keep``: every url with the place of its latest page, stored.
 
     Only narrow columns are read.  The latest copy has the largest ``order`` (null is the least), then the last place.  Copies are reduced
     per task before the shuffle, so one url with a large share of the snapshot reaches its reducer as one row per task; a bitmap of the
@@ -48,42 +51,70 @@ def latest_copies(urls: DataFrame, pages: DataFrame, order: str = "page_id", wor
     wanted = spark.read.parquet(f"{path}/urls")
     bitmap, bits = bloom(wanted.select(F.xxhash64("url").alias("hash")), wanted.count())
     defaults = {"content_type": F.lit(fixed.TEXT_CONTENT_TYPES[0]), "error": F.lit(None).cast("string")}
-    given = {name: F.col(name) if name in pages.columns else value for name, value in defaults.items()}
+    given = {name: F.col(name) if name in pages.columns else value for name, value in defaults.items()} | (keep or {})
     rank = [F.col(order).alias("_order")] if order in pages.columns else []
     narrow = pages.where(might_hold(F.xxhash64("url"), bitmap, bits)).select(
         "url", F.struct(*rank, *row_place(), *(value.alias(name) for name, value in given.items())).alias("_copy")
     )
     latest = narrow.groupBy("url").agg(F.max("_copy").alias("_copy"))
     found = wanted.join(latest, "url", "left").select(
-        "url", "_copy.content_type", "_copy.error", F.col("_copy").isNotNull().alias("found"), "_copy._file", "_copy._row"
+        "url", *(f"_copy.{name}" for name in given), F.col("_copy").isNotNull().alias("found"), "_copy._file", "_copy._row"
     )
     found.write.mode("overwrite").parquet(f"{path}/latest")
     return spark.read.parquet(f"{path}/latest")
 
 
-def bodies(copies: DataFrame, pages: DataFrame) -> DataFrame:
-    """``url, html`` of copies (``url, _file, _row``, a stored table).
+def bodies_of(copies: DataFrame, pages: DataFrame, body: str) -> DataFrame:
+    """``copies`` (with ``_file, _row``; a stored table) and the column ``body`` of their rows.
 
     Bodies leave the scan for those copies alone, and stream past a hash table of places: they are neither sorted nor aggregated,
     and copies of one url do not meet.
     """
     place = [F.col("_file"), F.col("_row")]
     bitmap, bits = bloom(copies.select(F.xxhash64(*place).alias("hash")), copies.count())
-    body = "html" if "html" in pages.columns else "body"
     scan = pages.select(*row_place(), body).where(might_hold(F.xxhash64(*place), bitmap, bits))
-    text = F.col("html") if body == "html" else decode_body(F.col("body"))
-    return scan.join(copies.hint("shuffle_hash"), ["_file", "_row"]).select("url", text.alias("html"))
+    return scan.join(copies.hint("shuffle_hash"), ["_file", "_row"])
+
+
+def as_text(body: str) -> Column:
+    return F.col("html") if body == "html" else decode_body(F.col("body"))
+
+
+def bodies(copies: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, html`` of copies (``url, _file, _row``, a stored table)."""
+    body = "html" if "html" in pages.columns else "body"
+    return bodies_of(copies, pages, body).select("url", as_text(body).alias("html"))
+
+
+def prepared_copies(urls: DataFrame, table: DataFrame) -> DataFrame:
+    """``url, content_type, error, found`` from a table of prepared pages; the urls move to its buckets."""
+    known = table.select("url", "content_type", "error", F.lit(True).alias("found"))
+    joined = known.join(urls.select("url").hint("shuffle_hash"), "url", "right")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def prepared_bodies(urls: DataFrame, table: DataFrame) -> DataFrame:
+    """``url, html`` of the readable pages of the urls; bodies stay in their bucket's task."""
+    body = "html" if "html" in table.columns else "body"
+    readable = table.where(F.col("error").isNull() & is_text_type(F.col("content_type"))).select("url", body)
+    return readable.join(urls.select("url").hint("shuffle_hash"), "url").select("url", as_text(body).alias("html"))
 
 
-def first_results(urls: DataFrame, pages: DataFrame, order: str = "page_id") -> DataFrame:
+def first_results(urls: DataFrame, pages: DataFrame | PreparedPages, order: str = "page_id") -> DataFrame:
     """``url, content, status, error, method`` of every distinct url, by page lookup.
 
-    The latest copy is chosen on narrow columns; only pages that are there, without error and of a text type have their body read.
+    The latest copy is chosen on narrow columns; only pages that are there, without error and of a text type have their body read.  Prepared pages
+    hold the latest copies only and are joined in place.
     """
-    pages = as_scan(pages)
-    copies = latest_copies(urls, pages, order)
     readable = F.col("found") & F.col("error").isNull() & is_text_type(F.col("content_type"))
-    pages_read = extract(bodies(copies.where(readable).select("url", "_file", "_row"), pages), "url")
+    if isinstance(pages, PreparedPages):
+        table = pages.table(urls.sparkSession)
+        copies = prepared_copies(urls, table)
+        pages_read = extract(prepared_bodies(urls, table), "url")
+    else:
+        pages = as_scan(pages)
+        copies = latest_copies(urls, pages, order)
+        pages_read = extract(bodies(copies.where(readable).select("url", "_file", "_row"), pages), "url")
     problem = (
         F.when(~F.col("found"), F.lit(MISSING_PAGE))
         .when(F.col("error").isNotNull(), F.col("error"))
@@ -136,7 +167,7 @@ def with_fallback(results: DataFrame, rendered: DataFrame, order: str = "page_id
 
 def add_page_content(
     bookmarks: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PreparedPages,
     rendered: DataFrame | None = None,
     order: str = "page_id",
     work_dir: str | None = None,

@@ -25,13 +25,22 @@ def number_rows(scan: DataFrame, name: str = "row_idx", work_dir: str | None = N
     The totals are written to the shared folder once, which also gives the size
     that decides between a broadcast and an ordinary join.
     """
-    spark = scan.sparkSession
-    tagged = scan.select(
+    return number_tagged(tag_splits(scan), name, work_dir)
+
+
+def tag_splits(scan: DataFrame) -> DataFrame:
+    """Adds ``_file, _start, _seq``: the split of a row of a file scan, and its place there (rising)."""
+    return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
+
+
+def number_tagged(tagged: DataFrame, name: str = "row_idx", work_dir: str | None = None) -> DataFrame:
+    """``number_rows`` of rows that know their split; ``_seq`` is without gaps in each."""
+    spark = tagged.sparkSession
     totals = tagged.groupBy("_file", "_start").agg(F.count("*").alias("_rows"), F.min("_seq").alias("_first"))
     path = work_dir or shared_dir(spark, "splits")
     totals.write.mode("overwrite").parquet(path)

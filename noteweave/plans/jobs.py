@@ -85,7 +85,7 @@ def split(
     """
     configure(spark)
     if notes_per_part <= 0:
-        raise ValueError("notes per part must be a positive number")
+        raise ValueError(enex.PART_SIZE_PROBLEM)
     header, footer = read_enclosure(spark, enex_path)
     stored = f"{out}/work/blocks"
     checked = enex.check_blocks(note_blocks(spark, enex_path, f"{out}/work/splits"))

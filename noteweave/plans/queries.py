@@ -5,7 +5,7 @@ Each function takes a session and a table folder and returns flat columns.
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,10 @@ from noteweave.session import configure, shared_dir
 from noteweave.sources.bookmarks import CSV_OPTIONS, bookmarks_from_pages, read_bookmarks
 from noteweave.sources.enex import note_blocks, read_enclosure, read_enex, write_parts
 from noteweave.sources.ledger import read_ledger
+from noteweave.sources.pages import PreparedPages, prepare_pages
 from noteweave.sources.tables import read_table, spread
 from noteweave.streaming.intake import start_intake
+from noteweave.streaming.progress import read_progress
 
 DAY = "2024-01-31"
 EXPORT_DATE = "20240131T000000Z"
@@ -366,6 +368,34 @@ def enex_parts(spark, sf):
     return enex.document_lines(rows, "bookmarks", EXPORT_DATE, PAGES_PER_PART)
 
 
+AS_OF, AS_OF_PART = 45, 20
+BASE_FILES = ["first.enex", "second part.enex", "third", "fourth.enex.enex"]
+
+
+def notes_as_of(spark, sf):
+    """The document that a run writes at a checkpoint: the notes of the rows that are processed by then."""
+    rows = notes.make_notes(_with_gaps(_bookmarks(spark, sf)), DAY)
+    return enex.document_lines(ledger.notes_as_of(rows, AS_OF), "bookmarks", EXPORT_DATE, AS_OF_PART)
+
+
+def input_checks(spark, sf):
+    """Problems of inputs that cannot be split, one row an input."""
+    rows = read_table(configure(spark), sf, "documents").select("doc_id", "source")
+    cases = {"all": (rows, 300), "no rows": (rows.where("source = 'none'"), 300), "zero": (rows, 0), "negative": (rows.limit(0), -1)}
+    found = [enex.input_problems(table, size).withColumn("input", F.lit(name)) for name, (table, size) in cases.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def enex_base_names(spark, sf):
+    """Notes by the base name of the export they stand in, however its files are named."""
+    rows = notes.make_notes(_bookmarks(spark, sf), DAY).withColumn("file", F.element_at(F.array(*map(F.lit, BASE_FILES)), (F.col("row_idx") % len(BASE_FILES) + 1).cast("int")))
+    numbered = rows.select(F.lit(1).alias("part_no"), F.col("file").alias("file_name"), F.col("row_idx").alias("note_idx"), enex.note_xml().alias("line"))
+    path = shared_dir(spark, "enex")
+    write_parts(numbered, path)
+    blocks = note_blocks(spark, path, shared_dir(spark, "splits"))
+    return blocks.groupBy("base_name").agg(F.count("*").alias("notes"))
+
+
 def enex_roundtrip(spark, sf):
     rows = notes.make_notes(_bookmarks(spark, sf), DAY)
     path = shared_dir(spark, "enex")
@@ -424,7 +454,10 @@ def note_quarantine(spark, sf):
 
 
 # --- streaming ----------------------------------------------------------------------------------------------
-def _run_stream(spark, sf, pages: DataFrame | None = None) -> str:
+PREPARED_BUCKETS = 16
+
+
+def _run_stream(spark, sf, pages: DataFrame | PreparedPages | None = None) -> str:
     """Feed the bookmarks as CSV files to the stream, in two runs; output folder."""
     base = shared_dir(configure(spark), "stream")
     rows = _bookmarks(spark, sf)
@@ -452,8 +485,13 @@ def csv_bookmarks(spark, sf):
 
 
 def stream_enriched(spark, sf):
-    """Notes of a stream that looks pages up, with the failures of the pages that are missing."""
-    out = _run_stream(spark, sf, _http_pages(read_table(configure(spark), sf, "pages")))
+    """Notes of a stream that looks pages up in a prepared table of two versions, with the failures of the pages that are missing."""
+    pages = _http_pages(read_table(configure(spark), sf, "pages"))
+    outdated = pages.where("page_id % 2 = 0").select((F.col("page_id") - 1_000_000).alias("page_id"), "url", F.lit("<body>outdated</body>").alias("html"))
+    path = shared_dir(spark, "prepared")
+    for snapshot in (outdated, pages):
+        prepared = prepare_pages(spark, path, snapshot, buckets=PREPARED_BUCKETS)
+    out = _run_stream(spark, sf, prepared)
     stored = spark.read.parquet(f"{out}/notes").select("row_idx", *flat_columns())
     entries = read_ledger(spark, f"{out}/ledger").select("row_idx", "method", "success", "error")
     return stored.join(entries, "row_idx").drop("row_idx")
@@ -469,6 +507,11 @@ def stream_metrics(spark, sf):
     return ledger.batch_metrics(read_ledger(spark, f"{out}/ledger"))
 
 
+def stream_progress(spark, sf):
+    """The running counts that the stream itself observed."""
+    return read_progress(spark, f"{_run_stream(spark, sf)}/progress")
+
+
 def _wide(query):
     """The query with its int columns as bigint, the integer type of the tables."""
 
@@ -490,7 +533,7 @@ QUERIES = {
         document_paragraphs, page_enml,
         scrape_join, scrape_snapshot, fallback_chain, method_breakdown, method_labels, notes_full,
         run_stats, failed_first10, checkpoint_marks, resume_remaining, resume_union,
-        split_manifest, row_slices, enex_parts, enex_roundtrip, split_foreign, note_quarantine,
-        csv_bookmarks, stream_notes, stream_enriched, stream_metrics,
+        split_manifest, row_slices, enex_parts, notes_as_of, input_checks, enex_base_names, enex_roundtrip, split_foreign, note_quarantine,
+        csv_bookmarks, stream_notes, stream_enriched, stream_metrics, stream_progress,
     )
 }

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import escape_html
@@ -12,6 +15,12 @@ from noteweave.operators.order import number_rows
 from noteweave.schemas import ENEX_NOTE
 
 
+def base_name() -> Column:
+    """Name of the file of a row without ``.enex``, as written: the scan names files as parts of a URI."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, r"^(.*?)(\.enex)?$", 1)
+
+
 def read_enex(spark: SparkSession, path: str, work_dir: str | None = None) -> DataFrame:
     """Notes of ENEX files with a dense ``row_idx`` in document order.
 
@@ -24,8 +33,7 @@ def read_enex(spark: SparkSession, path: str, work_dir: str | None = None) -> Da
         .options(rowTag="note", ignoreSurroundingSpaces="false", mode="PERMISSIVE")
         .load(path)
     )
-    file_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    named = scan.withColumn("base_name", F.regexp_extract(file_name, r"^(.*?)(\.enex)?$", 1))
+    named = scan.withColumn("base_name", base_name())
     numbered = number_rows(named, "row_idx", work_dir)
     attributes = F.col("note-attributes")
     return numbered.select(
@@ -44,6 +52,8 @@ def read_enex(spark: SparkSession, path: str, work_dir: str | None = None) -> Da
     )
 
 
+#: Renames of finished parts at a time.
+RENAMES = 16
 NOTE_START = r"<note(?=[\s/>])"
 NOTE_END = "</note>"
 
@@ -56,9 +66,8 @@ def note_blocks(spark: SparkSession, path: str, work_dir: str | None = None) ->
     """
     scan = spark.read.option("lineSep", NOTE_END).text(path)
     found = scan.where(F.regexp_like("value", F.lit(NOTE_START)))
-    file_name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     named = found.select(
-        "*", "_metadata", F.regexp_extract(file_name, r"^(.*?)(\.enex)?$", 1).alias("base_name"), F.regexp_instr("value", F.lit(NOTE_START)).alias("_at")
+        "*", "_metadata", base_name().alias("base_name"), F.regexp_instr("value", F.lit(NOTE_START)).alias("_at")
     )
     numbered = number_rows(named, "row_idx", work_dir)
     return numbered.select(
@@ -95,17 +104,40 @@ def read_enex_header(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def write_parts(lines: DataFrame, path: str) -> None:
-    """Write every part as one text file, in a folder named after the part file.
+    """Write every part as one text file of its own name in ``path``, which then holds the parts only.
 
     A part's lines meet in one task and are streamed out in order, never held
-    together; a part has a bounded number of notes.
+    together; a part has a bounded number of notes.  Files are written below a hidden folder under Spark's commit
+    protocol and take their names when all are complete, so a lost task or a failed job leaves no half part.
     """
+    work = f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}"
     (
         lines.repartition("file_name")
         .sortWithinPartitions("file_name", "note_idx")
         .select(F.col("line").alias("value"), F.col("file_name").alias("part"))
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", 0)
+        .write.option("maxRecordsPerFile", 0)
         .partitionBy("part")
-        .text(path)
+        .text(work)
     )
+    _publish(lines.sparkSession, work, path)
+
+
+def _publish(spark: SparkSession, work: str, path: str) -> None:
+    """Move ``work``/part=<name>/<file> to ``path``/<name>: renames only, in the file system of the path."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = files.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in system.listStatus(folder):
+        if not old.getPath().getName().startswith(("_", ".")):
+            system.delete(old.getPath(), True)
+
+    def move(part) -> None:
+        name = unquote(part.getPath().getName().removeprefix("part="))
+        for file in system.listStatus(part.getPath()):
+            if not system.rename(file.getPath(), files.Path(folder, name)):
+                raise OSError(f"{name} could not be moved to {path}")
+
+    parts = [p for p in system.listStatus(files.Path(work)) if p.isDirectory()]
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(move, parts))
+    system.delete(files.Path(work), True)

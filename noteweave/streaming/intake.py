@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,8 @@ from noteweave.operators.lookup import add_page_content, without_pages
 from noteweave.operators.notes import DEFAULT_AUTHOR, make_notes
 from noteweave.sources.bookmarks import csv_reader
 from noteweave.sources.ledger import append_ledger
+from noteweave.sources.pages import PreparedPages
+from noteweave.streaming.progress import write_progress
 
 
 def bookmark_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -38,16 +40,17 @@ def start_intake(
     out: str,
     checkpoint: str,
     day: str,
-    pages: DataFrame | None = None,
+    pages: DataFrame | PreparedPages | None = None,
     rendered: DataFrame | None = None,
     files_per_batch: int = 100,
     author: str = DEFAULT_AUTHOR,
 ) -> StreamingQuery:
     """Turn new bookmark files into notes and ledger rows, batch by batch.
 
-    Writes ``<out>/notes`` and ``<out>/ledger``, both partitioned by batch.  A
+    Writes ``<out>/notes``, ``<out>/ledger`` and ``<out>/progress``, partitioned by batch.  A
     batch run again overwrites its own partitions, so the output holds every row
-    once; the ledger is derived from the stored notes, not computed again.
+    once; the ledger is derived from the stored notes, not computed again.  Counts are
+    observed while the ledger is written.  Prepared pages are read in the version that is current when a batch begins.
     Stops when the files present at the start are done.
     """
     notes_path, ledger_path = f"{out}/notes", f"{out}/ledger"
@@ -66,7 +69,10 @@ def start_intake(
             notes_path
         )
         stored = session.read.parquet(notes_path).where(F.col("batch_id") == batch_id)
-        append_ledger(to_ledger(stored.withColumn("url", F.col("raw_url")), batch_id), ledger_path)
+        seen = Observation(f"batch {batch_id}")
+        entries = to_ledger(stored.withColumn("url", F.col("raw_url")), batch_id)
+        append_ledger(entries.observe(seen, F.count("*").alias("processed"), F.count_if(~F.col("success")).alias("failed")), ledger_path)
+        write_progress(session, f"{out}/progress", batch_id, seen.get)
 
     return (
         bookmark_stream(spark, source, files_per_batch)

@@ -25,7 +25,8 @@ def written(path, notes, head=HEAD, tail=TAIL):
 
 
 def part_texts(folder):
-    return ["".join(f.read_text() for f in sorted(p.glob("part-*"))) for p in sorted(folder.glob("part=*"))]
+    assert all(p.is_file() for p in folder.iterdir())
+    return [p.read_text() for p in sorted(folder.glob("*.enex"))]
 
 
 @pytest.mark.parametrize("split_bytes", ["128m", "700"])

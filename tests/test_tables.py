@@ -88,13 +88,31 @@ def test_left_lookup_with_a_hot_key(spark):
     plain = rows.join(table, "k", "left")
     assert got.count() == 3000
     assert sorted(map(str, got.select("row_idx", "k", "v").collect())) == sorted(map(str, plain.select("row_idx", "k", "v").collect()))
-    assert [r.k for r in joins.hot_keys(rows, "k").collect()] == ["hot"]
+    assert [(k, round(part, 2)) for k, part in joins.hot_keys(rows, "k")] == [("hot", 0.34)]
 
 
 def test_hot_list_is_bounded(spark):
     rows = spark.range(0, 1000).select((F.col("id") % 10).alias("k"))
-    assert joins.hot_keys(rows, "k", share=20).count() == 10
-    assert joins.hot_keys(rows, "k", share=10).count() == 0
+    assert len(joins.hot_keys(rows, "k", share=20)) == 10
+    assert joins.hot_keys(rows, "k", share=10) == [] and joins.hot_keys(rows.where("false"), "k") == []
+
+
+def test_pieces_follow_the_share_of_a_key(spark):
+    rows = spark.range(0, 40_000).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 2 == 0, "half").when(F.col("id") % 10 == 1, "tenth").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    table = spark.createDataFrame([("half", 1), ("tenth", 2), ("k3", 3)], "k string, v int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.left_lookup(rows, table, "k", "row_idx").select("v", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"), F.count("v").alias("met")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = sorted(r.n for r in joined)
+    assert sum(sizes) == 40_000 and sum(r.met for r in joined) == 24_001
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
 
 
 # --- notes --------------------------------------------------------------------------------
@@ -268,14 +286,13 @@ def test_parts_are_whole_documents(spark, tmp_path):
 
     made = notes.make_notes(many(spark, 25).where("row_idx <> 3"), DAY)
     lines = enex.document_lines(made, "base", STAMP, 10)
-    write_parts(lines, str(tmp_path / "parts"))
-    folders = sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir())
-    assert folders == [f"part=base_part{n:03d}.enex" for n in (1, 2, 3)]
+    for _ in range(2):  # written again, the parts replace the earlier ones
+        write_parts(lines, str(tmp_path / "parts"))
+    files = sorted(p for p in (tmp_path / "parts").iterdir() if not p.name.startswith("."))
+    assert [p.name for p in files] == [f"base_part{n:03d}.enex" for n in (1, 2, 3)]
     counts = []
-    for folder in folders:
-        files = list((tmp_path / "parts" / folder).glob("*.txt"))
-        assert len(files) == 1
-        document = files[0].read_text(encoding="utf8")
+    for file in files:
+        document = file.read_text(encoding="utf8")
         assert document.startswith('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE en-export SYSTEM ')
         assert document.rstrip().endswith("</en-export>")
         tree = xml.dom.minidom.parseString(document)
