@@ -1,10 +1,10 @@
 """Token ids as fixed-stride shards in training order.
 
 Documents, each closed by an end id, run one after the other along their partition and are cut into sequences of a
-fixed number of ids; the last one of a partition is padded.  They are encoded once, into a stored table of compressed sequences
+fixed number of ids; the last one of a partition is padded.  They are encoded once, into a stored, compressed table of sequences
 numbered within their partition; the counts of that table give every sequence a dense index.  A keyed Feistel network permutes the
 indices, and a value outside the range walks its cycle until it is inside: each sequence knows its global slot without a sort.  Sequences
-move once, still compressed, to ranges of slots; each range is one file: record r of shard s is slot s * per_shard + r, at byte r * stride.
+move once, compressed, to ranges of slots; each range is one file: record r of shard s is slot s * per_shard + r, at byte r * stride.
 
 A record is the ids as little-endian unsigned 16-bit numbers and one separator byte.  The files are written by
 Spark's text sink, from raw bytes, so its commit protocol holds for lost executors and on any file system.
@@ -32,7 +32,7 @@ WALK = 128
 SEPARATOR = "\n"
 #: Ids that a task gathers before it passes sequences on.
 FLUSH_IDS = 500_000
-#: Columns of a stored sequence, and the level of their compression.
+#: Columns of a stored sequence, and the level of compression of one that moves.
 SEQUENCE = ["partition", "number", "doc", "start", "n_ids", "record"]
 LEVEL = 3
 #: Partitions of the first level of counts, and most whose counts are broadcast.
@@ -83,12 +83,10 @@ def with_slot(df: DataFrame, index: str, slot: str, n: int, seed: int) -> DataFr
 
 def sequences(docs: DataFrame, tokenizer: str, ids: int, pad_id: int, end_id: int) -> DataFrame:
     """(partition, number, doc, start, n_ids, record) of ``docs`` (doc, text): the sequences of each partition from 0, and the doc of their first
-    id with the ids of that doc in front of it.  ``record`` is compressed."""
+    id with the ids of that doc in front of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        coder, pack = token_ids(tokenizer), zstandard.ZstdCompressor(level=LEVEL)
+        coder = token_ids(tokenizer)
         held, keys, begins, size = [], [], [], 0  # documents not yet passed on, and where they begin among the held ids
         number, ahead, partition = 0, 0, TaskContext.get().partitionId()
 
@@ -96,7 +94,7 @@ def sequences(docs: DataFrame, tokenizer: str, ids: int, pad_id: int, end_id: in
             count = -(-whole // ids)
             starts = np.arange(count) * ids
             owner = np.searchsorted(begins, starts, "right") - 1
-            records = [pack.compress(stream[at : at + ids].tobytes()) for at in starts.tolist()]
+            records = [stream[at : at + ids].tobytes() for at in starts.tolist()]
             columns = [
                 pa.array([partition] * count, pa.int32()), pa.array(np.arange(number, number + count)), pa.array([keys[n] for n in owner], key_type),
                 pa.array(starts - np.array(begins, np.int64)[owner] + np.where(owner == 0, ahead, 0)), pa.array(np.minimum(ids, whole - starts).astype(np.int32)), pa.array(records, pa.binary()),
@@ -146,18 +144,18 @@ def with_index(rows: DataFrame) -> DataFrame:
     return rows.join(base, "partition").withColumn("index", F.col("base") + F.col("number")).drop("base")
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
-    """The rows (shard, slot, record) with records as they were before compression."""
+def recoded(rows: DataFrame, pack: bool) -> DataFrame:
+    """The rows (shard, slot, record) with compressed records, or with plain ones again."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        plain = zstandard.ZstdDecompressor()
+        change = zstandard.ZstdCompressor(level=LEVEL).compress if pack else zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            records = pa.array([plain.decompress(r.as_buffer()) for r in batch.column(2)], pa.binary())
+            records = pa.array([change(r.as_buffer()) for r in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), records], names=["shard", "slot", "record"])
 
-    return rows.mapInArrow(unpack, "shard long, slot long, record binary")
+    return rows.mapInArrow(run, "shard long, slot long, record binary")
 
 
 def materialise(
@@ -180,8 +178,9 @@ def materialise(
     placed = with_slot(with_index(cut), "index", "slot", n, seed)
     placed.select("slot", F.col("doc").alias(doc), "start", "n_ids").write.parquet(f"{folder}/index")
 
-    moved = placed.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "record").repartition("shard")
-    records = unpacked(moved).sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))  # the bytes as they are
+    dealt = placed.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "record")
+    moved = recoded(dealt, pack=True).repartition("shard")
+    records = recoded(moved, pack=False).sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))  # the bytes as they are
     records.write.partitionBy("shard").option("lineSep", SEPARATOR).text(f"{folder}/shards")
     spark.createDataFrame([(json.dumps(asdict(layout)),)], "value string").coalesce(1).write.text(f"{folder}/layout")
     dropped(spark, f"{folder}/sequences")
