@@ -133,3 +133,19 @@ DEFAULT_BATCH_SIZE = 10
 DEFAULT_CHECKPOINT_INTERVAL = 100
 DEFAULT_NOTES_PER_PART = 1000
 FAILURES_SHOWN = 10
+
+# --- elements whose end tag may be left out (fixed values of HTML) -----------------------
+# Each group: its elements, the element around them, and other tags in front of which they end.
+BLOCK_TAGS = [
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "pre", "search", "section",
+    "table", "ul",
+]
+IMPLIED_ENDS = [
+    (["li"], ["ul", "ol"], []),
+    (["dt", "dd"], ["dl"], []),
+    (["tr"], ["table"], ["tbody", "thead", "tfoot"]),
+    (["td", "th"], ["table"], ["tr", "tbody", "thead", "tfoot"]),
+    (["option"], ["select"], ["optgroup"]),
+    (["p"], [], BLOCK_TAGS),
+]

@@ -86,14 +86,18 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
 
     Kept are tags that matter by name, tags named in ``also``, and all tags whose
     name carries a possibly matching attribute somewhere on the page (their end
-    tags and same-named neighbours are needed for pairing).
+    tags and same-named neighbours are needed for pairing), with the tags that end those without an end tag.
     """
     hinted = f"""array_distinct(transform(filter(tokens, t -> startswith(t, '<') AND {_hinted("t")}),
         t -> lower(regexp_extract(t, {literal(TAG_NAME)}, 1))))"""
+    enders = ", ".join(
+        f"if(arrays_overlap(hinted, array({literals(group[0])})), array({literals(_companions(group[0]))}), cast(array() AS array<string>))" for group in fixed.IMPLIED_ENDS
+    )
     per_page = pages.select(key, html.tokens(F.col(html_col)).alias("tokens")).selectExpr(
         key, "tokens", f"{hinted} AS hinted", "size(tokens) - 1 AS last_pos"
     )
-    named = rf"(?i)^</?(?:{'|'.join([*NAMED_TAGS, *also])})[\s/>]"
+    per_page = per_page.selectExpr(key, "tokens", f"if(size(hinted) > 0, concat(hinted, {enders}), hinted) AS hinted", "last_pos")
+    named = rf"(?i)^</?(?:{'|'.join([*NAMED_TAGS, *also, *_companions(list(also))])})[\s/>]"
     name = f"lower(regexp_extract(token, {literal(TAG_NAME)}, 1))"
     events = (
         per_page.select(key, "hinted", "last_pos", F.posexplode_outer("tokens").alias("pos", "token"))
@@ -126,30 +130,54 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     ).repartition(key)
 
 
+def _family(number: int) -> str:
+    return f"'{fixed.IMPLIED_ENDS[number][0][0]}'"
+
+
+def _companions(names: list[str]) -> list[str]:
+    """Tags that end an element of these names without its end tag."""
+    return sorted({tag for group in fixed.IMPLIED_ENDS if set(group[0]) & set(names) for part in group for tag in part})
+
+
+def _roles() -> str:
+    """SQL: the groups in which a tag opens or ends elements, as structs of group, level and whether it is the group's own element.
+
+    Elements of a group are told apart by how many of the elements around them are open.
+    """
+    own = [tag for group in fixed.IMPLIED_ENDS for tag in group[0]]
+    roles = [f"if(tag IN ({literals(own)}), NULL, named_struct('grp', tag, 'lvl', level, 'own', true))"]
+    for n, (members, scope, others) in enumerate(fixed.IMPLIED_ENDS):
+        ends = [f"tag IN ({literals([*members, *others])})"] + ([f"(tag IN ({literals(scope)}) AND NOT opens)"] if scope else [])
+        roles.append(f"if({' OR '.join(ends)}, named_struct('grp', concat('/', {_family(n)}), 'lvl', cast(scope_{n} AS bigint), 'own', tag IN ({literals(members)})), NULL)")
+    return f"array_compact(array({', '.join(roles)}))"
+
+
 def element_spans(events: DataFrame, key: str) -> DataFrame:
     """Pair start and end tags by name and nesting level.
 
     A running depth per tag name gives each event its level; inside one level
     starts and ends alternate, so the next event of the level ends the element.
     An element without an end runs to the last token, as ``body`` always does
-    (text after ``</body>`` still belongs to it).  A ``p`` cannot hold another
-    ``p``, so it also ends before the next one.
+    (text after ``</body>`` still belongs to it).  Elements whose end tag may be left out (``fixed.IMPLIED_ENDS``) end at the
+    next event of their group: at their end tag, or in front of whatever else ends them at the same depth of the elements around.
     """
-    leveled = events.selectExpr(
+    depths = []
+    for n, (_, scope, _) in enumerate(fixed.IMPLIED_ENDS):
+        inside = f"tag IN ({literals(scope)})" if scope else "false"
+        running = f"sum(CASE WHEN {inside} THEN if(opens, 1, -1) ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+        depths.append(f"{running} + if({inside} AND NOT opens, 1, 0) AS scope_{n}" if scope else f"0 AS scope_{n}")
+    leveled = events.selectExpr("*", *depths).selectExpr(
         "*",
         f"sum(if(opens, 1, -1)) OVER (PARTITION BY {key}, tag ORDER BY pos ROWS UNBOUNDED PRECEDING)"
         " + if(opens, 0, 1) AS level",
-        f"lead(pos) OVER (PARTITION BY {key}, tag ORDER BY pos) AS next_pos",
-        f"lead(opens) OVER (PARTITION BY {key}, tag ORDER BY pos) AS next_opens",
-    )
-    paired = leveled.selectExpr(
-        "*", f"lead(pos) OVER (PARTITION BY {key}, tag, level ORDER BY pos) AS close_pos"
     )
+    placed = leveled.selectExpr("*", f"explode({_roles()}) AS role")
+    over = f"OVER (PARTITION BY {key}, role.grp, role.lvl ORDER BY pos)"
+    paired = placed.selectExpr("*", *[f"lead({name}) {over} AS next_{name}" for name in ("pos", "tag", "opens")])
     end = """CASE WHEN tag = 'body' THEN last_pos
-        WHEN tag = 'p' AND next_opens THEN next_pos - 1
-        WHEN tag = 'p' THEN coalesce(next_pos, last_pos)
-        ELSE coalesce(close_pos, last_pos) END AS end_pos"""
-    return paired.where("opens").selectExpr(
+        WHEN startswith(role.grp, '/') AND (next_opens OR next_tag <> tag) THEN next_pos - 1
+        ELSE coalesce(next_pos, last_pos) END AS end_pos"""
+    return paired.where("opens AND role.own").selectExpr(
         key, "tag", "pos AS start_pos", end, "dropped", "inner_drop", "ranks", "scoped_ranks"
     )
 

@@ -159,3 +159,29 @@ def test_one_exchange_for_all_structure_windows(spark):
     plan = marks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Window" in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize(
+    "markup, rest",
+    [
+        ("<ul><li class=post>{}<li>other</ul>after", ""),
+        ("<ul><li>first<li class=post>{}</ul>after", ""),
+        ("<ul><li class=post>{}<ul><li>inner<li>more</ul>tail<li>x</ul>", "innermoretail"),
+        ("<ol><li class=post>{}</li>between<li>x</li></ol>", ""),
+        ("<dl><dt>term<dd class=post>{}<dt>next<dd>x</dl>", ""),
+        ("<dl><dt class=post>{}<dd>x</dl>", ""),
+        ("<table><tr><td class=post>{}<td>x<tr><td>y</table>", ""),
+        ("<table><tbody><tr><td>a<td class=post>{}<tr><td>x</table>", ""),
+        ("<table><tr><td class=post>{}<table><tr><td>in</table>out<td>x</table>", "inout"),
+        ("<table><tr class=post><td>{}<td>b<tr><td>x</table>", "b"),
+        ("<table><thead><tr class=post><th>{}<tbody><tr><td>x</table>", ""),
+        ("<select><option class=post>{}<option>x</select>y", ""),
+        ("<div><p class=post>{}<div>x</div></div>", ""),
+        ("<div><p class=post>{}<b>b</b><p>x</div>", "b"),
+        ("<div><p class=post>{}</div>after", ""),
+        ("<div><p class=post>{}<h2>x</h2></div>", ""),
+    ],
+)
+def test_implied_end_tags(spark, markup, rest):
+    row = article(spark, "<body><nav>n</nav>" + markup.format(LONG) + "</body>")
+    assert (row.rank, row.text) == (18, LONG + rest)
