@@ -71,8 +71,9 @@ def class_names(token: Column) -> Column:
 
 
 # --- entities --------------------------------------------------------------------
-#: Names of the HTML standard; those without a semicolon are also read as the beginning of a longer word.
-_NAMES = json.dumps(html5, ensure_ascii=False)
+#: Names of the HTML standard by their first letter, since a map is searched from its start; those without a semicolon are also read
+#: as the beginning of a longer word.
+_NAMES = json.dumps({letter: {n: c for n, c in html5.items() if n[0] == letter} for letter in sorted({n[0] for n in html5})}, ensure_ascii=False)
 _OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
 _NUMERIC = r"#[0-9]+;?|#[xX][0-9a-fA-F]+;?"
 _ENTITY_OR_TEXT = rf"&(?:{_NUMERIC}|[a-zA-Z][a-zA-Z0-9]*+;?)|[^&]+|&"
@@ -93,15 +94,19 @@ def decode_entities(x: str) -> str:
     decimal = f"regexp_extract(piece, {literal('^&#([0-9]+)')}, 1)"
     significant = f"concat('0', ltrim('0', regexp_extract(piece, {literal('^&#[xX]([0-9a-fA-F]+)')}, 1)))"
     hexadecimal = f"if(length({significant}) <= 9, cast(conv({significant}, 16, 10) AS bigint), NULL)"
-    names = f"from_json({literal(_NAMES)}, 'map<string,string>')"
+    names = f"from_json({literal(_NAMES)}, 'map<string,map<string,string>>')"
+
+    def named(x: str) -> str:
+        return f"try_element_at(try_element_at({names}, substring({x}, 1, 1)), {x})"
+
     start = f"regexp_extract(piece, {literal(f'^&({_OPEN_NAMES})')}, 1)"
-    opened = f"concat(coalesce(try_element_at({names}, {start}), '&'), substring(piece, 2 + length({start})))"
+    opened = f"concat(coalesce({named(start)}, '&'), substring(piece, 2 + length({start})))"
     pieces = f"regexp_extract_all({x}, {literal(_ENTITY_OR_TEXT)}, 0)"
     return f"""CASE WHEN contains({x}, '&') THEN array_join(transform({pieces}, piece -> CASE
         WHEN NOT startswith(piece, '&') OR piece = '&' THEN piece
         WHEN regexp_like(piece, '^&#[0-9]') THEN {_char(f"try_cast({decimal} AS bigint)")}
         WHEN startswith(piece, '&#') THEN {_char(hexadecimal)}
-        ELSE coalesce(try_element_at({names}, substring(piece, 2)), {opened}) END), '') ELSE {x} END"""
+        ELSE coalesce({named("substring(piece, 2)")}, {opened}) END), '') ELSE {x} END"""
 
 
 # Tags a browser puts on their own line when it renders text.
