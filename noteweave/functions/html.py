@@ -118,11 +118,10 @@ LINE_TAGS = [
 _LINE_TAG = rf"(?i)^</?(?:{'|'.join(LINE_TAGS)})[\s/>]"
 
 
-def token_texts(page_html: str, rendered: bool = False) -> str:
-    """Array aligned with the tokens: decoded text, an empty string for the rest.
+def token_texts(tokens: str, rendered: bool = False) -> str:
+    """Array aligned with an array of tokens: decoded text, an empty string for the rest.
 
     For rendered pages a line tag gives a newline, as visible text would.
     """
     other = f"if(regexp_like(t, {literal(_LINE_TAG)}), '\\n', '')" if rendered else "''"
-    return f"""transform(regexp_extract_all({page_html}, {literal(TOKEN)}, 0),
-        t -> if(NOT startswith(t, '<') OR t = '<', {decode_entities('t')}, {other}))"""
+    return f"transform({tokens}, t -> if(NOT startswith(t, '<') OR t = '<', {decode_entities('t')}, {other}))"

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions import fixed
-from noteweave.functions.html import token_texts
 from noteweave.functions.sqltext import (
     collapse_space,
     fill,
@@ -107,27 +106,25 @@ def page_texts(
     blocks: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Join each page's token texts with its structural marks.
+    """Each page's token texts with its structural marks.
 
-    Both sides hash by ``key``; the text side carries decoded text only, which
-    is a fraction of the markup, and the columns named in ``keep``.  A parser
-    gives every document a body, so one is added where the tag is missing.
+    A page is split into tokens once; its texts, a fraction of the markup, and the columns named in ``keep`` travel with
+    its events.  A parser gives every document a body, so one is added where the tag is missing.
     ``shown`` are the texts without those of removed elements; beside it stand the lengths of its tokens, which tokens
     have more than white space, and running lengths, from which spans are measured.
     """
     also = tuple(fixed.LONGEST_BLOCK_TAGS) if blocks else ()
-    marks = page_marks(pages, key, html_col, also)
-    texts = pages.selectExpr(key, *keep, f"{token_texts(html_col, rendered)} AS texts")
+    marks = page_marks(pages, key, html_col, also, True, rendered, keep)
     spans = "cast(array() AS array<struct<start_pos:int,end_pos:int>>)"
     candidates = "cast(array() AS array<struct<start_pos:int,end_pos:int,ranks:array<int>>>)"
     body = f"named_struct('start_pos', -1, 'end_pos', size(texts) - 1, 'ranks', array({BODY_RANK}))"
-    joined = texts.join(marks, key, "left").selectExpr(
+    joined = marks.selectExpr(
         key,
         *keep,
         "texts",
         "size(texts) - 1 AS last_pos",
         *[f"coalesce({name}, {spans}) AS {name}" for name in ("drops", "inners", "blocks")],
-        f"if(has_body, candidates, array_prepend(coalesce(candidates, {candidates}), {body})) AS candidates",
+        f"if(coalesce(has_body, false), candidates, array_prepend(coalesce(candidates, {candidates}), {body})) AS candidates",
     )
     shown = joined.selectExpr(key, *keep, f"{_shown()} AS shown", "last_pos", "inners", "blocks", "candidates")
     lengths, visible = f"transform(shown, t -> {utf16_len('t')})", f"transform(shown, t -> {js_trim('t')} <> '')"

@@ -77,12 +77,18 @@ def _hinted(token: str) -> str:
     return f"regexp_like({token}, {literal(has_attribute)}) AND regexp_like({token}, {literal(has_word)})"
 
 
-def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
+#: Position of the row that carries a page's texts along with its events.
+TEXT_POS = -1
+
+
+def tag_events(
+    pages: DataFrame, key: str, html_col: str = "html", also: tuple[str, ...] = (), texts: bool = False, rendered: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Start and end tags that can matter, with their rule matches.
 
     The rows are hashed by ``key`` here, so that all windows that follow share
-    this one exchange.  (The outer explode keeps the optimizer from adding a
-    filter that would split every page into tokens a second time.)
+    this one exchange.  With ``texts``, one more row of each page, at TEXT_POS, carries the texts of its tokens (``texts``) and the columns
+    ``keep``, so a page is split into tokens once and its parts need no join.
 
     Kept are tags that matter by name, tags named in ``also``, and all tags whose
     name carries a possibly matching attribute somewhere on the page (their end
@@ -93,22 +99,27 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     enders = ", ".join(
         f"if(arrays_overlap(hinted, array({literals(group[0])})), array({literals(_companions(group[0]))}), cast(array() AS array<string>))" for group in fixed.IMPLIED_ENDS
     )
-    per_page = pages.select(key, html.tokens(F.col(html_col)).alias("tokens")).selectExpr(
-        key, "tokens", f"{hinted} AS hinted", "size(tokens) - 1 AS last_pos"
+    per_page = pages.select(key, *keep, html.tokens(F.col(html_col)).alias("tokens")).selectExpr(
+        key, *keep, "tokens", f"{hinted} AS hinted", "size(tokens) - 1 AS last_pos"
     )
-    per_page = per_page.selectExpr(key, "tokens", f"if(size(hinted) > 0, concat(hinted, {enders}), hinted) AS hinted", "last_pos")
+    per_page = per_page.selectExpr(key, *keep, "tokens", f"if(size(hinted) > 0, concat(hinted, {enders}), hinted) AS hinted", "last_pos")
     named = rf"(?i)^</?(?:{'|'.join([*NAMED_TAGS, *also, *_companions(list(also))])})[\s/>]"
-    name = f"lower(regexp_extract(token, {literal(TAG_NAME)}, 1))"
-    events = (
-        per_page.select(key, "hinted", "last_pos", F.posexplode_outer("tokens").alias("pos", "token"))
-        .where(
-            f"""startswith(token, '<') AND (regexp_like(token, {literal(named)})
-                OR (size(hinted) > 0 AND array_contains(hinted, {name})))"""
-        )
-        .selectExpr("*", f"{name} AS tag", "NOT startswith(token, '</') AS opens")
+    name = lambda token: f"lower(regexp_extract({token}, {literal(TAG_NAME)}, 1))"
+    matters = f"""startswith(x.token, '<') AND (regexp_like(x.token, {literal(named)})
+        OR (size(hinted) > 0 AND array_contains(hinted, {name("x.token")})))"""
+    entries = f"filter(transform(tokens, (t, i) -> named_struct('pos', i, 'token', t)), x -> {matters})"
+    if texts:
+        page = f"array(named_struct('pos', {TEXT_POS}, 'token', cast(NULL AS string), 'texts', {html.token_texts('tokens', rendered)}))"
+        empty = "cast(NULL AS array<string>)"
+        entries = f"concat({page}, coalesce(transform({entries}, x -> named_struct('pos', x.pos, 'token', x.token, 'texts', {empty})), array()))"
+    exploded = per_page.selectExpr(key, *keep, "last_pos", f"explode({entries}) AS entry")
+    events = exploded.selectExpr(
+        key, *keep, "last_pos", "entry.pos", "entry.token", f"{name('entry.token')} AS tag", "NOT startswith(entry.token, '</') AS opens", *(["entry.texts"] if texts else [])
     )
+    carried = (*keep, "texts") if texts else keep
     with_attributes = events.select(
         key,
+        *carried,
         "pos",
         "last_pos",
         "tag",
@@ -119,6 +130,7 @@ def tag_events(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
     )
     return with_attributes.selectExpr(
         key,
+        *carried,
         "pos",
         "last_pos",
         "tag",
@@ -152,7 +164,7 @@ def _roles() -> str:
     return f"array_compact(array({', '.join(roles)}))"
 
 
-def element_spans(events: DataFrame, key: str) -> DataFrame:
+def element_spans(events: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pair start and end tags by name and nesting level.
 
     A running depth per tag name gives each event its level; inside one level
@@ -177,12 +189,12 @@ def element_spans(events: DataFrame, key: str) -> DataFrame:
     end = """CASE WHEN tag = 'body' THEN last_pos
         WHEN startswith(role.grp, '/') AND (next_opens OR next_tag <> tag) THEN next_pos - 1
         ELSE coalesce(next_pos, last_pos) END AS end_pos"""
-    return paired.where("opens AND role.own").selectExpr(
-        key, "tag", "pos AS start_pos", end, "dropped", "inner_drop", "ranks", "scoped_ranks"
+    return paired.where(f"(opens AND role.own) OR pos = {TEXT_POS}").selectExpr(
+        key, *carry, "tag", "pos AS start_pos", end, "dropped", "inner_drop", "ranks", "scoped_ranks"
     )
 
 
-def visible_spans(spans: DataFrame, key: str) -> DataFrame:
+def visible_spans(spans: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mark spans inside a dropped element, and resolve article-scoped ranks.
 
     Spans are intervals of one tree, so "some earlier dropped span still open"
@@ -196,6 +208,7 @@ def visible_spans(spans: DataFrame, key: str) -> DataFrame:
     )
     return covered.selectExpr(
         key,
+        *carry,
         "tag",
         "start_pos",
         "end_pos",
@@ -206,14 +219,19 @@ def visible_spans(spans: DataFrame, key: str) -> DataFrame:
     )
 
 
-def page_marks(pages: DataFrame, key: str, html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
+def page_marks(
+    pages: DataFrame, key: str, html_col: str = "html", also: tuple[str, ...] = (), texts: bool = False, rendered: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per page with the spans that shape its content.
 
     ``drops`` are the outermost removed spans, ``inners`` the spans removed from
     the chosen element only, ``candidates`` the selector matches and ``blocks``
-    the elements named in ``also``; all without what lies in a removed element.
+    the elements named in ``also``; all without what lies in a removed element.  With ``texts`` every page has a row, with its
+    ``texts`` and the columns ``keep``.
     """
-    spans = visible_spans(element_spans(tag_events(pages, key, html_col, also), key), key)
+    carry = (*keep, "texts") if texts else ()
+    events = tag_events(pages, key, html_col, also, texts, rendered, keep)
+    spans = visible_spans(element_spans(events, key, carry), key, carry)
     span = "struct(start_pos, end_pos)"
     live = "NOT hidden AND NOT dropped"
     in_blocks = f"{live} AND tag IN ({literals(also)})" if also else "false"
@@ -222,6 +240,7 @@ def page_marks(pages: DataFrame, key: str, html_col: str = "html", also: tuple[s
         return F.expr(f"array_sort(collect_list(if({condition}, {value}, NULL))) AS {name}")
 
     return spans.groupBy(key).agg(
+        *(F.first(F.when(F.col("start_pos") == TEXT_POS, F.col(c)), ignorenulls=True).alias(c) for c in carry),
         spans_where("dropped AND NOT hidden", "drops"),
         spans_where(f"inner_drop AND {live}", "inners"),
         spans_where(f"{live} AND size(ranks) > 0", "candidates", "struct(start_pos, end_pos, ranks)"),

@@ -185,3 +185,9 @@ def test_one_exchange_for_all_structure_windows(spark):
 def test_implied_end_tags(spark, markup, rest):
     row = article(spark, "<body><nav>n</nav>" + markup.format(LONG) + "</body>")
     assert (row.rank, row.text) == (18, LONG + rest)
+
+
+def test_a_page_is_split_into_tokens_once(spark):
+    table = content.article_text(pages(spark, f"<body><article>{LONG}</article></body>"), "id")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1 and "Join" not in plan and plan.count("Exchange") == 1
