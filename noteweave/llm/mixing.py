@@ -23,6 +23,8 @@ from noteweave.llm.storage import stored
 DIGITS = 3
 #: Leaf tables up to this number of rows are broadcast.
 SMALL = 100_000
+#: Parts in which the equal rows at the end of a prefix are numbered.
+SALTS = 256
 LEAF = ("m_domain", "m_lang", "m_source")
 
 
@@ -82,6 +84,16 @@ def boundary(rows: DataFrame, keys: list[str], at: Column, name: str) -> DataFra
     return found.select(*keys, name, "need")
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``m_number``, from 1 in each leaf: rows are numbered in SALTS parts of a leaf, parts by their sizes."""
+    tied = stored(rows.withColumn("m_id", F.monotonically_increasing_id())).withColumn("m_salt", F.pmod("m_id", F.lit(SALTS)))
+    sizes = tied.groupBy(*keys, "m_salt").agg(F.count("*").alias("m_size"))
+    ahead = Window.partitionBy(*keys).orderBy("m_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("m_ahead", F.coalesce(F.sum("m_size").over(ahead), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*keys, "m_salt").orderBy("m_id"))
+    return tied.join(sizes, [*keys, "m_salt"]).withColumn("m_number", F.col("m_ahead") + inside).select(*rows.columns)
+
+
 def mix(
     docs: DataFrame, *, domain: str, share: float, weights: Weights, max_epochs: int = 4, seed: int = 7, tokens: str = "(length(text) + 3) div 4",
     doc: str = "doc_id", lang: str = "lang", source: str = "source",
@@ -91,9 +103,8 @@ def mix(
     The budget is ``share`` of the tokens of the table.  ``domain`` and ``tokens`` are SQL expressions over ``docs``.  ``taken``
     is less than ``n_tokens`` only in the last row of a leaf's prefix.  Null domain, lang or source form a leaf
     ``(none)``; rows without tokens (null or empty text) are never selected.  A repeated row is read as often as it occurs;
-    rows with equal doc share their
-    place in the order, the shorter first; equal rows at the end of a prefix each take what the last of them may take.  Columns named domain, epoch, n_tokens or taken
-    are replaced, all others are carried along under any name.
+    rows with equal doc share their place in the order, the shorter first; of equal rows at the end of a prefix, as many are read as the
+    budget takes, one of them in part.  Columns named domain, epoch, n_tokens or taken are replaced, all others are carried along under any name.
     """
     fill = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     added = {
@@ -119,15 +130,25 @@ def mix(
     inside = placed.drop("need").withColumn("bin0", digits(0)).join(hint(coarse), [*keys, "bin0"])
     fine = boundary(inside, [*keys, "bin0"], digits(1), "bin1")
     last = inside.drop("need").withColumn("bin1", digits(1)).join(hint(fine), [*keys, "bin0", "bin1"])
+    # Equal rows are one group from here on, however many they are.
+    groups = last.groupBy(*keys, "place", "n_tokens").agg(F.count("*").alias("copies"), F.max("need").alias("need"))
+    tokens_of = F.col("copies") * F.col("n_tokens")
     ordered = Window.partitionBy(*keys).orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = last.withColumn("rest", F.col("need") - F.sum("n_tokens").over(ordered) + F.col("n_tokens"))
-    cuts = ends.where("rest > 0").groupBy(*keys).agg(F.max("place").alias("cut"), F.max_by("rest", F.struct("place", "n_tokens", -F.col("rest"))).alias("rest"), F.max_by("n_tokens", F.struct("place", "n_tokens")).alias("cut_tokens"))
+    ends = groups.withColumn("rest", F.col("need") - F.sum(tokens_of).over(ordered) + tokens_of).where("rest > 0")
+    place_of = F.struct("place", "n_tokens")
+    cuts = ends.groupBy(*keys).agg(
+        F.max("place").alias("cut"), *(F.max_by(c, place_of).alias(n) for c, n in (("rest", "rest"), ("n_tokens", "cut_tokens"), ("copies", "copies")))
+    )
     plan = stored(plan.join(cuts, keys, "left"))
 
     mine = order_hash(seed, F.col("epochs") + 1, F.col("m_key"))
-    joined = rows.join(hint(plan), keys).withColumn("m_place", F.when(F.col("cut").isNotNull(), mine))
+    joined = rows.join(hint(plan), keys).withColumns({"m_place": F.when(F.col("cut").isNotNull(), mine), "m_number": F.lit(1).cast("long")})
     before = (F.col("m_place") < F.col("cut")) | ((F.col("m_place") == F.col("cut")) & (F.col("m_tokens") < F.col("cut_tokens")))
-    partial = F.when(before, F.col("m_tokens")).when((F.col("m_place") == F.col("cut")) & (F.col("m_tokens") == F.col("cut_tokens")), F.least("m_tokens", "rest")).otherwise(0)
+    at_cut = F.coalesce((F.col("m_place") == F.col("cut")) & (F.col("m_tokens") == F.col("cut_tokens")), F.lit(False))
+    if plan.where("copies > 1").limit(1).count():
+        tied = at_cut & (F.col("copies") > 1)
+        joined = joined.where(~tied).unionByName(numbered(joined.where(tied), keys))
+    partial = F.when(before, F.col("m_tokens")).when(at_cut, F.greatest(F.lit(0), F.least(F.col("m_tokens"), F.col("rest") - (F.col("m_number") - 1) * F.col("m_tokens")))).otherwise(0)
     joined = joined.withColumn("m_partial", F.coalesce(partial, F.lit(0)).cast("long"))
     times = F.col("epochs") + (F.col("m_partial") > 0).cast("long")
     exploded = joined.where(times > 0).withColumn("m_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times)))

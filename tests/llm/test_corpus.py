@@ -82,6 +82,16 @@ def test_mixing_odd_rows(spark):
     assert mixed(spark, []).collect() == []
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.5, 0.77])
+def test_repeated_rows_end_a_prefix_at_the_token(spark, share):
+    rows = [(7, "x" * 10, "en", "s", f"e{n}", n) for n in range(700)] + [(n, "x" * (n % 9 + 1), "en", "t" if n % 2 else "s", "e", 1) for n in range(100, 300)]
+    total = sum(len(r[1]) for r in rows)
+    got = mixed(spark, rows, share=share, max_epochs=1).collect()
+    assert abs(sum(r["taken"] for r in got) - int(total * share)) <= 6  # a floor per leaf and level
+    partial = [r for r in got if r["taken"] < r["n_tokens"]]
+    assert len({(r["domain"], r["lang"], r["source"]) for r in partial}) == len(partial) and all(r["taken"] > 0 for r in got)
+
+
 def test_mixing_columns_of_any_name(spark):
     names = ["need", "epochs", "rest", "cut", "cut_tokens", "m_key", "m_domain", "m_lang", "m_source", "m_tokens", "m_place", "m_partial", "m_epoch", "m_row", "bin0", "bin1", "place", "weight", "room", "got", "tokens"]
     rows = [(n, "x" * (n % 7 + 1), "en", "s" if n % 3 else "t") for n in range(50)]
