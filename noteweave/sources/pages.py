@@ -9,8 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.functions import fixed
-
 #: Places of a page in the table, beside its url; ``taken`` tells copies apart.
 COLUMNS = {"content_type": "string", "error": "string", "taken": "bigint"}
 

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from noteweave.operators import ledger, lookup
 from noteweave.sources.pages import PreparedPages, prepare_pages
