@@ -37,27 +37,28 @@ def as_scan(pages: DataFrame, work_dir: str | None = None) -> DataFrame:
 
 
 def latest_copies(
-    urls: DataFrame, pages: DataFrame, order: str = "page_id", work_dir: str | None = None, keep: dict[str, Column] | None = None
+    urls: DataFrame | None, pages: DataFrame, order: str = "page_id", work_dir: str | None = None, keep: dict[str, Column] | None = None
 ) -> DataFrame:
     """``url, content_type, error, found, _file, _row`` and ``keep``: every url with the place of its latest page, stored.
 
     Only narrow columns are read.  The latest copy has the largest ``order`` (null is the least), then the last place.  Copies are reduced
     per task before the shuffle, so one url with a large share of the snapshot reaches its reducer as one row per task; a bitmap of the
-    wanted urls keeps the rest of the snapshot out of the shuffle.
+    wanted urls keeps the rest of the snapshot out of the shuffle.  Without ``urls`` all urls of the snapshot are wanted.
     """
-    spark = urls.sparkSession
+    spark = pages.sparkSession
     path = work_dir or shared_dir(spark, "copies")
-    urls.select("url").write.mode("overwrite").parquet(f"{path}/urls")
-    wanted = spark.read.parquet(f"{path}/urls")
-    bitmap, bits = bloom(wanted.select(F.xxhash64("url").alias("hash")), wanted.count())
     defaults = {"content_type": F.lit(fixed.TEXT_CONTENT_TYPES[0]), "error": F.lit(None).cast("string")}
     given = {name: F.col(name) if name in pages.columns else value for name, value in defaults.items()} | (keep or {})
     rank = [F.col(order).alias("_order")] if order in pages.columns else []
-    narrow = pages.where(might_hold(F.xxhash64("url"), bitmap, bits)).select(
-        "url", F.struct(*rank, *row_place(), *(value.alias(name) for name, value in given.items())).alias("_copy")
-    )
+    if urls is None:
+        held = F.col("url").isNotNull()
+    else:
+        urls.select("url").write.mode("overwrite").parquet(f"{path}/urls")
+        wanted = spark.read.parquet(f"{path}/urls")
+        held = might_hold(F.xxhash64("url"), *bloom(wanted.select(F.xxhash64("url").alias("hash")), wanted.count()))
+    narrow = pages.where(held).select("url", F.struct(*rank, *row_place(), *(value.alias(name) for name, value in given.items())).alias("_copy"))
     latest = narrow.groupBy("url").agg(F.max("_copy").alias("_copy"))
-    found = wanted.join(latest, "url", "left").select(
+    found = (latest if urls is None else wanted.join(latest, "url", "left")).select(
         "url", *(f"_copy.{name}" for name in given), F.col("_copy").isNotNull().alias("found"), "_copy._file", "_copy._row"
     )
     found.write.mode("overwrite").parquet(f"{path}/latest")

@@ -17,8 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Rows of an Arrow batch; rows hold whole texts, and a batch is in memory several times.
+    # Rows and bytes of an Arrow batch; rows hold whole texts, and a batch is in memory several times.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

@@ -15,7 +15,7 @@ COLUMNS = {"content_type": "string", "error": "string", "taken": "bigint"}
 
 @dataclass(frozen=True)
 class PreparedPages:
-    """A folder of versions.  A version is complete before the pointer names it, and is never changed after."""
+    """A folder of versions.  A version is complete before the list of versions names it, and is never changed after."""
 
     path: str
 
@@ -55,8 +55,7 @@ def prepare_pages(spark: SparkSession, path: str, pages: DataFrame, order: str =
     buckets = known[-1]["buckets"] if known else buckets
     pages = as_scan(pages)
     body = "html" if "html" in pages.columns else "body"
-    urls = pages.where(F.col("url").isNotNull()).select("url").distinct()
-    copies = latest_copies(urls, pages, order, keep={"taken": F.col(order).cast("bigint")})
+    copies = latest_copies(None, pages, order, keep={"taken": F.col(order).cast("bigint")})
     new = bodies_of(copies.select("url", "_file", "_row", *COLUMNS), pages, body).select("url", *COLUMNS, body)
     number = known[-1]["number"] + 1 if known else 1
     if known:
