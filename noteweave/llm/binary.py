@@ -35,6 +35,8 @@ FLUSH_IDS = 500_000
 #: Columns of a stored sequence, and the level of compression of one that moves.
 SEQUENCE = ["partition", "number", "doc", "start", "n_ids", "record"]
 LEVEL = 3
+#: How the stored sequences are compressed.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5"}
 #: Partitions of the first level of counts, and most whose counts are broadcast.
 BLOCK, MOST_PARTITIONS = 4096, 1_000_000
 
@@ -171,7 +173,7 @@ def materialise(
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
     # Encoded once: what follows reads this table, so a lost executor does not change which rows are where.
-    sequences(narrow, tokenizer, ids, pad_id, end_id).write.option("compression", "zstd").parquet(f"{folder}/sequences")
+    sequences(narrow, tokenizer, ids, pad_id, end_id).write.options(**PACKED).parquet(f"{folder}/sequences")
     cut = spark.read.parquet(f"{folder}/sequences")
     layout = Layout(cut.count(), ids, per_shard, seed)
     n = max(1, layout.sequences)
