@@ -14,6 +14,8 @@ INDEX_BLOCK = 1024
 MAX_BROADCAST_INDEX = 2_000_000
 # Scan splits whose offsets may be broadcast (about 100 bytes each).
 MAX_BROADCAST_SPLITS = 200_000
+# Splits (one narrow row each) that are put in order by one task.
+FEW_SPLITS = 10_000
 
 
 def number_rows(scan: DataFrame, name: str = "row_idx", work_dir: str | None = None) -> DataFrame:
@@ -21,7 +23,7 @@ def number_rows(scan: DataFrame, name: str = "row_idx", work_dir: str | None = N
 
     Rows keep their order inside a split, so a position is the row's offset in
     its split plus the rows of all earlier splits.  Only the split totals, one
-    row per split, are ordered globally; the data is neither sorted nor shuffled.
+    row per split, are ordered; the data is neither sorted nor shuffled.
     The totals are written to the shared folder once, which also gives the size
     that decides between a broadcast and an ordinary join.
     """
@@ -45,12 +47,9 @@ def number_tagged(tagged: DataFrame, name: str = "row_idx", work_dir: str | None
     path = work_dir or shared_dir(spark, "splits")
     totals.write.mode("overwrite").parquet(path)
     totals = spark.read.parquet(path)
-    part_number = F.regexp_extract("_file", r"_part(\d+)\.enex", 1).try_cast("bigint")
-    earlier = Window.orderBy(part_number, "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_file", "_start", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
-    )
-    if totals.count() <= MAX_BROADCAST_SPLITS:
+    splits = totals.count()
+    offsets = _split_offsets(totals, splits, f"{path}-ranges")
+    if splits <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     position = F.col("_offset") + F.col("_seq") - F.col("_first")
     return (
@@ -60,6 +59,27 @@ def number_tagged(tagged: DataFrame, name: str = "row_idx", work_dir: str | None
     )
 
 
+def _split_offsets(totals: DataFrame, splits: int, work_dir: str) -> DataFrame:
+    """``_file, _start, _first, _offset``: the rows of all earlier splits, in order of part number, file and position.
+
+    Many splits are dealt into ranges of that order first; each range is added up by itself, and the totals of the ranges are one small array.
+    """
+    spark = totals.sparkSession
+    part_number = F.regexp_extract("_file", r"_part(\d+)\.enex", 1).try_cast("bigint")
+    order = ["_part", "_file", "_start"]
+    named = totals.withColumn("_part", part_number)
+    if splits <= FEW_SPLITS:
+        earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return named.select("_file", "_start", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    named.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(work_dir)
+    ranged = spark.read.parquet(work_dir)
+    sums = ranged.groupBy("_range").agg(F.sum("_rows").alias("n")).agg(F.collect_list(F.struct("_range", "n"))).scalar()
+    earlier = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.select("*", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_inside"), sums.alias("_sums"))
+    before = F.aggregate(F.filter("_sums", lambda r: r["_range"] < F.col("_range")), F.lit(0).cast("bigint"), lambda total, r: total + r["n"])
+    return inside.select("_file", "_start", "_first", (before + F.col("_inside")).alias("_offset"))
+
+
 def running_totals(table: DataFrame, index: str, **sums: Column) -> DataFrame:
     """Inclusive running sums in the order of a unique integer ``index``.
 

@@ -151,3 +151,18 @@ def test_manifest_of_no_and_few_notes(spark):
     assert enex.manifest(spark.range(0), "b", 10).count() == 0
     parts = [tuple(r)[2:] for r in enex.manifest(spark.range(25), "b", 10).orderBy("part_no").collect()]
     assert parts == [(10, 0, 9, 10, 25, 3), (10, 10, 19, 20, 25, 3), (5, 20, 24, 25, 25, 3)]
+
+
+def test_many_splits_are_ordered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "FEW_SPLITS", 10)
+    rnd = random.Random(4)
+    splits = [(f"f/b_part{n:03d}.enex" if n % 3 else f"f/x{n}.csv", start, rnd.randint(1, 9), 0) for n in range(60) for start in (0, 100, 2000)]
+    tagged = [(name, start, first + n) for name, start, rows, first in splits for n in range(rows)]
+    table = spark.createDataFrame(rnd.sample(tagged, len(tagged)), "_file string, _start long, _seq long").select("*", F.concat("_file", F.lit("|"), "_start", F.lit("|"), "_seq").alias("row"))
+    numbered = order.number_tagged(table)
+    # Files without a part number come first, then parts by their number.
+    want = sorted(tagged, key=lambda r: (int(r[0][8:11]) if "_part" in r[0] else -1, r[0], r[1], r[2]))
+    assert {r.row: r.row_idx for r in numbered.collect()} == {f"{a}|{b}|{c}": n for n, (a, b, c) in enumerate(want)}
+    totals = spark.createDataFrame(splits, "_file string, _start long, _rows long, _first long")
+    plan = order._split_offsets(totals, len(splits), order.shared_dir(spark, "ranges"))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Subquery")[0]
