@@ -33,7 +33,7 @@ def _documents(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters (null and empty ones too) and those that no learnt language explains.
 
-    The filters learn from the labelled rows of the stage's own input, of the 4096 most frequent labels.  Where no row has a
+    The filters learn from the labelled rows of the stage's own input, of the 4096 most frequent labels (``most_languages``).  Where no row has a
     label nothing is learnt, and every text with a letter stays.  A text of a language that occurs without labels only (or behind those
     4096) is held against the others: it goes when none of them explains LEAST_SCORE of it.
     """
@@ -73,13 +73,22 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes to the target weights, whole."""
+    """The documents that the mixture takes to the target weights, whole.
+
+    The one that a leaf's prefix cuts is kept whole too, so a leaf passes its budget by less than that document's tokens.  Null lang or
+    source form a leaf of their own; null and empty texts have no tokens and go.  Repeated rows are read as often as they occur, equal doc_ids stand
+    next to each other in the order, the shorter first.  An empty table stays empty.
+    """
     configure(spark)
     return _documents(mix(_documents(docs), domain=DOMAIN, share=SHARE, weights=MIX_WEIGHTS, max_epochs=EPOCHS, seed=7))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length of every document that is left."""
+    """Pieces of power-of-two length of every document that is left: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
+
+    A null or empty text is a document of the end id alone.  Rows with a null or repeated doc_id are packed like any other, each by itself.  An empty
+    table gives no pieces.
+    """
     configure(spark)
     pieces = pack(docs, public_tokenizers.path(TOKENIZER), longest=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset")
