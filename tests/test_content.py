@@ -1,7 +1,11 @@
 """Extraction on literal pages."""
 
+import random
+import time
+
 import pytest
 
+from noteweave.functions.sqltext import SPACES
 from noteweave.operators import content, elements
 
 LONG = "This is a sentence of the article that is long enough to count as content here. " * 2
@@ -142,6 +146,47 @@ def test_longest_block(spark):
     assert [(r.id, r.start_pos) for r in rows] == [(0, 4), (1, 1), (3, 3)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_block_lengths_equal_those_of_built_texts(spark, seed):
+    rnd = random.Random(seed)
+    tokens = ["", " ", "\n\t", "\u3000 ", "\ufeff", "a", " b ", "語😀", " \u3000" + "x" * 150 + "\n"]
+    weights = [30, 5, 5, 5, 5] + [rnd.choice([0.05, 1, 9])] * 4  # with blanks longer than a stride and without
+    documents = []
+    for n in [0, 1, 63, 64, 65, 127, 128, 129, *(rnd.randint(0, 700) for _ in range(12))]:
+        texts = rnd.choices(tokens, weights, k=n)
+        spans = [tuple(sorted((rnd.randrange(n), rnd.randrange(n)))) for _ in range(40)] + [(0, n - 1), (n - 1, n - 1)] if n else []
+        documents.append((len(documents), texts, n - 1, spans))
+    table = spark.createDataFrame(documents, "id int, shown array<string>, last_pos int, spans array<struct<start_pos:int,end_pos:int>>")
+    table = table.selectExpr("*", f"transform(shown, t -> {content.utf16_len('t')}) AS lengths", f"transform(shown, t -> {content.js_trim('t')} <> '') AS visible")
+    table = content.with_visible_ends(table.selectExpr("*", f"{content._running('lengths')} AS running"))
+    rows = table.selectExpr("id", f"transform(spans, s -> {content._trimmed('s.start_pos', 's.end_pos')}) AS chars").collect()
+    for row in rows:
+        _, texts, _, spans = documents[row.id]
+        built = ["".join(texts[a : b + 1]).strip(SPACES) for a, b in spans]
+        assert row.chars == [len(text.encode("utf-16-le")) // 2 for text in built]
+    assert len(rows) == len(documents)
+
+
+def test_many_blocks_are_measured_from_stored_lengths(spark):
+    blocks = "<p>" + LONG + "</p>\n"
+    document = "<body>" + "<div>" * 1000 + blocks * 4000 + "</div>" * 1000 + "<p>last</p></body>"
+    best = content.longest_block(pages(spark, document), "id")
+    # A filter on lengths would be moved below the steps that store them, and these into it, once for every block.
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (array_max" not in plan and plan.count("encode(") == 1
+    start = time.perf_counter()
+    row = best.first()
+    assert time.perf_counter() - start < 20
+    assert (row.start_pos, row.chars) == (1, 4000 * (len(LONG) + 1) - 2)
+
+
+def test_blocks_of_blanks_between_others(spark):
+    blank = "<div> \u3000</div>" * 100
+    documents = [f"<body>{blank}<section>{blank}<b> {LONG}</b>{blank}</section>{blank}</body>", f"<body><section>{blank}</section>{LONG}</body>", "", None]
+    rows = content.longest_block(pages(spark, *documents), "id").collect()
+    assert [(r.id, r.start_pos, r.chars) for r in rows] == [(0, 301, len(LONG.strip()))]
+
+
 def test_empty_and_null_pages(spark):
     rows = content.extract(pages(spark, "", None, "   ", "<>"), "id").orderBy("id").collect()
     assert [r.status for r in rows] == ["none_found"] * 4
